@@ -7,10 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import byte_pairs, language_id, shards, token_files
 from .common import held_out, table
 
 
+WORD_BPE = "word_bpe_49k.json"
+#: Appended to each document in the token-id files.
+END_ID = 2
+SHARDS = 8
+
+
+def tokenizer_path(name: str = WORD_BPE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_files.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return rows.select(
+        "doc_id", "start", (F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"), F.crc32("ids_le").alias("ids_crc32")
+    )
+
+
+def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_pairs.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs, F.col("doc_id").isNotNull() & ~held_out("doc_id"))
