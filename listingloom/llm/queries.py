@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, language_id, shards, token_files
+from . import byte_pairs, language_id, shards, token_files, toxicity
 from .common import held_out, table
 
 
@@ -23,6 +23,12 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, usable = table(spark, sf_dir, "documents"), F.col("doc_id").isNotNull() & ~held_out("doc_id")
+    model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels"), usable))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
