@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, language_id, shards, token_files, toxicity
+from . import byte_pairs, language_id, secrets, shards, token_files, toxicity
 from .common import held_out, table
 
 
@@ -36,6 +36,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_files.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return rows.select(
