@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, language_id, secrets, shards, token_files, toxicity
+from . import byte_pairs, language_id, secrets, shards, token_files, toxicity, warc
 from .common import held_out, table
 
 
@@ -23,6 +23,17 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    response = F.col("record_type") == "response"
+    return rows.select(
+        "page_id",
+        F.when(response, F.col("payload_length")).otherwise(F.col("full_length")).alias("payload_bytes"),
+        F.when(response, F.col("payload_sha1")).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type", F.col("refers_to_page").alias("refers_to"),
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, usable = table(spark, sf_dir, "documents"), F.col("doc_id").isNotNull() & ~held_out("doc_id")
     model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels"), usable))

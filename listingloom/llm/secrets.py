@@ -27,14 +27,14 @@ TREES, DEPTH, LABELLED = 25, 6, 1600
 _KEY = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|private|auth|signing)[_-]?key)"
 #: kind -> pattern; the value is what follows the assignment, or all of it.
 PATTERNS = {
-    "assignment": _KEY + r"[\w.-]{0,24}[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?[^\s\"'`<>,;]{6,256}",
+    "assignment": r"(?=[pstcaPSTCA])(?i:" + _KEY + r")" + r"[\w.-]{0,24}[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?[^\s\"'`<>,;]{6,256}",
     "cloud_key": r"\b(?:AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16}\b",
     "provider_token": r"\b(?:gh[pousr]_[0-9A-Za-z]{30,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{30,}|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}|glpat-[0-9A-Za-z_-]{16,})",
     "signed_token": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[0-9A-Za-z+/=\s]{0,8192}(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?",
     "opaque": r"(?<![\w/+.-])(?=[a-zA-Z+/_-]{0,64}[0-9])[0-9A-Za-z+/_-]{28,512}={0,2}",
 }
-_ANY = "|".join(f"(?:{p})" if k != "assignment" else f"(?i:{p})" for k, p in PATTERNS.items())
+_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _ASSIGNED = r"(?i)^" + _KEY + r"[\w.-]{0,24}[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?"
 _PROVIDER = r"^(?:AKIA|ASIA|AROA|AIDA|gh[pousr]_|xox[abprs]-|AIza|[srp]k_live_|glpat-|eyJ|-----BEGIN)"
 
@@ -178,12 +178,16 @@ def _value(raw: str) -> Column:
     return F.regexp_replace(F.col(raw), _ASSIGNED, "")
 
 
+def possible(text: Column) -> Column:
+    """What each pattern needs: a digit, an assignment sign or a key's first line."""
+    return text.contains("=") | text.contains(":") | text.contains("-----BEGIN") | text.rlike("[0-9]")
+
+
 def _with_findings(docs: DataFrame, trees: list, text: str) -> DataFrame:
     """Adds _pieces (texts between matches), _raw (matches) and _found (findings)."""
-    hit = F.col(text).rlike(_ANY)
     none = F.array().cast("array<string>")
-    out = docs.withColumn("_raw", F.when(hit, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none))
-    out = out.withColumn("_pieces", F.when(hit, F.split(text, _ANY, -1)).otherwise(none))
+    out = docs.withColumn("_raw", F.when(possible(F.col(text)), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none))
+    out = out.withColumn("_pieces", F.when(F.size("_raw") > 0, F.split(text, _ANY, -1)).otherwise(none))
     described = F.transform(
         F.sequence(F.lit(1), F.size("_raw")),
         lambda i: F.struct(
@@ -195,7 +199,7 @@ def _with_findings(docs: DataFrame, trees: list, text: str) -> DataFrame:
              + F.aggregate(F.slice("_raw", F.lit(1), i - 1), F.lit(0), lambda a, p: a + F.length(p))).alias("at"),
         ),
     )
-    kind = lambda raw: F.coalesce(*[F.when(raw.rlike(("(?i)" if k == "assignment" else "") + "^(?:" + p.replace(r"(?<![\w/+.-])", "") + ")"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("opaque"))
+    kind = lambda raw: F.coalesce(*[F.when(raw.rlike("^(?:" + p.replace(r"(?<![\w/+.-])", "") + ")"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("opaque"))
     out = out.withColumn("_found", F.when(F.size("_raw") > 0, described))
     value = lambda x: F.regexp_replace(x["raw"], _ASSIGNED, "")
     out = out.withColumn("_found", F.transform("_found", lambda x: F.struct(
@@ -210,8 +214,8 @@ def _with_findings(docs: DataFrame, trees: list, text: str) -> DataFrame:
 
 def scan(docs: DataFrame, trees: list, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start and n_chars of the value in characters, kind, score, is_secret: a row for each candidate."""
-    found = _with_findings(docs.where(F.col(text).rlike(_ANY)).select(key, text), trees, text)
-    rows = found.select(key, F.explode("_found").alias("x"))
+    found = _with_findings(docs.where(possible(F.col(text))).select(key, text), trees, text)
+    rows = found.where(F.size("_raw") > 0).select(key, F.explode("_found").alias("x"))
     return rows.select(
         key, (F.col("x.at") + F.length("x.raw") - F.length("x.value")).cast("long").alias("start"),
         F.length("x.value").cast("long").alias("n_chars"), F.col("x.kind").alias("kind"),
