@@ -43,7 +43,7 @@ DICTIONARY = """example sample test dummy fake placeholder change changeme your
 secret token key user name admin root default none null true false undefined config setting env variable path file home
 local host localhost server data base table index image version release build source public static main master branch
 commit hello world qwerty letmein welcome foo bar baz todo fixme required optional hidden redacted removed empty""".split()
-_BENIGN_NEAR = r"(?i)\b(?:example|sample|dummy|placeholder|commit|revision|checksum|digest|sha-?\d*|md5|hash|etag|uuid|guid|integrity|version|docs?|fixture|mock)\b"
+_BENIGN_NEAR = r"(?i)\b(?:example(?!\.(?:com|org|net))|sample|dummy|placeholder|commit|revision|checksum|digest|sha-?\d*|md5|hash|etag|uuid|guid|integrity|version|docs?|fixture|mock)\b"
 _SECRET_NEAR = r"(?i)(?:pass(?:word|wd)?|secret|token|credential|auth|(?:api|access|private)[_ -]?key|login|bearer)"
 
 FEATURES = ["n", "digits", "upper", "lower", "other", "distinct", "transitions", "pairs", "dictionary", "vowels", "hex", "uuid",
@@ -123,7 +123,9 @@ def labelled_findings(seed: int = 11) -> list[tuple[str, str, str, int]]:
     out = []
     for i in range(LABELLED):
         near, match = real() if i % 2 else harmless()
-        out.append((f"{r.choice(plain)} {near}", match, r.choice(plain), i % 2))
+        # chance neighbours that tell nothing
+        beside = r.choice([*plain, *plain, "write to ann.12@mail.example.com", "call 555-0142 for docs", '" and more'])
+        out.append((f"{r.choice([*plain, beside])} {near}", match, beside, i % 2))
     return out
 
 
