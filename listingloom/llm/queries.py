@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, language_id, secrets, shards, token_files, toxicity, warc
+from . import byte_pairs, decontaminate, language_id, secrets, shards, token_files, toxicity, warc
 from .common import held_out, table
 
 
@@ -51,6 +51,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_files.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return rows.select(
