@@ -30,7 +30,7 @@ MOST_REMEMBERED = 300_000
 _NONE = np.iinfo(np.int64).max
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters, extra = {b: chr(b) for b in shown}, 0
@@ -44,6 +44,9 @@ def _byte_letters() -> list[str]:
 class Codec:
     """Encodes and decodes text; keeps what it learns of chunks between calls."""
 
+    #: Whether the decoded text of a chunk is wanted too.
+    decodes = True
+
     def __init__(self, tokenizer_json: str):
         import regex
 
@@ -56,7 +59,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.special_bytes = [s.encode() for s in self.special]
-        letters = _byte_letters()
+        letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + end] for c in letters], np.int64)
         self.size = max(max(vocab.values()), *self.special.values(), 0) + 1
@@ -134,9 +137,12 @@ class Codec:
         texts: dict[str, bytes] = {}
         if unique:
             ids, ends = self.merge([w.encode() for w in unique])
-            raw, shown, begin = ids.astype("<u4").tobytes(), list(map(self.shown.__getitem__, ids.tolist())), 0
+            raw, begin = ids.astype("<u4").tobytes(), 0
+            shown = list(map(self.shown.__getitem__, ids.tolist())) if self.decodes else []
             for w, end in zip(unique, ends.tolist(), strict=True):
-                codes[w], texts[w] = raw[4 * begin : 4 * end], b" ".join(shown[begin:end])
+                codes[w] = raw[4 * begin : 4 * end]
+                if self.decodes:
+                    texts[w] = b" ".join(shown[begin:end])
                 begin = end
         at, held = iter(plain), []
         for w in [*found, "\n"] if plain else []:
@@ -144,15 +150,15 @@ class Codec:
                 held.append(w)
                 continue
             c = next(at)
-            if len(held) == 1:
-                self.codes[c], self.texts[c] = codes[held[0]], texts[held[0]]
-            else:
-                self.codes[c], self.texts[c] = b"".join([codes[w] for w in held]), b" ".join([texts[w] for w in held])
+            self.codes[c] = codes[held[0]] if len(held) == 1 else b"".join([codes[w] for w in held])
+            if self.decodes:
+                self.texts[c] = texts[held[0]] if len(held) == 1 else b" ".join([texts[w] for w in held])
             held = []
         for c, pieces in parts.items():
             own = [np.array([p], "<u4").tobytes() if isinstance(p, int) else b"".join([codes[w] for w in p]) for p in pieces]
             self.codes[c] = b"".join(own)
-            self.texts[c] = self.decode(np.frombuffer(self.codes[c], "<u4"))
+            if self.decodes:
+                self.texts[c] = self.decode(np.frombuffer(self.codes[c], "<u4"))
 
     def pieces(self, text: str) -> list:
         """Special ids, and between them the words."""
@@ -175,7 +181,7 @@ class Codec:
         self.learn([c for c in set().union(*split) if c not in self.codes])
         return (
             [b"".join(map(self.codes.__getitem__, s)) for s in split],
-            [b" ".join(filter(None, map(self.texts.__getitem__, s))) for s in split],
+            [b" ".join(filter(None, map(self.texts.__getitem__, s))) for s in split] if self.decodes else [],
         )
 
 

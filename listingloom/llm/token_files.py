@@ -17,7 +17,6 @@ repeat, side by side; null ids come first; an empty table makes no file and no r
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -26,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_pairs import read_vocabulary
+from .byte_pairs import Codec, byte_letters, read_vocabulary
 from .common import bound_batches, scratch
 
 MAGIC = b"LLDAC01\n"
 #: Ids in a file, about: a task starts another file beyond it, which bounds its memory.
 IDS_PER_FILE = 4 << 20
-MOST_REMEMBERED = 300_000
 _BLOCK = 512
 _WIDTHS = ((8, 8, 8, 8), (8, 8, 16), (8, 16, 8), (16, 16), (16, 8, 8), (32,))
 _TYPE = {8: "<u1", 16: "<u2", 32: "<u4"}
@@ -143,51 +141,31 @@ class TokenFile:
         return None if self.null[k] else int(self.doc[k]), begin, self.ids(begin, int(self.end[k]))
 
 
-class LibraryEncoder:
-    """Whole texts through the tokenizers library, each distinct chunk between white space once.
+class LibraryEncoder(Codec):
+    """Whole texts through the tokenizers library, each distinct word once.
 
-    White space only parts words in this kind of vocabulary, so a text's ids are those of
-    its chunks in order. Unseen chunks go to the library together, parted by a sign.
+    The library's model codes the words; finding them and remembering chunks between white
+    space is shared with the numpy codec, whose merge rounds are not used here.
     """
 
-    SIGN = "\x00"
+    decodes = False
 
     def __init__(self, tokenizer_json: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(tokenizer_json)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.sign = self.one(self.SIGN)
-        self.known: dict[bytes, bytes] = {}
-
-    def one(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, chunks: list[bytes]) -> None:
-        sign = self.SIGN.encode()
-        simple = [c for c in chunks if sign not in c] if len(self.sign) == 1 else []
-        for k in range(0, len(simple), 256):
-            part = simple[k : k + 256]
-            joined = f" {self.SIGN} ".join(c.decode() for c in part)
-            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.sign[0])
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the sign is no word of its own in this vocabulary")
-            raw, begin = ids.tobytes(), 0
-            for c, end in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                self.known[c] = raw[4 * begin : 4 * end]
-                begin = end + 1
-        for c in set(chunks) - set(simple):
-            self.known[c] = self.one(c.decode()).tobytes()
-
-    def run(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > MOST_REMEMBERED:
-            self.known.clear()
-        split = [t.split() for t in texts]
-        self.learn([c for c in set().union(*split) if c not in self.known])
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        super().__init__(tokenizer_json)
+        self.library = Tokenizer.from_str(tokenizer_json).model
+        self.letters = dict(enumerate(byte_letters()))
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        ends: list[int] = []
+        tokenize, letters = self.library.tokenize, self.letters
+        for w in words:
+            shown = w.decode() if w.isascii() and w.isalnum() else w.decode("latin-1").translate(letters)
+            ids += [t.id for t in tokenize(shown)]
+            ends.append(len(ids))
+        return np.array(ids, np.int64), np.array(ends, np.int64)
 
 
 _encoders: dict[int, LibraryEncoder] = {}
@@ -237,7 +215,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
 
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for doc, codes in zip(batch.column("doc_id").to_pylist(), enc.run(texts), strict=True):
+            for doc, codes in zip(batch.column("doc_id").to_pylist(), enc.run(texts)[0], strict=True):
                 held.append((doc, np.frombuffer(codes + tail, "<u4")))
                 n += len(held[-1][1])
                 if n >= IDS_PER_FILE:
