@@ -52,6 +52,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which a list is broadcast; beyond it the join is shuffled.
+MOST_BROADCAST = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """docs whose doc_id is not in gone (doc_id); rows with a null id stay.
+
+    The texts are shuffled only if the ids are too many to broadcast; they are counted first.
+    """
+    ids = materialize(gone.select("doc_id").where("doc_id is not null").distinct(), label)
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the id as text leaves 2 on division by 4; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -217,3 +217,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, start_word long, n_words long, similarity double")
 
     return reduce(DataFrame.union, [over(b) for b in _blocks(benchmark)])
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that leak an item; all columns."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    for block in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(shared.value)
+            for batch in batches:
+                leaking = {g[0] for g in bench.search(batch.column("text").to_pylist())}
+                yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

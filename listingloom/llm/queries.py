@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, decontaminate, language_id, secrets, shards, shingle_join, token_files, toxicity, warc
+from . import byte_pairs, decontaminate, language_id, nearest, secrets, shards, shingle_join, token_files, toxicity, warc
 from .common import held_out, table
 
 
@@ -15,6 +15,7 @@ WORD_BPE = "word_bpe_49k.json"
 #: Appended to each document in the token-id files.
 END_ID = 2
 SHARDS = 8
+NEIGHBOURS = 10
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -82,6 +83,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, NEIGHBOURS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
