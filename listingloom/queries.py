@@ -1,11 +1,652 @@
-"""Named queries over the driver tables."""
+"""Named queries over the driver tables, each with its SQL where SQL can say it.
+
+`part` has no listing vocabulary, so one projection of it, spelled the same in both
+languages, stands in for a catalog of listings.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import attributes, rules, similarity, text
+from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, pairs, prepare, ranking, sampling, synth
+from .plans.scoring import RuleScorer
+
+_RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        _RUN[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LISTING = """
+  p_partkey AS id,
+  concat(p_name, ' ', CASE p_partkey % 5 WHEN 0 THEN 'laptop' WHEN 1 THEN 'TWS earbuds' WHEN 2 THEN 'camera' WHEN 3 THEN 'router' ELSE 'gadget' END,
+    CASE WHEN p_partkey % 4 = 0 THEN concat(' ', p_brand) ELSE '' END) AS title,
+  p_brand AS brand,
+  concat(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(p_type, ' ', CAST(p_size AS STRING), 'GB RAM ', CAST(p_size * 8 AS STRING), ' gb SSD') END,
+    CASE p_partkey % 7 WHEN 0 THEN ' Core i7 Ryzen 5' WHEN 1 THEN ' and 64GB RAM' WHEN 2 THEN ' 1TB 2TB 512GB storage' WHEN 3 THEN ' choose 1TB 2TB 4TB' ELSE '' END,
+    CASE p_partkey % 11 WHEN 0 THEN ' Bluetooth 5.0 Bluetooth 5.3' WHEN 1 THEN ' Bluetooth 5.0' WHEN 2 THEN ' Bluetooth v5.3' ELSE '' END) AS description,
+  CONCAT('size ', CAST(p_size % 5 AS STRING)) AS category
+"""
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = [c.strip() for c in _split_projection(_LISTING)]
+    return table(spark, sf_dir, "part").selectExpr(*cols)
+
+
+def _split_projection(sql: str) -> list[str]:
+    """The expressions of a select list: commas outside parentheses part them."""
+    out, depth, quoted, now = [], 0, False, ""
+    for ch in sql:
+        quoted ^= ch == "'"
+        depth += 0 if quoted else (ch == "(") - (ch == ")")
+        if ch == "," and not depth and not quoted:
+            out.append(now)
+            now = ""
+        else:
+            now += ch
+    return [*out, now]
+
+
+def listing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a brand: label 1 for equal first two title words (the part's name)."""
+    rows = listings(spark, sf_dir)
+    prepared = pairs.prepare(rows).withColumn("_name", F.substring_index("title", " ", 2))
+    met = pairs.blocked_pairs(prepared, ["brand"])
+    return met.withColumn("label", (F.col("a._name") == F.col("b._name")).cast("int"))
+
+
+# ---- SQL building blocks ---------------------------------------------------------------
+
+L = f"WITH l AS (SELECT {_LISTING.replace('STRING', 'VARCHAR')} FROM part)"
+
+
+def _t(a: str) -> str:
+    return f"concat({a}.title, ' ', {a}.description)"
+
+
+def _sql_tokens(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
+
+
+def _sql_first(tests: list[tuple[str, str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {t} THEN '{v}'" for t, v in tests) + f" ELSE {default} END"
+
+
+def _sql_color(x: str) -> str:
+    return _sql_first([(f"contains(lower({x}), '{c}')", c) for c in attributes.COLORS], "NULL")
+
+
+def _sql_category(x: str) -> str:
+    return _sql_first([("(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in ws) + ")", k) for k, ws in attributes.CATEGORIES.items()], "'OTHER'")
+
+
+def _sql_ram(x: str) -> str:
+    return f"nullif(regexp_extract(lower({x}), '\\b(\\d{{1,3}})\\s*gb\\s*ram\\b', 1), '')"
+
+
+def _sql_storage(x: str) -> str:
+    bare = f"regexp_replace(lower({x}), '\\b\\d{{1,4}}\\s*(gb|tb)\\s*ram', '', 'g')"
+    return f"nullif(concat(regexp_extract({bare}, '\\b(\\d{{1,4}})\\s*(gb|tb)\\b', 1), regexp_extract({bare}, '\\b(\\d{{1,4}})\\s*(gb|tb)\\b', 2)), '')"
+
+
+def _sql_bluetooth(x: str) -> str:
+    return f"nullif(regexp_extract(lower({x}), '\\bbluetooth\\s*v?(\\d\\.\\d)\\b', 1), '')"
+
+
+def _sql_matches(pattern: str, x: str) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all({x}, '(?i){pattern}')))"
+
+
+#: Products with everything that a pair needs, worked out once.
+PREPARED = L + f""", p AS (SELECT l.*, {_t('l')} AS t, {_sql_tokens(_t('l'))} AS tok, {_sql_category(_t('l'))} AS cat,
+  {_sql_color(_t('l'))} AS color, {_sql_ram(_t('l'))} AS ram, {_sql_storage(_t('l'))} AS storage, {_sql_bluetooth(_t('l'))} AS bt,
+  split_part(title, ' ', 1) || ' ' || split_part(title, ' ', 2) AS name2 FROM l)"""
+
+
+def _sql_jaccard(a: str, b: str, tok: str = "tok") -> str:
+    both = f"len(list_intersect({a}.{tok}, {b}.{tok}))"
+    return f"CASE WHEN len({a}.{tok}) = 0 OR len({b}.{tok}) = 0 THEN 0.0::DOUBLE ELSE {both}::DOUBLE / (len({a}.{tok}) + len({b}.{tok}) - {both}) END"
+
+
+def _sql_relationship(label: str, a: str = "a", b: str = "b") -> str:
+    differ = " OR ".join(f"coalesce({a}.{c} <> {b}.{c}, false)" for c in ("color", "ram", "storage", "bt"))
+    return (
+        f"CASE WHEN {label} = 1 THEN CASE WHEN {differ} THEN 'SAME_PRODUCT_DIFFERENT_VARIANT' ELSE 'EXACT_MATCH' END "
+        f"WHEN {a}.cat <> {b}.cat OR {a}.cat = 'OTHER' THEN 'UNRELATED' WHEN {_sql_jaccard(a, b)} >= 0.25 THEN 'SIMILAR_ALTERNATIVE' ELSE 'WEAKLY_SIMILAR' END"
+    )
+
+
+_LABEL = "CASE WHEN a.name2 = b.name2 THEN 1 ELSE 0 END"
+LABELLED = PREPARED + f", r AS (SELECT a.id AS id1, b.id AS id2, {_LABEL} AS label, {_sql_relationship(_LABEL)} AS relationship_label FROM p a JOIN p b ON a.brand = b.brand AND a.id < b.id)"
+
+_CPU = " + ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN 1 ELSE 0 END" for p in rules.CPU_FAMILIES.values())
+_VARIANTS = rules.VARIANTS.replace("(?iU)", "(?i)")
+ISSUES = PREPARED + f""", f AS (SELECT id, title, brand, description,
+  ({_CPU}) >= 2 AS cpu, len({_sql_matches(rules.RAM, 't')}) >= 2 AS ramc, len({_sql_matches(rules.BLUETOOTH, 't')}) >= 2 AS btc,
+  NOT regexp_matches(t, '{_VARIANTS}') AND len({_sql_matches(rules.STORAGE, 't')}) >= 3 AS stc,
+  brand <> '' AND NOT contains(lower(t), lower(trim(brand))) AS brc FROM p),
+ q AS (SELECT *, (cpu::INT + ramc::INT + btc::INT + stc::INT + brc::INT)::INT AS issue_count,
+  CASE WHEN cpu OR ramc THEN 'high' WHEN btc OR stc THEN 'medium' WHEN brc THEN 'low' ELSE 'none' END AS max_severity,
+  concat_ws(',', CASE WHEN cpu THEN 'cpu_family_conflict' END, CASE WHEN ramc THEN 'ram_conflict' END, CASE WHEN btc THEN 'bluetooth_version_conflict' END,
+    CASE WHEN stc THEN 'storage_conflict' END, CASE WHEN brc THEN 'brand_mismatch' END) AS issue_codes FROM f)"""
+
+
+# ---- scalars ---------------------------------------------------------------------------
+
+_UNITS = "|".join(text.UNITS)
+
+
+def _sql_clean(x: str) -> str:
+    joined = f"regexp_replace(lower(trim(coalesce({x}, ''))), '(\\d)\\s*({_UNITS})\\b', '\\1\\2', 'g')"
+    return f"trim(regexp_replace(regexp_replace({joined}, '[^a-z0-9.\\-\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_sql_clean('url')} AS cleaned FROM pages")
+def clean_text(spark, d):
+    return table(spark, d, "pages").select("page_id", text.clean_text("url").alias("cleaned"))
+
+
+@query(L + f""" SELECT id, concat_ws(' | ', nullif({_sql_clean('title')}, ''), CASE WHEN {_sql_clean('brand')} <> '' THEN 'brand ' || {_sql_clean('brand')} END,
+  nullif({_sql_clean('description')}, '')) AS product_text FROM l""")
+def product_text(spark, d):
+    return listings(spark, d).select("id", text.product_text("title", "brand", None, "description").alias("product_text"))
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS squeezed FROM conversations")
+def ws_normalize(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", text.squeeze("text").alias("squeezed"))
+
+
+@query(PREPARED + " SELECT id, color, ram, storage, bt AS bluetooth_version FROM p")
+def extract_attributes(spark, d):
+    return listings(spark, d).select("id", attributes.extract_attributes(text.candidate_text()).alias("x")).select("id", "x.*")
+
+
+@query(PREPARED + " SELECT id, cat AS category FROM p")
+def categorize(spark, d):
+    return listings(spark, d).select("id", attributes.categorize(text.candidate_text()).alias("category"))
+
+
+@query(PREPARED + f" SELECT a.id AS id1, b.id AS id2, {_sql_jaccard('a', 'b')} AS overlap FROM p a JOIN p b ON a.brand = b.brand AND a.id < b.id")
+def token_overlap(spark, d):
+    met = listing_pairs(spark, d)
+    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), similarity.jaccard("a._tokens", "b._tokens").alias("overlap"))
+
+
+def _sql_draw(seed: str, key: str) -> str:
+    return f"CAST(concat('0x', substr(md5(concat('{seed}|', CAST({key} AS VARCHAR))), 1, 8)) AS BIGINT)"
+
+
+def _sql_swap() -> str:
+    whens, both = [], "lower(concat(title, ' ', description))"
+    for name, values, suffix in (("color", attributes.SWAP_COLORS, ""), ("ram", attributes.SWAP_RAM, "gb ram"), ("storage", attributes.SWAP_STORAGE, "")):
+        for v in values:
+            others = ", ".join(f"'{o}{suffix}'" for o in values if o != v)
+            whens.append(f"WHEN contains({both}, '{v}{suffix}') THEN {{'attribute': '{name}', 'old': '{v}{suffix}', 'new': ([{others}])[(draw % {len(values) - 1} + 1)::INT]}}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+SWAPPED = L + f""", s AS (SELECT *, {_sql_draw('42-swap', 'id')} AS draw FROM l), w AS (SELECT *, {_sql_swap()} AS plan FROM s),
+ v AS (SELECT *, plan.attribute AS attribute, replace(lower(title), plan.old, plan.new) AS new_title, replace(lower(description), plan.old, plan.new) AS new_description FROM w WHERE plan IS NOT NULL)"""
+
+
+@query(SWAPPED + " SELECT id, attribute, new_title AS title, new_description AS description FROM v")
+def attribute_swap(spark, d):
+    rows = listings(spark, d).select("id", attributes.swap_attribute("title", "description", synth.draw("42-swap", "id")).alias("s"))
+    return rows.where("s is not null").select("id", "s.attribute", "s.title", "s.description")
+
+
+@query("""SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60)
+  WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS elapsed FROM (SELECT event_id, greatest(floor(value * 37), 0)::INT AS s FROM events)""")
+def format_time(spark, d):
+    return table(spark, d, "events").select("event_id", text.format_time(F.col("value") * 37).alias("elapsed"))
+
+
+@query("""SELECT p_partkey, (list_position([p_size * 0.1, p_retailprice / 500, 2.5], greatest(p_size * 0.1, p_retailprice / 500, 2.5)) - 1)::INT AS best,
+  round(exp(p_size * 0.1 - greatest(p_size * 0.1, p_retailprice / 500, 2.5)) / (exp(p_size * 0.1 - greatest(p_size * 0.1, p_retailprice / 500, 2.5)) + exp(p_retailprice / 500 - greatest(p_size * 0.1, p_retailprice / 500, 2.5)) + exp(2.5 - greatest(p_size * 0.1, p_retailprice / 500, 2.5))), 9) AS p_first FROM part""")
+def softmax(spark, d):
+    logits = F.array(F.col("p_size") * F.lit(0.1), F.col("p_retailprice") / 500, F.lit(2.5))
+    rows = table(spark, d, "part").select("p_partkey", logits.alias("z"))
+    return rows.select("p_partkey", text.argmax("z").alias("best"), F.round(F.get(text.softmax("z"), F.lit(0)), 9).alias("p_first"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages""")
+def page_title_scan(spark, d):
+    return table(spark, d, "pages").select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host")
+    )
+
+
+# ---- quality ---------------------------------------------------------------------------
+
+
+@query(ISSUES + " SELECT id, issue_count, max_severity, issue_codes FROM q")
+def quality_report(spark, d):
+    return rules.quality_report(listings(spark, d)).select("id", "issue_count", "max_severity", F.array_join("issue_codes", ",").alias("issue_codes"))
+
+
+@query(ISSUES + " SELECT max_severity, count(*) AS listings, count(*) FILTER (issue_count > 0) AS flagged FROM q GROUP BY 1")
+def severity_summary(spark, d):
+    return rules.severity_summary(rules.quality_report(listings(spark, d)))
+
+
+@query(ISSUES + " SELECT id, title, brand FROM q WHERE max_severity <> 'high'")
+def filter_clean(spark, d):
+    rows = listings(spark, d)
+    return rules.filter_clean(rows, rules.quality_report(rows), "medium").select("id", "title", "brand")
+
+
+@query(ISSUES + " SELECT id FROM q WHERE stc")
+def rule_storage(spark, d):
+    return listings(spark, d).where(rules.storage_conflict(text.candidate_text()).isNotNull()).select("id")
+
+
+@query(ISSUES + " SELECT id, brand FROM q WHERE brc")
+def rule_brand_mismatch(spark, d):
+    return listings(spark, d).where(rules.brand_mismatch(text.candidate_text(), F.col("brand")).isNotNull()).select("id", "brand")
+
+
+# ---- pairs -----------------------------------------------------------------------------
+
+
+def _labelled(spark, d):
+    met = listing_pairs(spark, d)
+    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), "label", pairs.relationship(F.col("label"), F.col("a"), F.col("b")).alias("relationship_label"))
+
+
+@query(LABELLED + " SELECT id1, id2, relationship_label FROM r")
+def label_pairs(spark, d):
+    return _labelled(spark, d).select("id1", "id2", "relationship_label")
+
+
+@query(LABELLED + " SELECT relationship_label, count(*) AS pairs FROM r GROUP BY 1")
+def relationship_counts(spark, d):
+    return _labelled(spark, d).groupBy("relationship_label").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(ISSUES + f""", r AS (SELECT a.id AS id1, b.id AS id2, {_sql_relationship(_LABEL)} AS relationship_label FROM p a JOIN p b ON a.brand = b.brand AND a.id < b.id)
+  SELECT r.* FROM r JOIN q x ON x.id = id1 JOIN q y ON y.id = id2 WHERE x.max_severity <> 'high' AND y.max_severity <> 'high'""")
+def gated_pairs(spark, d):
+    # the gate is a product's own: it is asked once for each product, before the join
+    rows = listings(spark, d).where(~rules.is_high_severity(text.candidate_text()))
+    prepared = pairs.prepare(rows).withColumn("_name", F.substring_index("title", " ", 2))
+    met = pairs.blocked_pairs(prepared, ["brand"])
+    label = (F.col("a._name") == F.col("b._name")).cast("int")
+    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), pairs.relationship(label, F.col("a"), F.col("b")).alias("relationship_label"))
+
+
+def _structured(spark, d) -> DataFrame:
+    """Listings of the same category (size class) and name as structured pairs with a row number."""
+    rows = listings(spark, d).withColumn("_name", F.substring_index("title", " ", 2))
+    met = pairs.blocked_pairs(rows, ["_name", "category"])
+    return pairs.flat(met, (F.col("a.id") % 2).cast("int").alias("label"), (F.col("a.id") * 1000000 + F.col("b.id")).alias("_row"))
+
+
+STRUCTURED = L + """, s AS (SELECT a.id AS id1, a.title AS t1, b.id AS id2, b.title AS t2, (a.id % 2)::INT AS label, a.id * 1000000 + b.id AS rn FROM l a JOIN l b
+  ON split_part(a.title, ' ', 1) || ' ' || split_part(a.title, ' ', 2) = split_part(b.title, ' ', 1) || ' ' || split_part(b.title, ' ', 2) AND a.category = b.category AND a.id < b.id)"""
+
+
+@query(STRUCTURED + """, u AS (SELECT id1 AS id, t1 AS title, 1 AS side, rn FROM s UNION ALL SELECT id2, t2, 2, rn FROM s)
+  SELECT id, title FROM u WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY side, rn) = 1""")
+def unique_products(spark, d):
+    return dedupe.unique_products(_structured(spark, d), "_row").select("id", "title")
+
+
+@query(STRUCTURED + """, f AS (SELECT *, 0 AS file FROM s WHERE label = 1 UNION ALL SELECT *, 1 AS file FROM s)
+  SELECT id1 AS product1_id, id2 AS product2_id, label FROM f WHERE lower(trim(t1)) <> lower(trim(t2))
+  QUALIFY row_number() OVER (PARTITION BY least(lower(trim(t1)), lower(trim(t2))), greatest(lower(trim(t1)), lower(trim(t2))) ORDER BY file, rn) = 1""")
+def merge_dedupe(spark, d):
+    rows = _structured(spark, d)
+    return dedupe.merge_datasets([rows.where("label = 1"), rows]).select("product1_id", "product2_id", "label")
+
+
+@query("SELECT lang, source, text, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY lang, source, text HAVING count(*) > 1")
+def ordered_dedupe(spark, d):
+    rows = table(spark, d, "documents").groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
+    return rows.where("copies > 1")
+
+
+_MAPPING = "m AS (SELECT DISTINCT l_partkey AS a_id, l_suppkey AS b_id FROM lineitem WHERE l_linenumber = 1)"
+
+
+def _sources(spark, d):
+    a = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("description"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title"), F.lit("").alias("brand"), F.lit("").alias("description"))
+    m = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("a_id"), F.col("l_suppkey").alias("b_id")).distinct()
+    return a, b, m
+
+
+@query(f"WITH {_MAPPING} SELECT p_partkey::VARCHAR AS product1_id, p_name AS product1_title, s_suppkey::VARCHAR AS product2_id, s_name AS product2_title, 1 AS label FROM m JOIN part ON a_id = p_partkey JOIN supplier ON b_id = s_suppkey")
+def positives_join(spark, d):
+    a, b, m = _sources(spark, d)
+    return benchmarks.gold_pairs(a, b, m, "a_id", "b_id").select("product1_id", "product1_title", "product2_id", "product2_title", "label")
+
+
+@query(f"""WITH {_MAPPING}, c AS (SELECT p_partkey AS a_id, s_suppkey AS b_id FROM part JOIN supplier ON p_size % 25 = s_nationkey)
+  SELECT c.a_id, c.b_id FROM c ANTI JOIN m ON c.a_id = m.a_id AND c.b_id = m.b_id""")
+def negatives_anti(spark, d):
+    _, _, m = _sources(spark, d)
+    met = table(spark, d, "part").join(table(spark, d, "supplier"), F.col("p_size") % 25 == F.col("s_nationkey")).select(F.col("p_partkey").alias("a_id"), F.col("s_suppkey").alias("b_id"))
+    return dedupe.without_keys(met, m, ["a_id", "b_id"])
+
+
+@query()
+def benchmark_pairs(spark, d):
+    return benchmarks.generate_pairs(*_sources(spark, d), "a_id", "b_id", 1.5)
+
+
+def _sql_order(seed: str, *keys: str) -> str:
+    return f"md5(concat('{seed}|', " + ", '|', ".join(f"CAST({k} AS VARCHAR)" for k in keys) + "))"
+
+
+@query(SWAPPED + f""" SELECT CAST(id AS VARCHAR) AS product1_id, concat(CAST(id AS VARCHAR), '-variant-', attribute) AS product2_id, new_title AS product2_title, new_description AS product2_description,
+  'SAME_PRODUCT_DIFFERENT_VARIANT' AS relationship_label FROM v ORDER BY {_sql_order('42', 'id')}, id LIMIT 280""")
+def variant_pairs(spark, d):
+    return synth.variant_pairs(listings(spark, d), 280).select("product1_id", "product2_id", "product2_title", "product2_description", "relationship_label")
+
+
+@query(L + f""", b AS (SELECT id, brand, trim(replace(title, brand, ''), ' ,-') AS bare FROM l WHERE brand <> '' AND contains(lower(title), lower(brand)) ORDER BY {_sql_order('7', 'id')}, id LIMIT 280)
+  SELECT CAST(id AS VARCHAR) AS product1_id, ([concat(bare, ' by ', brand), concat(bare, ' - ', brand), concat(brand, ': ', bare)])[({_sql_draw('7-words', 'id')} % 3 + 1)::INT] AS product2_title FROM b""")
+def exact_pairs(spark, d):
+    return synth.exact_pairs(listings(spark, d), 280).select("product1_id", "product2_title")
+
+
+def _sql_band(low: float, high: float, seed: int) -> str:
+    return PREPARED + f""", g AS (SELECT * FROM p WHERE cat <> 'OTHER'), x AS (SELECT a.id AS i, b.id AS j, {_sql_jaccard('a', 'b')} AS o FROM g a JOIN g b ON a.cat = b.cat AND a.id < b.id AND lower(trim(a.brand)) <> lower(trim(b.brand)))
+  SELECT i AS product1_id, j AS product2_id FROM x WHERE o >= {low} AND o < {high} ORDER BY {_sql_order(str(seed), 'i', 'j')}, i, j LIMIT 280"""
+
+
+@query(_sql_band(0.25, 0.55, 42))
+def alternative_pairs(spark, d):
+    return synth.alternative_pairs(listings(spark, d)).select("product1_id", "product2_id")
+
+
+@query(_sql_band(0.05, 0.25, 43))
+def weak_pairs(spark, d):
+    return synth.weak_pairs(listings(spark, d)).select("product1_id", "product2_id")
+
+
+@query()
+def unrelated_pairs(spark, d):
+    return synth.unrelated_pairs(listings(spark, d), 280)
+
+
+@query(PREPARED + f""", g AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY category) >= 5),
+  h AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_sql_order('42-pool', 'id')}, id) AS r FROM g QUALIFY r <= 124),
+  x AS (SELECT a.category AS c, a.id AS i, b.id AS j, {_sql_jaccard('a', 'b')} AS o FROM h a JOIN h b ON a.category = b.category AND a.id < b.id AND (trim(a.brand) = '' OR lower(trim(a.brand)) <> lower(trim(b.brand)))),
+  y AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY {_sql_order('42', 'i', 'j')}, i, j) AS r FROM x QUALIFY r <= 500),
+  z AS (SELECT c, quantile_cont(o, 0.9) AS hi, quantile_cont(o, 0.5) AS lo, count(*) AS n FROM y GROUP BY c)
+  SELECT i AS product1_id, j AS product2_id, CASE WHEN o >= hi THEN 'SIMILAR_ALTERNATIVE' ELSE 'WEAKLY_SIMILAR' END AS relationship_label FROM y JOIN z USING (c) WHERE n >= 10 AND o >= lo""")
+def percentile_bands(spark, d):
+    return synth.percentile_pairs(listings(spark, d)).select("product1_id", "product2_id", "relationship_label")
+
+
+@query()
+def catalog_relationships(spark, d):
+    return synth.generate_catalog(listings(spark, d), 280)
+
+
+# ---- sampling and splits ---------------------------------------------------------------
+
+
+@query(f"""WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT sum(n) AS total, ceil(round(0.15 * sum(n), 9)) AS test FROM n),
+  a AS (SELECT quality, n, n * test / total AS exact, floor(n * test / total) AS base, test FROM n, t),
+  b AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY base - exact, CAST(quality AS VARCHAR)) <= test - sum(base) OVER () THEN 1 ELSE 0 END AS n_test FROM a),
+  c AS (SELECT *, n - n_test AS rest, ceil(round((sum(n) OVER () - test) * (0.15 / 0.85), 9)) AS val, sum(n - n_test) OVER () AS all_rest FROM b),
+  e AS (SELECT *, rest * val / all_rest AS vexact, floor(rest * val / all_rest) AS vbase FROM c),
+  f AS (SELECT *, vbase + CASE WHEN row_number() OVER (ORDER BY vbase - vexact, CAST(quality AS VARCHAR)) <= val - sum(vbase) OVER () THEN 1 ELSE 0 END AS n_val FROM e),
+  r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_sql_order('42', 'doc_id')}, doc_id) AS r FROM labels)
+  SELECT doc_id, r.quality, CASE WHEN r <= n_test THEN 'test' WHEN r <= n_test + n_val THEN 'val' ELSE 'train' END AS split FROM r JOIN f USING (quality)""")
+def stratified_split(spark, d):
+    return sampling.stratified_split(table(spark, d, "labels"), "quality", 42, ["doc_id"]).select("doc_id", "quality", "split")
+
+
+@query(f"SELECT doc_id, lang FROM documents ORDER BY {_sql_order('42', 'doc_id')}, doc_id LIMIT 100")
+def md5_sample(spark, d):
+    return sampling.sample(table(spark, d, "documents"), 100, 42, "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT c.class, (SELECT count(*) FROM labels) / (3 * coalesce(n, 1))::DOUBLE AS weight FROM (VALUES (0), (1), (2)) c(class) LEFT JOIN (SELECT quality AS class, count(*) AS n FROM labels GROUP BY 1) USING (class)")
+def class_weights(spark, d):
+    return metrics.class_weights(table(spark, d, "labels"), [0, 1, 2], "quality")
+
+
+@query(f"""SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_sql_order('5', 'doc_id')}, doc_id) <= 20""")
+def class_quota(spark, d):
+    return sampling.quota(table(spark, d, "documents"), 20, 5, ["doc_id"], ["lang"]).select("lang", "doc_id")
+
+
+# ---- metrics ---------------------------------------------------------------------------
+
+BINARY = "WITH s AS (SELECT quality AS y, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS p, n_chars AS score FROM labels JOIN documents USING (doc_id))"
+FIVE = "WITH s AS (SELECT c_mktsegment AS y, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[(c_custkey % 5 + 1)::INT] END AS p FROM customer)"
+CLASSES = """, k AS (SELECT y AS c FROM s UNION SELECT p FROM s), n AS (SELECT c, count(*) FILTER (y = c AND p = c) AS tp, count(*) FILTER (p = c) AS pp, count(*) FILTER (y = c) AS ap FROM k, s GROUP BY c),
+  m AS (SELECT c, tp, ap, coalesce(tp / nullif(pp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(ap, 0)::DOUBLE, 0) AS recall FROM n), g AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m)"""
+
+
+def _binary(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select(F.col("quality").alias("y"), F.when(F.col("n_chars") >= 1000, 1).otherwise(0).alias("p"), F.col("n_chars").alias("score"))
+
+
+def _five(spark, d):
+    names = F.array(*map(F.lit, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]))
+    p = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.element_at(names, (F.col("c_custkey") % 5 + 1).cast("int")))
+    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("y"), p.alias("p"))
+
+
+@query(BINARY + """, n AS (SELECT avg((y = p)::INT) AS accuracy, count(*) FILTER (y = 1 AND p = 1)::DOUBLE AS tp, count(*) FILTER (p = 1) AS pp, count(*) FILTER (y = 1) AS ap FROM s),
+  m AS (SELECT accuracy, coalesce(tp / nullif(pp, 0), 0) AS precision, coalesce(tp / nullif(ap, 0), 0) AS recall FROM n)
+  SELECT round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM m""")
+def binary_metrics(spark, d):
+    return metrics.compute_metrics(_binary(spark, d), classes=2).select(*[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query(FIVE + CLASSES + " SELECT round(sum(tp)::DOUBLE / sum(ap), 9) AS accuracy, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f1), 9) AS f1 FROM g")
+def macro_metrics(spark, d):
+    return metrics.compute_metrics(_five(spark, d), classes=5).select(*[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query(FIVE + CLASSES + """ SELECT c AS class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, ap::BIGINT AS support FROM g
+  UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp)::DOUBLE / sum(ap), 9), sum(ap)::BIGINT FROM g
+  UNION ALL SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(ap)::BIGINT FROM g
+  UNION ALL SELECT 'weighted avg', round(sum(precision * ap) / sum(ap), 9), round(sum(recall * ap) / sum(ap), 9), round(sum(f1 * ap) / sum(ap), 9), sum(ap)::BIGINT FROM g""")
+def class_report(spark, d):
+    return metrics.classification_report(_five(spark, d)).select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(FIVE + " SELECT y, " + ", ".join(f"count(*) FILTER (p = '{c}') AS {c}" for c in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM s GROUP BY y")
+def confusion(spark, d):
+    return metrics.confusion_matrix(_five(spark, d), ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+
+
+@query(BINARY + """, r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s)
+  SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)::DOUBLE / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 9) AS auc FROM r""")
+def roc_auc(spark, d):
+    return metrics.roc_auc(_binary(spark, d)).select(F.round("auc", 9).alias("auc"))
+
+
+@query("SELECT event_type, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY 1")
+def value_counts(spark, d):
+    return metrics.value_counts(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives, count(*) AS total FROM labels")
+def conditional_counts(spark, d):
+    return metrics.conditional_counts(table(spark, d, "labels"), "quality")
+
+
+EPOCHS = "WITH h AS (SELECT event_id % 12 AS epoch, round(avg(value), 6) AS val_loss, round(avg(value * (event_id % 7)), 6) AS f1 FROM events GROUP BY 1)"
+
+
+def _epochs(spark, d):
+    rows = table(spark, d, "events").groupBy((F.col("event_id") % 12).alias("epoch"))
+    return rows.agg(F.round(F.avg("value"), 6).alias("val_loss"), F.round(F.avg(F.col("value") * (F.col("event_id") % 7)), 6).alias("f1"))
+
+
+@query(EPOCHS + " SELECT epoch AS best_epoch, f1 AS best_metric FROM h ORDER BY f1 DESC, epoch LIMIT 1")
+def best_epoch(spark, d):
+    return metrics.best_epoch(_epochs(spark, d))
+
+
+@query()
+def early_stop(spark, d):
+    return metrics.early_stop(_epochs(spark, d))
+
+
+@query("SELECT round(sum(value * (event_id % 5)) / sum(event_id % 5), 6) AS average FROM events")
+def running_average(spark, d):
+    rows = table(spark, d, "events").select("value", (F.col("event_id") % 5).alias("n"))
+    return metrics.running_average(rows, "value", "n").select(F.round("average", 6).alias("average"))
+
+
+# ---- audit, catalog, ranking -----------------------------------------------------------
+
+_BRANDS = ["Brand#1", "Brand#13", "Brand#25", "laptop", "router", "Acme"]
+
+
+@query(L + ", c AS (SELECT lower(unnest([title, description, brand])) AS cell FROM l), n AS (SELECT b.brand, count(*) FILTER (contains(cell, lower(b.brand))) AS mentions FROM c, (VALUES " + ", ".join(f"('{b}')" for b in _BRANDS) + ") b(brand) GROUP BY 1) SELECT brand, mentions, CASE WHEN mentions = 0 THEN 'MISSING' WHEN mentions < 10 THEN 'THIN' ELSE 'OK' END AS status FROM n")
+def brand_coverage(spark, d):
+    return audit.ordered(audit.coverage(listings(spark, d).select("title", "description", "brand"), _BRANDS))
+
+
+def _files(spark, d):
+    """Id-keyed files made of customers: names, segments, and region / nation paths."""
+    c = table(spark, d, "customer")
+    paths = c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    paths = paths.select(F.col("c_custkey").alias("id"), F.array(F.concat("r_name", F.lit(", "), "n_name", F.lit(", "), "c_mktsegment"), F.lit("All")).alias("paths"))
+    titles = c.where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value"))
+    brands = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value"))
+    descriptions = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("string").alias("value"))
+    return titles, paths, brands, descriptions
+
+
+FILES = "WITH f AS (SELECT c_custkey AS id, c_name AS title, c_mktsegment AS seg, c_acctbal, r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(FILES + " SELECT id, title, CASE WHEN id % 3 = 0 THEN seg ELSE '' END AS brand, r_name AS category FROM f WHERE id % 10 <> 0 AND id % 7 <> 0")
+def catalog_join(spark, d):
+    titles, paths, brands, descriptions = _files(spark, d)
+    return catalog.assemble(descriptions, titles, paths, brands).select("id", "title", "brand", "category")
+
+
+@query(FILES + " SELECT id, title, CASE WHEN id % 3 = 0 THEN seg ELSE '' END AS brand, concat(r_name, ', ', n_name, ', ', seg, ' | All') AS category FROM f WHERE id % 10 <> 0 AND contains(lower(concat(r_name, ', ', n_name, ', ', seg, ' | All')), 'asia')")
+def category_filter(spark, d):
+    titles, paths, brands, descriptions = _files(spark, d)
+    return catalog.filter_dataset(titles, paths, brands, descriptions, ["Asia"]).select("id", "title", "brand", "category")
+
+
+@query(FILES + " SELECT id, r_name AS top, concat(r_name, ', ', n_name) AS sub FROM f")
+def subcategory(spark, d):
+    _, paths, _, _ = _files(spark, d)
+    return paths.select("id", text.top_category("paths").alias("top"), text.sub_category("paths").alias("sub"))
+
+
+@query(L + f", o AS (SELECT id, title, lead(id) OVER w AS id2, lead(title) OVER w AS t2 FROM l WINDOW w AS (ORDER BY {_sql_order('42', 'id')})) SELECT id AS product1_id, title AS product1_title, id2 AS product2_id, t2 AS product2_title FROM o WHERE id2 IS NOT NULL")
+def consecutive_pairs(spark, d):
+    return pairs.consecutive(listings(spark, d), 42, ["id"], ["id", "title"])
+
+
+CANDIDATES = PREPARED + """, c AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS r FROM p a JOIN p b ON a.cat = b.cat AND a.id <> b.id WHERE a.id % 20 = 0 QUALIFY r <= 50)"""
+
+
+@query(CANDIDATES + " SELECT i AS original_id, j AS candidate_id FROM c")
+def retrieve_candidates(spark, d):
+    rows = listings(spark, d).withColumn("pos", F.col("id"))
+    found = pairs.retrieve_candidates(rows.where("id % 20 = 0"), rows, 50)
+    return found.select(F.col("original.id").alias("original_id"), F.col("candidate.id").alias("candidate_id"))
+
+
+_TITLE_TOKENS = PREPARED.replace("split_part(title, ' ', 1) ||", f"{_sql_tokens('title')} AS ttok, split_part(title, ' ', 1) ||", 1)
+_RULE_LABEL = f"CASE WHEN a.cat = b.cat AND trim(a.brand) <> '' AND lower(trim(a.brand)) = lower(trim(b.brand)) AND {_sql_jaccard('a', 'b', 'ttok')} >= 0.6 THEN 1 ELSE 0 END"
+
+
+@query(CANDIDATES.replace(PREPARED, _TITLE_TOKENS) + f""", s AS (SELECT i, j, {_sql_relationship(_RULE_LABEL)} AS relationship, round(100 * ({_sql_jaccard('a', 'b')}) / 100, 4) AS score FROM c JOIN p a ON a.id = i JOIN p b ON b.id = j),
+  k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rank FROM s WHERE relationship IN ('SAME_PRODUCT_DIFFERENT_VARIANT', 'SIMILAR_ALTERNATIVE') QUALIFY rank <= 5)
+  SELECT i AS original_id, j AS candidate_id, rank::INT AS rank, score, relationship FROM k""")
+def rank_alternatives(spark, d):
+    rows = listings(spark, d).withColumn("pos", F.col("id"))
+    return ranking.ranked_rows(rows.where("id % 20 = 0"), rows, RuleScorer())
+
+
+@query()
+def ranking_response(spark, d):
+    rows = listings(spark, d).withColumn("pos", F.col("id"))
+    return ranking.rank_alternatives(rows.where("id % 20 = 0"), rows, RuleScorer())
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def triangular_pairs(spark, d):
+    return pairs.triangular(table(spark, d, "nation"), "n_nationkey").select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"))
+
+
+@query("WITH f AS (SELECT DISTINCT p_brand, p_type, p_size FROM part) SELECT a.p_brand, a.p_type, a.p_size AS size_a, b.p_size AS size_b FROM f a JOIN f b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size < b.p_size")
+def near_miss_combos(spark, d):
+    rows = table(spark, d, "part").select("p_brand", "p_type", "p_size").distinct()
+    return pairs.triangular(rows, "p_size", ["p_brand", "p_type"]).select("a.p_brand", "a.p_type", F.col("a.p_size").alias("size_a"), F.col("b.p_size").alias("size_b"))
+
+
+# ---- preparation and generators --------------------------------------------------------
+
+
+def _sql_side(k: int) -> str:
+    return f"concat_ws(' | ', nullif({_sql_clean(f't{k}')}, ''))"
+
+
+@query(STRUCTURED + f" SELECT DISTINCT {_sql_side(1)} AS text_a, {_sql_side(2)} AS text_b, label FROM s")
+def clean_pairs(spark, d):
+    rows = _structured(spark, d).select(F.col("product1_title").alias("product1"), F.col("product2_title").alias("product2"), "label")
+    return prepare.clean_pairs(rows)
+
+
+@query()
+def generated_titles(spark, d):
+    return generators.generate(generators.families(spark), 60, "title_only")
+
+
+@query()
+def generated_structured(spark, d):
+    return generators.generate(generators.families(spark), 60, "structured")
+
+
+@query()
+def generated_specs(spark, d):
+    return generators.generate(generators.families(spark), 60, "with_specs")
+
+
+@query()
+def near_miss_negatives(spark, d):
+    return generators.near_misses(generators.families(spark))
+
+
+@query()
+def missing_brand_pairs(spark, d):
+    rows = listings(spark, d).where("id < 12")
+    return generators.missing_brand_pairs(rows, rows.where("id % 4 = 0").select(F.col("id").alias("base_id"), F.upper("title").alias("title")))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_RUN)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
