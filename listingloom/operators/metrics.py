@@ -81,6 +81,14 @@ def confusion_matrix(df: DataFrame, labels: list, y: str = "y", p: str = "p") ->
     return df.groupBy(F.col(y).alias("y")).pivot(p, labels).count().fillna(0)
 
 
+def _bucket(c: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many of the ascending cuts are no larger than c: a binary search in CASE expressions."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(c < cuts[m], _bucket(c, cuts[:m], first)).otherwise(_bucket(c, cuts[m + 1 :], first + m + 1))
+
+
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """auc: ties count half; null with one class only.
 
@@ -90,8 +98,7 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """
     points = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), [i / 256 for i in range(1, 256)], 2000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    points = points.where(F.col("s").isNotNull()).withColumn("_part", F.size(F.filter(bounds, lambda c: c <= F.col("s"))))
+    points = points.where(F.col("s").isNotNull()).withColumn("_part", _bucket(F.col("s"), sorted(set(cuts))))
     totals = points.groupBy("_part").agg(F.sum("neg").alias("_neg"))
     # 256 rows at most
     before = totals.select("_part", (F.sum("_neg").over(Window.orderBy("_part")) - F.col("_neg")).alias("_before"))
