@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +14,36 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _own_scratch: list[str] = []
+_shipped_to: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the application's Python workers, once.
+
+    Workers need it to unpickle what runs there; they may start elsewhere, without the
+    driver's import path.
+    """
+    if spark.sparkContext.applicationId in _shipped_to:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="listingloom-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped_to.add(spark.sparkContext.applicationId)
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Long texts make Spark's default of 10,000 rows a batch too large for a worker."""
+    """Long texts make Spark's default of 10,000 rows a batch too large for a worker.
+
+    Every operator that runs Python calls this first, so the package is shipped here too.
+    """
+    ship(spark)
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key).rstrip("b")
