@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,23 @@ def tokens(c: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text(c)), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once, where Spark would repeat it (in join conditions)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Of two token arrays; 0 if either is empty. Sizes come from one intersection."""
-    both = F.size(F.array_intersect(col(a), col(b)))
-    union = F.size(col(a)) + F.size(col(b)) - both
-    return F.when((F.size(col(a)) == 0) | (F.size(col(b)) == 0), F.lit(0.0)).otherwise(both / union)
+    a, b = col(a), col(b)
+    both = F.size(F.array_intersect(a, b))
+    share = let(both, lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 
 def token_overlap(a: str | Column, b: str | Column) -> Column:
     return jaccard(tokens(a), tokens(b))
+
+
+def token_ids(c: str | Column) -> Column:
+    """The tokens as 64-bit hashes: for arrays that are intersected many times."""
+    return F.transform(tokens(c), lambda w: F.xxhash64(w))

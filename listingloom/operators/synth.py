@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import OTHER, swap_attribute
-from ..functions.similarity import jaccard
+from ..functions.similarity import jaccard, let
 from ..functions.text import md5_order, text
 from .dedupe import stack
 from .pairs import ALTERNATIVE_OVERLAP, blocked_pairs, cross_brand_lenient, cross_brand_strict, flat, group_gate, prepare
@@ -61,13 +61,23 @@ def _scored(products: DataFrame, block: str, lenient: bool, salts: int = 1) -> D
     return pairs.withColumn("overlap", jaccard(F.col("a._tokens"), F.col("b._tokens")))
 
 
-def band_pairs(products: DataFrame, low: float, high: float, n: int, label: str, seed: int = 42) -> DataFrame:
-    """Cross-brand pairs of one derived category with low <= overlap < high."""
-    from ..functions.attributes import categorize
-    from ..functions.text import candidate_text
+def bounded(products: DataFrame, by: str, most: int, seed: int | str) -> DataFrame:
+    """At most `most` products for each value of by, the first in md5 order; cut before the shuffle too."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(md5_order(seed, "id"), "id"))
+    return products.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
 
-    sized = group_gate(products.withColumn("_category", categorize(candidate_text())).where(F.col("_category") != OTHER), "_category", 2)
-    pairs = _scored(prepare(sized.drop("_category")), "_category", lenient=False).where((F.col("overlap") >= low) & (F.col("overlap") < high))
+def band_pairs(products: DataFrame, low: float, high: float, n: int, label: str, seed: int = 42, per_category: int = 400) -> DataFrame:
+    """Cross-brand pairs of one derived category with low <= overlap < high.
+
+    Pairs are drawn from per_category random products of each category, which bounds the
+    pairs of a category however large it is.
+    """
+    prepared = prepare(products).where(F.col("_category") != OTHER)
+    pairs = _scored(bounded(prepared, "_category", per_category, f"{seed}-pool"), "_category", lenient=False)
+    pairs = pairs.where(let(F.col("overlap"), lambda o: (o >= low) & (o < high)))
     chosen = sample(pairs.withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id")), n, seed, "_i", "_j")
     return flat(chosen, F.lit(label).alias("relationship_label"), F.lit("synthetic").alias("source"))
 
@@ -101,8 +111,7 @@ def percentile_pairs(
 
     most = per_category or max(least, int((2 * pool) ** 0.5) * 4)
     rows = group_gate(products, category, least)
-    rank = F.row_number().over(Window.partitionBy(category).orderBy(md5_order(f"{seed}-pool", "id"), "id"))
-    rows = rows.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r").withColumn("_block", F.col(category))
+    rows = bounded(rows, category, most, f"{seed}-pool").withColumn("_block", F.col(category))
     pairs = _scored(prepare(rows, extra=["_block"]), "_block", lenient=True)
     pairs = pairs.withColumn("_b", F.col("a._block")).withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id"))
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(md5_order(seed, "_i", "_j"), "_i", "_j"))

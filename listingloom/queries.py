@@ -371,7 +371,7 @@ def exact_pairs(spark, d):
 
 
 def _sql_band(low: float, high: float, seed: int) -> str:
-    return PREPARED + f""", g AS (SELECT * FROM p WHERE cat <> 'OTHER'), x AS (SELECT a.id AS i, b.id AS j, {_sql_jaccard('a', 'b')} AS o FROM g a JOIN g b ON a.cat = b.cat AND a.id < b.id AND lower(trim(a.brand)) <> lower(trim(b.brand)))
+    return PREPARED + f""", g AS (SELECT * FROM p WHERE cat <> 'OTHER' QUALIFY row_number() OVER (PARTITION BY cat ORDER BY {_sql_order(f'{seed}-pool', 'id')}, id) <= 400), x AS (SELECT a.id AS i, b.id AS j, {_sql_jaccard('a', 'b')} AS o FROM g a JOIN g b ON a.cat = b.cat AND a.id < b.id AND lower(trim(a.brand)) <> lower(trim(b.brand)))
   SELECT i AS product1_id, j AS product2_id FROM x WHERE o >= {low} AND o < {high} ORDER BY {_sql_order(str(seed), 'i', 'j')}, i, j LIMIT 280"""
 
 
