@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_pairs, decontaminate, language_id, nearest, secrets, shards, shingle_join, token_files, toxicity, warc
 from .common import held_out, table
+from .oracles import ORACLES
 
 
 WORD_BPE = "word_bpe_49k.json"
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
