@@ -131,14 +131,17 @@ def consecutive(df: DataFrame, seed: int, key: list[str], fields: list[str]) ->
 def retrieve_candidates(originals: DataFrame, pool: DataFrame, limit: int = 50, pos: str = "pos") -> DataFrame:
     """(original, candidate, pos): of the original's category, not itself, the first `limit` of the pool.
 
-    Two null ids are one and the same product. The limit is cut by rank before the shuffle.
+    Two null ids are one and the same product. The pool is ranked once for each category: the
+    first `limit` rows of an id and the first 2 x `limit` of what is left hold the answer of
+    every original, as no more than `limit` of them are the original itself.
     """
     cat = lambda df: df.withColumn("_category", categorize(candidate_text()))
     o = cat(originals).select("_category", F.struct(*FIELDS).alias("original"))
     c = cat(pool).select("_category", F.struct(*FIELDS).alias("candidate"), F.col(pos).alias("pos"))
+    first = lambda df, most, *by: df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("pos"))).where(F.col("_rank") <= most).drop("_rank")
+    c = first(first(c, limit, "_category", "candidate.id"), 2 * limit, "_category")
     joined = o.join(c, "_category").where(~F.col("original.id").eqNullSafe(F.col("candidate.id")))
-    w = Window.partitionBy("original").orderBy("pos")
-    return joined.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit).select("original", "candidate", "pos")
+    return first(joined, limit, "original").select("original", "candidate", "pos")
 
 
 def md5_rank(seed: int, key: list[str], by: list[str]) -> Column:

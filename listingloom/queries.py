@@ -591,7 +591,7 @@ def rank_alternatives(spark, d):
 @query()
 def ranking_response(spark, d):
     rows = listings(spark, d).withColumn("pos", F.col("id"))
-    return ranking.rank_alternatives(rows.where("id % 20 = 0"), rows, RuleScorer())
+    return ranking.rank_alternatives(rows, rows, RuleScorer())
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
@@ -640,8 +640,7 @@ def near_miss_negatives(spark, d):
 
 @query()
 def missing_brand_pairs(spark, d):
-    rows = listings(spark, d).where("id < 12")
-    return generators.missing_brand_pairs(rows, rows.where("id % 4 = 0").select(F.col("id").alias("base_id"), F.upper("title").alias("title")))
+    return generators.missing_brand_pairs(*generators.missing_brands(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
