@@ -13,6 +13,8 @@ length are searched. Redaction keeps all columns and rows and replaces only the
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,8 @@ PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[0-9A-Za-z+/=\s]{0,8192}(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?",
     "opaque": r"(?<![\w/+.-])(?=[a-zA-Z+/_-]{0,64}[0-9])[0-9A-Za-z+/_-]{28,512}={0,2}",
 }
+#: What a match of the kinds that need neither a digit nor an assignment sign holds.
+_BEGINS = ["AKIA", "ASIA", "AROA", "AIDA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "k_test_", "glpat-", "eyJ", "-----BEGIN"]
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _ASSIGNED = r"(?i)^" + _KEY + r"[\w.-]{0,24}[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?"
 _PROVIDER = r"^(?:AKIA|ASIA|AROA|AIDA|gh[pousr]_|xox[abprs]-|AIza|[srp]k_live_|glpat-|eyJ|-----BEGIN)"
@@ -181,8 +185,10 @@ def _value(raw: str) -> Column:
 
 
 def possible(text: Column) -> Column:
-    """What each pattern needs: a digit, an assignment sign or a key's first line."""
-    return text.contains("=") | text.contains(":") | text.contains("-----BEGIN") | text.rlike("[0-9]")
+    """True wherever a pattern matches: opaque needs a digit, an assignment its sign, the others
+    one of their fixed beginnings."""
+    begins = [text.contains(x) for x in _BEGINS]
+    return reduce(or_, begins, text.contains("=") | text.contains(":") | text.rlike("[0-9]"))
 
 
 def _with_findings(docs: DataFrame, trees: list, text: str) -> DataFrame:
