@@ -27,14 +27,16 @@ NEAR = 48
 TREES, DEPTH, LABELLED = 25, 6, 1600
 
 _KEY = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|private|auth|signing)[_-]?key)"
-#: kind -> pattern; the value is what follows the assignment, or all of it.
+#: kind -> pattern; the value is what follows the assignment, or all of it. A match goes on to
+#: the end of its run of value characters (possessive, so in one pass); only a private key
+#: without its last line is cut, as prose may follow it.
 PATTERNS = {
-    "assignment": r"(?=[pstcaPSTCA])(?i:" + _KEY + r")" + r"[\w.-]{0,24}[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?[^\s\"'`<>,;]{6,256}",
+    "assignment": r"(?=[pstcaPSTCA])(?i:" + _KEY + r")" + r"[\w.-]{0,24}[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?[^\s\"'`<>,;]{6,}+",
     "cloud_key": r"\b(?:AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16}\b",
     "provider_token": r"\b(?:gh[pousr]_[0-9A-Za-z]{30,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{30,}|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}|glpat-[0-9A-Za-z_-]{16,})",
     "signed_token": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[0-9A-Za-z+/=\s]{0,8192}(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?",
-    "opaque": r"(?<![\w/+.-])(?=[a-zA-Z+/_-]{0,64}[0-9])[0-9A-Za-z+/_-]{28,512}={0,2}",
+    "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[0-9A-Za-z+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----|[0-9A-Za-z+/=\s]{0,8192})",
+    "opaque": r"(?<![\w/+.-])(?=[a-zA-Z+/_-]{0,64}[0-9])[0-9A-Za-z+/_-]{28,}+={0,2}",
 }
 #: What a match of the kinds that need neither a digit nor an assignment sign holds.
 _BEGINS = ["AKIA", "ASIA", "AROA", "AIDA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "k_test_", "glpat-", "eyJ", "-----BEGIN"]
