@@ -7,7 +7,10 @@ all tables are merged and ranked by exact Euclidean distance in double precision
 
 Width and number of probes are fitted: the true neighbours of a bounded sample of
 queries come from one linear pass over all vectors, and the pair of settings that meets
-RECALL on them with the fewest candidates is taken.
+RECALL on them, and SPARSE on those with the farthest neighbours, with the fewest candidates
+is taken. What it does not vouch for is searched exactly, against all vectors in blocks:
+queries with too few candidates, or whose last neighbour found is farther than the distance
+up to which the sampled queries reach SPARSE.
 
 Equal vectors are one class with its k + 1 smallest ids, which is all that a ranking of
 k can use, so a very common vector costs what one costs. Buckets above BLOCK vectors are
@@ -36,6 +39,8 @@ from .decontaminate import mix
 TABLES, HASHES = 8, 4
 #: Recall that the fitted settings must reach on the sampled queries.
 RECALL = 0.96
+#: Recall that each run of STRETCH sampled queries, in the order of their last neighbour's distance, must reach.
+SPARSE, STRETCH = 0.9, 12
 SAMPLE, QUERIES = 2000, 96
 #: Vectors of a bucket that one block holds, and queries whose best are held in a task.
 BLOCK, MOST_HELD = 8192, 50_000
@@ -129,13 +134,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (usual["n"] if usual else 0))
 
 
-def fit(classes: DataFrame, k: int) -> tuple[float, int, float]:
-    """(width, probes, recall on the sampled queries)."""
+def fit(classes: DataFrame, k: int) -> tuple[float, int, float, float]:
+    """(width, probes, recall on the sampled queries, distance of the last neighbour up to which it holds)."""
     spark = classes.sparkSession
     rows = classes.select("class", "embedding").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).collect()
     ids, x = np.array([r["class"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
     if len(ids) < 2:
-        return 1.0, 1, 1.0
+        return 1.0, 1, 1.0, float("inf")
     q_ids, q = ids[:QUERIES], x[:QUERIES]
     shared = spark.sparkContext.broadcast((q_ids, q))
 
@@ -156,10 +161,22 @@ def fit(classes: DataFrame, k: int) -> tuple[float, int, float]:
     true = classes.select("class", "embedding").mapInArrow(run, "q long, class long, d double, v array<double>")
     pairs = true.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).select("q", "v", "d").collect()
     at, near = np.array([r["q"] for r in pairs]), np.array([r["v"] for r in pairs], np.float64)
-    middle = float(np.median([r["d"] for r in pairs])) or 1.0
+    d = np.array([r["d"] for r in pairs])
+    far = np.zeros(len(q))
+    np.maximum.at(far, at, d)
+    order = np.argsort(far, kind="stable")
+
+    def stretches(hit: np.ndarray) -> np.ndarray:
+        """Recall of each STRETCH sampled queries that follow each other in distance."""
+        share = np.bincount(at, hit, len(q)) / np.maximum(np.bincount(at, minlength=len(q)), 1)
+        return np.convolve(share[order], np.ones(n := min(STRETCH, len(q))) / n, "valid")
+
+    middle, upper = (float(v) or 1.0 for v in np.quantile(d, (0.5, 0.95)))
+    # where distances are of several scales, the widths of the larger one are tried too
+    scales = [middle] if upper <= 2 * middle else [middle, upper]
     counts, found = (1, 2, 4, 8, 16, 24, 32, 48, 64, 81), []
-    for factor in (0.5, 0.7, 0.85, 1.0, 1.25, 1.6, 2.2, 3.0):
-        h = Hasher(x.shape[1], middle * factor)
+    for width in [scale * factor for scale in scales for factor in (0.5, 0.7, 0.85, 1.0, 1.25, 1.6, 2.2, 3.0)]:
+        h = Hasher(x.shape[1], width)
         probes, there, all_keys = h.probes(q, counts[-1]), h.key(np.floor(h.cells(near))), h.key(np.floor(h.cells(x)))
         hit, first = np.zeros(len(pairs), bool), 0
         reach = np.zeros((len(q), len(x)), bool)
@@ -169,12 +186,16 @@ def fit(classes: DataFrame, k: int) -> tuple[float, int, float]:
                 for t in range(TABLES):
                     reach |= probes[t, :, p][:, None] == all_keys[t][None]
             first = count
-            found.append((float(reach.mean()), middle * factor, count, float(hit.mean())))
-            if hit.mean() >= RECALL:
+            along = stretches(hit)
+            found.append((float(reach.mean()), width, count, float(hit.mean()), along))
+            if hit.mean() >= RECALL and along.min() >= SPARSE:
                 break
-    good = [f for f in found if f[3] >= RECALL] or [max(found, key=lambda f: f[3])]
-    _, width, count, recall = min(good)
-    return width, count, recall
+    good = [f for f in found if f[3] >= RECALL and f[4].min() >= SPARSE] or [max(found, key=lambda f: f[3])]
+    _, width, count, recall, along = min(good, key=lambda f: f[:4])
+    low = np.flatnonzero(along < SPARSE)
+    # nothing is known of what lies beyond the farthest sampled query
+    limit = far[order[-1]] if not len(low) else far[order[low[0] - 1]] if low[0] else -1.0
+    return width, count, recall, float(limit)
 
 
 def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
@@ -187,7 +208,7 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     classes = materialize(members.select(F.element_at("ids", 1).alias("class"), "ids", "embedding"), "classes")
     # the class of a query row by its vector; queries of one class are searched for once
     asked = materialize(rows.where(is_query).join(classes.select("class", "embedding"), "embedding").select("vec_id", "class").distinct(), "asked")
-    width, count, _ = fit(classes, k)
+    width, count, _, limit = fit(classes, k)
 
     def hash_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,7 +284,22 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    found = both.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "kind").mapInArrow(run, "q long, class long, score double")
+    def meet(both: DataFrame) -> DataFrame:
+        return both.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "kind").mapInArrow(run, "q long, class long, score double")
+
+    found = materialize(meet(both), "found")
+    # queries that the settings do not vouch for meet all vectors, in blocks
+    total = classes.count()
+    order = Window.partitionBy("q").orderBy("score", "class")
+    reached = found.groupBy("q", "class").agg(F.min("score").alias("score")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
+    fine = reached.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("far")).where((F.col("n") >= min(k + 1, total)) & (F.col("far") <= limit))
+    left = wanted.join(fine.select(F.col("q").alias("class")), "class", "left_anti")
+    blocks = F.lit(max(1, -(-total // BLOCK)))
+    same = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket")]
+    vectors_of = [F.col("class").alias("id"), F.col("embedding").alias("v")]
+    all_data = classes.select(*same, F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.lit(0).alias("kind"), *vectors_of)
+    all_left = left.select(*same, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"), *vectors_of)
+    found = found.union(meet(all_data.union(all_left)))
     # per searched class: its best classes, then their ids, then without the asking row
     top = Window.partitionBy("q").orderBy("score", "class")
     found = found.groupBy("q", "class").agg(F.min("score").alias("score")).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1)

@@ -185,6 +185,19 @@ def test_neighbours(spark, monkeypatch, block):
     assert got[1000][:10] == want[1000][:10]
 
 
+def test_neighbours_of_two_scales(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] + 0.002 * rng.normal(size=16) if i < 600 else 4 * rng.normal(size=16)).astype(np.float32).tolist(), 0, "b") for i in range(1000)]
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0, 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: {v for v, _ in near} for q, near in exact(rows, 10, lambda i: i % 10 == 0).items()}
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    for part in (range(0, 600), range(600, 1000)):
+        assert np.mean([len(got[q] & want[q]) / 10 for q in want if q in part]) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0], 0, "b"), (1, [1.0, 2.5], 0, "b")], VECTORS)
     assert [tuple(r) for r in nearest.search(one, F.col("vec_id") % 100 == 0, 10).collect()] == [(0, 1, 1, 0.5)]
