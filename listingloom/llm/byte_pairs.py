@@ -5,7 +5,8 @@ split into letter runs, single digits and symbol runs, byte symbols, BPE with a
 end. Its text is broadcast (its size does not depend on the data); each worker builds
 the tables once. A batch's unseen words lie in one flat symbol array; every round looks
 all neighbouring pairs up by binary search over the sorted pair keys, merges the lowest
-ranked pair of each word, and lets finished words go.
+ranked pair of each word, and lets finished words go. Decoding looks the ids up in the
+vocabulary and joins what they stand for.
 
 Defined results: a null text is read as empty and gives no ids and an empty decoded
 text; rows are answered one by one, so repeats repeat; texts of any length are encoded
@@ -21,12 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
-#: Chunks between white space whose codes a worker remembers; then it starts anew.
-MOST_REMEMBERED = 300_000
+#: Bytes of text whose distinct chunks are encoded together, and chunks that are at a time.
+BYTES_AT_ONCE, CHUNKS_AT_ONCE = 24 << 20, 50_000
+#: Chunks of up to LONGEST characters whose ids a worker remembers, about 200 bytes each.
+MOST_REMEMBERED, LONGEST = 200_000, 64
 _NONE = np.iinfo(np.int64).max
 
 
@@ -41,15 +45,100 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class Codec:
-    """Encodes and decodes text; keeps what it learns of chunks between calls."""
+class Pool:
+    """Runs of ids under the numbers 0, 1, ... in one flat array."""
 
-    #: Whether the decoded text of a chunk is wanted too.
-    decodes = True
+    def __init__(self) -> None:
+        self.data, self.ends, self.runs = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), 0
+
+    def add(self, data: np.ndarray, lengths: np.ndarray) -> None:
+        at, n = int(self.ends[self.runs]), self.runs + len(lengths)
+        if at + len(data) > len(self.data):
+            self.data = np.resize(self.data, 2 * (at + len(data)))
+        if n >= len(self.ends):
+            self.ends = np.resize(self.ends, 2 * n + 1)
+        self.data[at : at + len(data)] = data
+        self.ends[self.runs + 1 : n + 1] = at + np.cumsum(lengths)
+        self.runs = n
+
+    def take(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these runs one after another, and the length of each."""
+        begin = self.ends[runs]
+        lengths = self.ends[runs + 1] - begin
+        ends = np.cumsum(lengths)
+        whole = int(ends[-1]) if len(ends) else 0
+        return self.data[np.repeat(begin - ends + lengths, lengths) + np.arange(whole)], lengths
+
+
+class ChunkEncoder:
+    """Encodes texts chunk by chunk between ASCII white space, each distinct one once.
+
+    No word crosses white space, and no special string holds any, so a text's ids are those
+    of its chunks in order. What occurs twice in BYTES_AT_ONCE of text is remembered beyond it.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = Pool()
+
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after another, and how many each has."""
+        raise NotImplementedError
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Each batch, the ids of all its texts, one after another, and where each text's end; null is empty."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= BYTES_AT_ONCE:
+                yield from self._encode(held)
+                held, size = [], 0
+        if held:
+            yield from self._encode(held)
+
+    def _encode(self, held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        parts = [pc.ascii_split_whitespace(b.column("text").fill_null("")) for b in held]
+        stops = [p.offsets.to_numpy().copy() for p in parts]
+        coded = pa.chunked_array([p.flatten() for p in parts], pa.string()).dictionary_encode().unify_dictionaries()
+        del parts
+        index = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) if coded.num_chunks else np.zeros(0, np.int32)
+        names = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+        del coded
+        run, pool, get, fresh_at = np.zeros(len(names), np.int64), self.pool, self.known.get, []
+        for at in range(0, len(names), CHUNKS_AT_ONCE):
+            block = names.slice(at, CHUNKS_AT_ONCE).to_pylist()
+            found = np.array([get(c, -1) for c in block])
+            fresh = np.flatnonzero(found < 0)
+            if len(fresh):
+                found[fresh] = np.arange(pool.runs, pool.runs + len(fresh))
+                pool.add(*self.learn([block[i] for i in fresh.tolist()]))
+            run[at : at + len(block)] = found
+            fresh_at.append(fresh + at)
+        at = 0
+        for batch, stop in zip(held, stops, strict=True):
+            ids, lengths = pool.take(run[index[at : at + int(stop[-1])]])
+            at += int(stop[-1])
+            yield batch, ids, np.append(0, np.cumsum(lengths))[stop[1:]]
+        again = np.bincount(index, minlength=len(names)) > 1
+        if len(self.known) + int(again[np.concatenate(fresh_at)].sum() if fresh_at else 0) > MOST_REMEMBERED:
+            self.known, kept = {}, np.flatnonzero(again)[:MOST_REMEMBERED]
+        else:
+            kept = np.concatenate(fresh_at) if fresh_at else np.zeros(0, np.int64)
+            kept = kept[again[kept]]
+        self.known |= {c: r for c, r in zip(names.take(pa.array(kept)).to_pylist(), run[kept].tolist(), strict=True) if len(c) <= LONGEST}
+        self.pool = Pool()
+        self.pool.add(*pool.take(np.fromiter(self.known.values(), np.int64, len(self.known))))
+        self.known = dict(zip(self.known, range(len(self.known)), strict=True))
+
+
+class Codec(ChunkEncoder):
+    """Encodes and decodes text in numpy."""
 
     def __init__(self, tokenizer_json: str):
         import regex
 
+        super().__init__()
         spec = json.loads(tokenizer_json)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
@@ -58,14 +147,14 @@ class Codec:
         self.words = regex.compile(split["pattern"]["Regex"] + r"|\n").findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.special_bytes = [s.encode() for s in self.special]
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + end] for c in letters], np.int64)
         self.size = max(max(vocab.values()), *self.special.values(), 0) + 1
-        self.shown = [b""] * self.size
+        shown = [""] * self.size
         for t, i in [*vocab.items(), *self.special.items()]:
-            self.shown[i] = t.encode()
+            shown[i] = t
+        self.shown = pa.array(shown, pa.large_string())
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
@@ -73,8 +162,6 @@ class Codec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
-        self.codes: dict[bytes, bytes] = {}
-        self.texts: dict[bytes, bytes] = {}
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, none of them empty, and where each word's end."""
@@ -120,69 +207,41 @@ class Codec:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Remembers the ids and the decoded text of chunks between ASCII white space."""
-        if not chunks:
-            return
-        joined = b"\n".join(chunks)
-        odd = [c for c in chunks if self.specials.search(c.decode())] if any(x in joined for x in self.special_bytes) else []
-        plain = [c for c in chunks if c not in set(odd)] if odd else chunks
-        found = self.words(self.normal(b"\n".join(plain).decode())) if plain else []
-        parts = {c: self.pieces(c.decode()) for c in odd}
-        unique = dict.fromkeys(found)
-        for pieces in parts.values():
-            unique |= dict.fromkeys(w for p in pieces if isinstance(p, list) for w in p)
-        unique.pop("\n", None)
-        codes: dict[str, bytes] = {}
-        texts: dict[str, bytes] = {}
-        if unique:
-            ids, ends = self.merge([w.encode() for w in unique])
-            raw, begin = ids.astype("<u4").tobytes(), 0
-            shown = list(map(self.shown.__getitem__, ids.tolist())) if self.decodes else []
-            for w, end in zip(unique, ends.tolist(), strict=True):
-                codes[w] = raw[4 * begin : 4 * end]
-                if self.decodes:
-                    texts[w] = b" ".join(shown[begin:end])
-                begin = end
-        at, held = iter(plain), []
-        for w in [*found, "\n"] if plain else []:
-            if w != "\n":
-                held.append(w)
-                continue
-            c = next(at)
-            self.codes[c] = codes[held[0]] if len(held) == 1 else b"".join([codes[w] for w in held])
-            if self.decodes:
-                self.texts[c] = texts[held[0]] if len(held) == 1 else b" ".join([texts[w] for w in held])
-            held = []
-        for c, pieces in parts.items():
-            own = [np.array([p], "<u4").tobytes() if isinstance(p, int) else b"".join([codes[w] for w in p]) for p in pieces]
-            self.codes[c] = b"".join(own)
-            if self.decodes:
-                self.texts[c] = self.decode(np.frombuffer(self.codes[c], "<u4"))
-
-    def pieces(self, text: str) -> list:
-        """Special ids, and between them the words."""
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = "\n".join(chunks)
+        if any(s in joined for s in self.special):
+            # specials among the words are marked by their id below zero
+            found = [w for c in chunks for w in [*self.pieces(c), "\n"]]
+        else:
+            found = [*self.words(self.normal(joined)), "\n"]
+        numbers: dict[str | int, int] = {"\n": 0}
+        order = np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found))
+        words = list(numbers)[1:]
+        plain = [w for w in words if isinstance(w, str)]
+        ids, ends = self.merge([w.encode() for w in plain]) if plain else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        known = Pool()
+        known.add(ids, np.diff(ends, prepend=0))
+        known.add(np.array([w for w in words if isinstance(w, int)], np.int64), np.ones(len(words) - len(plain), np.int64))
+        known.add(np.zeros(0, np.int64), np.zeros(1, np.int64))  # the line feed
+        place = np.full(len(numbers), len(words), np.int64)
+        for part, first in ((plain, 0), ([w for w in words if isinstance(w, int)], len(plain))):
+            place[[numbers[w] for w in part]] = np.arange(first, first + len(part))
+        out, lengths = known.take(place[order])
+        stops = np.flatnonzero(order == 0)
+        return out, np.diff(np.cumsum(lengths)[stops], prepend=0)
+
+    def pieces(self, chunk: str) -> list:
+        """The words, and the special ids between them."""
         out, at = [], 0
-        for m in self.specials.finditer(text):
-            out += [self.words(self.normal(text[at : m.start()])), self.special[m[0]]]
+        for m in self.specials.finditer(chunk):
+            out += [*self.words(self.normal(chunk[at : m.start()])), self.special[m[0]]]
             at = m.end()
-        return [*out, self.words(self.normal(text[at:]))]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The tokens' strings between blanks, special ones too, in UTF-8."""
-        return b" ".join([self.shown[i] for i in ids.tolist()])
+        return [*out, *self.words(self.normal(chunk[at:]))]
 
-    def run(self, texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        """For each text the ids as little-endian 32-bit integers, and what they decode to."""
-        if len(self.codes) > MOST_REMEMBERED:
-            self.codes.clear()
-            self.texts.clear()
-        split = [t.split() for t in texts]
-        self.learn([c for c in set().union(*split) if c not in self.codes])
-        return (
-            [b"".join(map(self.codes.__getitem__, s)) for s in split],
-            [b" ".join(filter(None, map(self.texts.__getitem__, s))) for s in split] if self.decodes else [],
-        )
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """For each text its tokens' strings between blanks, special ones too."""
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), self.shown.take(pa.array(ids)))
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 _codecs: dict[int, Codec] = {}
@@ -202,22 +261,18 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded string for each row of docs (doc_id, text)."""
+def encode_decode(docs: DataFrame, path: str, decodes: bool = True) -> DataFrame:
+    """doc_id, ids array<int>, decoded string (null without decodes) for each row of docs (doc_id, text)."""
     bound_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
-        for batch in batches:
-            texts = [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            codes, decoded = c.run(texts)
-            ends = np.cumsum([0, *map(len, codes)]) // 4
-            flat = np.frombuffer(b"".join(codes), "<i4")
+        for batch, ids, ends in c.run(batches):
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                pa.array(decoded, pa.binary()).cast(pa.string()),
+                batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.view(np.int32))),
+                c.decode(ids, ends) if decodes else pa.nulls(batch.num_rows, pa.string()),
             ], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded string")

@@ -17,6 +17,7 @@ repeat, side by side; null ids come first; an empty table makes no file and no r
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_pairs import Codec, byte_letters, read_vocabulary
-from .common import bound_batches, scratch
+from .byte_pairs import ChunkEncoder, read_vocabulary
+from .common import bound_batches, scratch, tidy
 
 MAGIC = b"LLDAC01\n"
 #: Ids in a file, about: a task starts another file beyond it, which bounds its memory.
 IDS_PER_FILE = 4 << 20
+#: Chunks that make up a text for the library, one a line: short texts cost it least.
+LINES = 64
 _BLOCK = 512
 _WIDTHS = ((8, 8, 8, 8), (8, 8, 16), (8, 16, 8), (16, 16), (16, 8, 8), (32,))
 _TYPE = {8: "<u1", 16: "<u2", 32: "<u4"}
@@ -38,16 +41,12 @@ _TYPE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 def best_widths(ids: np.ndarray) -> tuple[int, ...]:
     """The widths that take the fewest bits for these ids."""
-    bits = np.zeros(33, np.int64)
-    if len(ids):
-        lengths, counts = np.unique(np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(int), return_counts=True)
-        bits[lengths] = counts
-    at_least = bits[::-1].cumsum()[::-1]
+    beyond = {w: int((ids >> np.uint32(w)).astype(bool).sum()) if w else len(ids) for w in (0, 8, 16, 24)}
 
     def cost(widths: tuple[int, ...]) -> float:
         total, below = 0.0, 0
         for k, w in enumerate(widths):
-            left = at_least[below + 1] if below else bits.sum()
+            left = beyond[below]
             total += left * (w + (1 + 32 / _BLOCK) * (k + 1 < len(widths)))
             below += w
         return total
@@ -141,31 +140,30 @@ class TokenFile:
         return None if self.null[k] else int(self.doc[k]), begin, self.ids(begin, int(self.end[k]))
 
 
-class LibraryEncoder(Codec):
-    """Whole texts through the tokenizers library, each distinct word once.
+class LibraryEncoder(ChunkEncoder):
+    """Texts through the whole tokenizers library, each distinct chunk once.
 
-    The library's model codes the words; finding them and remembering chunks between white
-    space is shared with the numpy codec, whose merge rounds are not used here.
+    Chunks become the lines of texts that the library encodes; the offsets of its tokens
+    tell which chunk an id belongs to.
     """
 
-    decodes = False
-
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        super().__init__(tokenizer_json)
-        self.library = Tokenizer.from_str(tokenizer_json).model
-        self.letters = dict(enumerate(byte_letters()))
+        super().__init__()
+        self.library = Tokenizer.from_str(tokenizer_json)
+        self.library.no_truncation()
+        self.library.no_padding()
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[int] = []
-        ends: list[int] = []
-        tokenize, letters = self.library.tokenize, self.letters
-        for w in words:
-            shown = w.decode() if w.isascii() and w.isalnum() else w.decode("latin-1").translate(letters)
-            ids += [t.id for t in tokenize(shown)]
-            ends.append(len(ids))
-        return np.array(ids, np.int64), np.array(ends, np.int64)
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [chunks[at : at + LINES] for at in range(0, len(chunks), LINES)]
+        ids, counts = [], []
+        for lines, found in zip(groups, self.library.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids.append(np.array(found.ids, np.uint32))
+            stops = np.cumsum([len(x) + 1 for x in lines])
+            begins = np.fromiter((begin for begin, _ in found.offsets), np.int64, len(ids[-1]))
+            counts.append(np.bincount(np.searchsorted(stops, begins, "right"), minlength=len(lines)))
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 _encoders: dict[int, LibraryEncoder] = {}
@@ -201,9 +199,11 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        # the tasks share the cores among them already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc, place = encoder(spec.value), TaskContext.get().partitionId()
         store, base = open_folder(folder)
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        tail = np.array([] if end_id is None else [end_id], np.uint32)
         held, n, seq = [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -213,10 +213,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
                 out.write(data)
             return pa.RecordBatch.from_pydict({"place": [place], "seq": [seq], "name": [name], "docs": [len(held)], "ids": [n], "bytes": [len(data)]}, schema)
 
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for doc, codes in zip(batch.column("doc_id").to_pylist(), enc.run(texts)[0], strict=True):
-                held.append((doc, np.frombuffer(codes + tail, "<u4")))
+        for batch, flat, ends in enc.run(batches):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), np.split(flat, ends[:-1]), strict=True):
+                held.append((doc, np.append(ids, tail)))
                 n += len(held[-1][1])
                 if n >= IDS_PER_FILE:
                     yield flush()
@@ -230,7 +229,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-        .mapInArrow(run, "place long, seq long, name string, docs long, ids long, bytes long").collect()
+        .mapInArrow(tidy(run), "place long, seq long, name string, docs long, ids long, bytes long").collect()
     )
     manifest, start = [], 0
     for r in sorted(rows, key=lambda r: (r["place"], r["seq"])):

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from listingloom.llm import byte_pairs, queries, token_files
@@ -25,12 +26,29 @@ def test_ids_are_the_librarys(library, kind):
     c = kind(byte_pairs.read_vocabulary(PATH))
     rng = random.Random(1)
     texts = [t for t in ODD if t is not None] + ["".join(rng.choice("abAB 'sné́Σ1<|>\n!") for _ in range(60)) for _ in range(200)]
-    codes, decoded = c.run([t.encode() for t in texts])
-    for i, t in enumerate(texts):
-        want = library.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(codes[i], "<u4").tolist() == want, t
-        if decoded:
-            assert decoded[i].decode() == library.decode(want, skip_special_tokens=False)
+    for at in (0, 0, 5):  # again, with what is remembered
+        batch = pa.RecordBatch.from_pydict({"text": pa.array(texts[at:] + [None])})
+        [(_, ids, ends)] = c.run(iter([batch]))
+        got = np.split(ids, ends)
+        for i, t in enumerate(texts[at:]):
+            assert got[i].tolist() == library.encode(t, add_special_tokens=False).ids, t
+        if kind is byte_pairs.Codec:
+            decoded = c.decode(ids, ends).to_pylist()
+            assert decoded == [library.decode(x.tolist(), skip_special_tokens=False) for x in got[:-1]]
+
+
+@pytest.mark.parametrize("kind", [byte_pairs.Codec, token_files.LibraryEncoder])
+def test_batches_and_memory_bounds_change_nothing(library, kind, monkeypatch):
+    monkeypatch.setattr(byte_pairs, "BYTES_AT_ONCE", 300)
+    monkeypatch.setattr(byte_pairs, "CHUNKS_AT_ONCE", 7)
+    monkeypatch.setattr(byte_pairs, "MOST_REMEMBERED", 20)
+    monkeypatch.setattr(token_files, "LINES", 3)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "The,", "a<|endoftext|>b", "é", "x" * 70, f"w{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[at : at + 7], pa.string())}) for at in range(0, 60, 7)]
+    batches.insert(3, pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))
+    got = [x.tolist() for _, ids, ends in kind(byte_pairs.read_vocabulary(PATH)).run(iter(batches)) for x in (np.split(ids, ends[:-1]) if len(ends) else [])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_query_digests(spark, small, library):
