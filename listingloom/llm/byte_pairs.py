@@ -100,7 +100,7 @@ class ChunkEncoder:
     def _encode(self, held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         parts = [pc.ascii_split_whitespace(b.column("text").fill_null("")) for b in held]
         stops = [p.offsets.to_numpy().copy() for p in parts]
-        coded = pa.chunked_array([p.flatten() for p in parts], pa.string()).dictionary_encode().unify_dictionaries()
+        coded = pa.chunked_array([p.flatten() for p in parts], pa.string()).dictionary_encode()
         del parts
         index = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) if coded.num_chunks else np.zeros(0, np.int32)
         names = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())

@@ -2,14 +2,17 @@
 
 A document leaks an item if one of its windows of as many words as the item (the whole
 document, if shorter) has weighted shingle similarity SIMILARITY or more with it: five
-words a shingle (all words of a shorter item), sum of weighted minima over sum of
-weighted maxima of the counts. A shingle that several items share weighs less.
-
-Windows without any of the benchmark's shingles have similarity 0 and are passed over.
-The others get 128-bit SimHash fingerprints from running sums; a multi-index over byte
-blocks finds every item within RADIUS (some block must then be within RADIUS / blocks),
-and the exact similarity decides. RADIUS is five standard deviations above the distance
-expected at SIMILARITY. The benchmark is met in blocks of bounded size.
+words a shingle (all words of a shorter item), each weighing as often as it occurs, sum of
+minima over sum of maxima. Nothing else of the benchmark enters, so an answer depends on
+one item and one document alone, however the items are dealt to blocks.
+
+A window that reaches SIMILARITY holds a share of known shingles that follows from it;
+windows below that share are passed over. The others get 128-bit SimHash fingerprints from
+running sums, and the multi-index names their candidates: the items of the window's size
+that are within RADIUS // BLOCKS bits of it in some block of 16 bits, which holds for every
+item within RADIUS. Those within RADIUS are compared exactly. RADIUS is 2.9 standard
+deviations above the distance expected at SIMILARITY exactly (0.2 % of such windows lie
+beyond it, next to none of more similar ones). The benchmark is met in blocks of bounded size.
 
 Defined results: null or empty documents and items without words leak nothing; a row
 for each leaking (document row, item), the best window, the first of equal ones; repeated
@@ -27,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, RADIUS = 128, 40
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark takes more passes.
-BLOCK_BYTES = 16 << 20
+BITS, BLOCKS, RADIUS = 128, 8, 31
+#: Windows of a document that are looked up at once; bounds what a very long text takes.
+STRETCH = 8192
+#: Bytes and items of the benchmark that are broadcast at once (the index of an item takes
+#: 22 kB); a larger benchmark takes more passes.
+BLOCK_BYTES, BLOCK_ITEMS = 16 << 20, 4000
 
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: The changes of 16 bits that flip RADIUS // BLOCKS of them at most.
+_FLIPS = np.flatnonzero(np.bitwise_count(np.arange(1 << BITS // BLOCKS, dtype=np.uint32)) <= RADIUS // BLOCKS).astype(np.uint16)
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -73,49 +80,46 @@ class Benchmark:
                 self.word_ids.setdefault(w, len(self.word_ids) + 1)
         self.sizes = np.array([len(w) for _, w in self.items], np.int64)
         self.shingles = [shingle_hashes(np.array([self.word_ids[w] for w in words], np.int64), min(SHINGLE, len(words))) for _, words in self.items]
-        holders: dict[int, list[int]] = {}
-        for n, s in enumerate(self.shingles):
-            for h in set(s.tolist()):
-                holders.setdefault(h, []).append(n)
-        self.holders = holders
-        self.weight = {h: 1 / len(v) for h, v in holders.items()}
-        self.known = {k: np.sort(np.array([h for h in {h for s, n in zip(self.shingles, self.sizes, strict=True) if min(SHINGLE, n) == k for h in s.tolist()}], np.uint64)) for k in {min(SHINGLE, int(n)) for n in self.sizes}}
+        kinds = {min(SHINGLE, int(n)) for n in self.sizes}
+        self.known = {k: np.unique(np.concatenate([s for s, n in zip(self.shingles, self.sizes, strict=True) if min(SHINGLE, n) == k])) for k in kinds}
         self.counts = [Counter(s.tolist()) for s in self.shingles]
-        self.prints = np.stack([self.fingerprints(self.running(s), np.array([0]), np.array([len(s)]))[0] for s in self.shingles]) if self.items else np.zeros((0, BITS // 8), np.uint8)
-        #: near[b][v]: the items whose b-th byte is within the block radius of v
-        reach = RADIUS // (BITS // 8)
-        value = np.arange(256, dtype=np.uint8)
-        self.near = np.stack([_ONES[value[:, None] ^ self.prints[None, :, b]] <= reach for b in range(BITS // 8)]) if self.items else None
-
-    def running(self, hashes: np.ndarray) -> np.ndarray:
-        """Weighted sums of the shingles' signs before each place."""
-        weight = np.fromiter((self.weight.get(h, 1.0) for h in hashes.tolist()), np.float64, len(hashes))
+        none = np.zeros((0, BITS // 8), np.uint8)
+        self.prints = np.concatenate([none, *[self.fingerprints(self.running(s), np.array([0]), np.array([len(s)])) for s in self.shingles]])
+        #: for each block, where the items near each of its values begin and end, and the items
+        self.index = []
+        for block in self.prints.view(np.uint16).T:
+            values = (block[:, None] ^ _FLIPS[None]).ravel()
+            order = np.argsort(values, kind="stable")
+            self.index.append((np.searchsorted(values[order], np.arange(1 << BITS // BLOCKS), "left"), np.bincount(values, minlength=1 << BITS // BLOCKS), (order // len(_FLIPS)).astype(np.int32)))
+
+    @staticmethod
+    def running(hashes: np.ndarray) -> np.ndarray:
+        """Sums of the shingles' signs before each place."""
         both = np.stack([mix(hashes + np.uint64(1)), mix(hashes ^ np.uint64(0x5851F42D4C957F2D))], axis=1)
-        signs = np.unpackbits(both.view(np.uint8), axis=1).astype(np.float64) * 2 - 1
-        return np.vstack([np.zeros((1, BITS)), np.cumsum(signs * weight[:, None], axis=0)])
+        signs = np.unpackbits(both.view(np.uint8), axis=1).astype(np.int32) * 2 - 1
+        return np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(signs, axis=0, dtype=np.int32)])
 
     @staticmethod
     def fingerprints(running: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        # sums of weights carry rounding: what cancels counts as no sign
-        return np.packbits(running[end] - running[begin] > 1e-9, axis=1)
-
-    def candidates(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS, by the multi-index."""
-        found = np.zeros((len(prints), len(items)), bool)
-        for b in range(BITS // 8):
-            found |= self.near[b][prints[:, b]][:, items]
-        w, n = np.nonzero(found)
-        distance = _ONES[prints[w] ^ self.prints[items[n]]].sum(axis=1, dtype=np.int64)
-        keep = distance <= RADIUS
-        return w[keep], items[n[keep]]
+        return np.packbits(running[end] > running[begin], axis=1)
+
+    def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within RADIUS for items of this size, by the multi-index."""
+        pairs = [np.zeros(0, np.int64)]
+        for (first, count, items), values in zip(self.index, prints.view(np.uint16).T, strict=True):
+            begin, n = first[values], count[values]
+            window = np.repeat(np.arange(len(prints)), n)
+            item = items[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            own = self.sizes[item] == size
+            pairs.append(window[own] * len(self.items) + item[own])
+        w, n = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.items)))
+        keep = np.bitwise_count(prints[w] ^ self.prints[n]).sum(axis=1, dtype=np.int64) <= RADIUS
+        return w[keep], n[keep]
 
     def similarity(self, item: int, window: list[int]) -> float:
         own, other = self.counts[item], Counter(window)
-        low = sum(self.weight[h] * min(c, other[h]) for h, c in own.items() if h in other)
-        if not low:
-            return 0.0
-        total = sum(self.weight[h] * c for h, c in own.items()) + sum(self.weight.get(h, 1.0) * c for h, c in other.items())
-        return low / (total - low)
+        low = sum(min(c, other[h]) for h, c in own.items() if h in other)
+        return low / (own.total() + other.total() - low)
 
     def leaks(self, ids: np.ndarray, hits: dict[int, np.ndarray]) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of a document, ids its word numbers.
@@ -125,26 +129,29 @@ class Benchmark:
         out = []
         for k, places in hits.items():
             hashes = shingle_hashes(ids, k)
-            mine = {n for h in set(hashes[places].tolist()) for n in self.holders[h] if min(SHINGLE, self.sizes[n]) == k}
-            if not mine:
-                continue
-            running = self.running(hashes)
-            by_size: dict[int, list[int]] = {}
-            for n in sorted(mine):
-                by_size.setdefault(int(self.sizes[n]), []).append(n)
+            known = np.zeros(len(hashes) + 1, np.int64)
+            known[places + 1] = 1
+            known = np.cumsum(known)
             best: dict[int, tuple[float, int]] = {}
-            for size, group in by_size.items():
-                last = max(0, len(ids) - size)
-                held = np.zeros(last + 2, np.int64)
-                np.add.at(held, np.clip(places - (size - k), 0, last), 1)
-                np.add.at(held, np.minimum(places, last) + 1, -1)
-                begin = np.flatnonzero(np.cumsum(held)[: last + 1] > 0)
-                end = np.minimum(begin + size - k + 1, len(hashes))
-                w, items = self.candidates(self.fingerprints(running, begin, end), np.array(group))
-                for at, n in zip(w.tolist(), items.tolist(), strict=True):
-                    s = self.similarity(n, hashes[begin[at] : end[at]].tolist())
-                    if s >= SIMILARITY and s > best.get(n, (0.0, 0))[0] + 1e-12:
-                        best[n] = (s, int(begin[at]))
+            sizes = sorted({int(n) for n in self.sizes if min(SHINGLE, n) == k})
+            for at in range(0, len(hashes), STRETCH):
+                running = None
+                for size in sizes:
+                    begin = np.arange(at, min(at + STRETCH, max(0, len(ids) - size) + 1))
+                    end = np.minimum(begin + size - k + 1, len(hashes))
+                    # what a window shares with an item is known: at least this much at SIMILARITY
+                    least = SIMILARITY / (1 + SIMILARITY) * (size - k + 1 + end - begin)
+                    enough = known[end] - known[begin] >= least - 1e-9
+                    begin, end = begin[enough], end[enough]
+                    if not len(begin):
+                        continue
+                    if running is None:
+                        running = self.running(hashes[at : at + STRETCH + sizes[-1]])
+                    w, items = self.candidates(self.fingerprints(running, begin - at, end - at), size)
+                    for i, n in zip(w.tolist(), items.tolist(), strict=True):
+                        s = self.similarity(n, hashes[begin[i] : end[i]].tolist())
+                        if s >= SIMILARITY and s > best.get(n, (0.0, 0))[0] + 1e-12:
+                            best[n] = (s, int(begin[i]))
             out += [(n, at, min(int(self.sizes[n]), len(ids)), s) for n, (s, at) in sorted(best.items())]
         return out
 
@@ -183,12 +190,12 @@ class Benchmark:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_BYTES of text, read one by one."""
+    """The items in blocks of at most BLOCK_BYTES of text and BLOCK_ITEMS, read one by one."""
     held, size = [], 0
     for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"]) * 2 + 64
-        if size > BLOCK_BYTES:
+        if size > BLOCK_BYTES or len(held) >= BLOCK_ITEMS:
             yield held
             held, size = [], 0
     yield held
@@ -214,7 +221,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         pa.array([g[3] for g in got], pa.int64()), pa.array([g[4] for g in got], pa.float64()),
                     ], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, start_word long, n_words long, similarity double")
+        return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, item_id long, start_word long, n_words long, similarity double")
 
     return reduce(DataFrame.union, [over(b) for b in _blocks(benchmark)])
 
@@ -232,5 +239,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 leaking = {g[0] for g in bench.search(batch.column("text").to_pylist())}
                 yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

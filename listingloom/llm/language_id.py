@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 #: Bound of the labelled sample: rows for each language, and bytes that one row may give.
 ROWS_PER_LANGUAGE, BYTES_PER_ROW = 100, 3000
@@ -105,4 +105,4 @@ def identify(docs: DataFrame, model: list[tuple[str, int, bytes]], margin: float
             ], ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, margin double, rejected boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)

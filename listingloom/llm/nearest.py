@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, tidy
 from .decontaminate import mix
 
 TABLES, HASHES = 8, 4
@@ -158,7 +158,7 @@ def fit(classes: DataFrame, k: int) -> tuple[float, int, float, float]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.float64()))], ["q", "class", "d", "v"])
 
     top = Window.partitionBy("q").orderBy("d", "class")
-    true = classes.select("class", "embedding").mapInArrow(run, "q long, class long, d double, v array<double>")
+    true = classes.select("class", "embedding").mapInArrow(tidy(run), "q long, class long, d double, v array<double>")
     pairs = true.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).select("q", "v", "d").collect()
     at, near = np.array([r["q"] for r in pairs]), np.array([r["v"] for r in pairs], np.float64)
     d = np.array([r["d"] for r in pairs])
@@ -227,9 +227,9 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(probes[t, :, p]), b.column("class"), b.column("embedding")], ["t", "bucket", "id", "v"])
 
     shape = "t int, bucket long, id long, v array<double>"
-    data = classes.select("class", "embedding").mapInArrow(hash_data, shape)
+    data = classes.select("class", "embedding").mapInArrow(tidy(hash_data), shape)
     wanted = classes.select("class", "embedding").join(asked.select("class").distinct(), "class", "left_semi")
-    probes = wanted.mapInArrow(hash_queries, shape)
+    probes = wanted.mapInArrow(tidy(hash_queries), shape)
     # buckets that are cut: their data is dealt by id, a probe goes to each block
     data = materialize(data, "hashed")
     large = data.groupBy("t", "bucket").count().where(F.col("count") > BLOCK).select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -285,7 +285,7 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
         yield from flush()
 
     def meet(both: DataFrame) -> DataFrame:
-        return both.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "kind").mapInArrow(run, "q long, class long, score double")
+        return both.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "kind").mapInArrow(tidy(run), "q long, class long, score double")
 
     found = materialize(meet(both), "found")
     # queries that the settings do not vouch for meet all vectors, in blocks

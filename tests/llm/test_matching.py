@@ -103,8 +103,6 @@ def test_components(spark):
 def brute_leaks(docs, items):
     split = {i: decontaminate.words_of(t) for i, t in items}
     bags = {i: Counter(tuple(w[j : j + min(5, len(w))]) for j in range(len(w) - min(5, len(w)) + 1)) for i, w in split.items() if w}
-    holders = Counter(h for b in bags.values() for h in b)
-    weight = lambda h: 1 / holders[h] if h in holders else 1.0
     out = set()
     for d, t in docs:
         w = decontaminate.words_of(t)
@@ -114,14 +112,18 @@ def brute_leaks(docs, items):
             grams = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
             for at in range(max(1, len(w) - n + 1)):
                 own = Counter(grams[at : at + n - k + 1])
-                low = sum(weight(h) * min(c, own[h]) for h, c in bag.items())
-                high = sum(weight(h) * max(bag[h], own[h]) for h in {*bag, *own})
+                low = sum(min(c, own[h]) for h, c in bag.items())
+                high = sum(max(bag[h], own[h]) for h in {*bag, *own})
                 if low and low / high >= 0.8 - 1e-12:
                     out.add((d, i))
     return out
 
 
-def test_decontamination(spark, documents):
+@pytest.mark.parametrize("block", [(16 << 20, 4000, 8192), (200, 4000, 8192), (16 << 20, 3, 10)])
+def test_decontamination(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "STRETCH", block[2])
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block[0])
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block[1])
     rng = random.Random(4)
     word = lambda: f"v{rng.randint(0, 3000)}"
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([60, 35, 20, 12, 5, 3, 1])] + [(50, None), (51, ""), (52, "...")]
@@ -145,6 +147,27 @@ def test_decontamination(spark, documents):
     assert decontaminate.find_leaks(documents([]), bench).count() == 0 and decontaminate.find_leaks(documents(docs), bench.limit(0)).count() == 0
 
 
+def test_the_index_names_all_within_the_radius_and_few_others():
+    rng = np.random.default_rng(5)
+    bench = decontaminate.Benchmark([(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))) for i in range(300)])
+    flips = np.packbits(rng.random((300, 128)) < rng.random((300, 1)) * 0.3, axis=1)
+    prints = np.concatenate([bench.prints ^ flips, rng.integers(0, 256, (300, 16)).astype(np.uint8)])
+    w, n = bench.candidates(prints, 60)
+    distance = np.bitwise_count(prints[:, None] ^ bench.prints[None]).sum(axis=2, dtype=int)
+    assert set(zip(w.tolist(), n.tolist())) == set(map(tuple, np.argwhere(distance <= decontaminate.RADIUS).tolist()))
+    # of pairs of chance about one in twelve is looked at
+    looked = sum(int(count[v].sum()) for (_, count, _), v in zip(bench.index, prints[300:].view(np.uint16).T))
+    assert looked < 0.12 * 300 * 300
+
+
+def test_near_copies_of_repeated_items_are_leaks(spark, documents):
+    item = [f"w{i}" for i in range(60)]
+    doc = [*item[:30], "other", *item[31:]]
+    bench = spark.createDataFrame([(i, " ".join(item)) for i in range(5)], "item_id long, text string")
+    got = decontaminate.find_leaks(documents([" ".join(doc)]), bench).collect()
+    assert {r["item_id"] for r in got} == set(range(5)) and all(abs(r["similarity"] - 51 / 61) < 1e-9 for r in got)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, bucket string"
 
 
