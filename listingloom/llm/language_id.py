@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-A text is compressed once with each language's zstandard raw-content dictionary; the
+The whole text, lower-cased and its words between single blanks, is compressed once with each language's zstandard raw-content dictionary; the
 language whose dictionary gives the fewest bytes wins, and the lead over the runner-up
 decides whether the answer is kept (`rejected`).
 
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, tidy
 
-#: Bound of the labelled sample: rows for each language, and bytes that one row may give.
-ROWS_PER_LANGUAGE, BYTES_PER_ROW = 100, 3000
+#: Bound of the labelled sample: rows for each language, and characters of a passage, at a
+#: place told by the row's id, that one row may give.
+ROWS_PER_LANGUAGE, CHARS_PER_ROW = 100, 3000
 #: Bytes of a dictionary; near equal lengths keep match offsets equally dear everywhere.
 DICTIONARY_BYTES = 64000
 #: Most languages that are learned, the most frequent first.
@@ -39,20 +40,18 @@ _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def plain(text: str) -> bytes:
-    """The distinct lower-cased words of the whole text between single blanks.
+    """The lower-cased words of the whole text between single blanks.
 
-    Each word counts once: a repeated line would otherwise compress against itself and
-    tell nothing of the language. Blanks at both ends let the outer words match too.
+    Blanks at both ends let the outer words match too.
     """
-    words = text.lower().encode("utf-8", "replace").translate(_BLANK).split()
-    return b" " + b" ".join(dict.fromkeys(words)) + b" "
+    return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANK).split()) + b" "
 
 
 def learn(docs: DataFrame, usable: F.Column) -> list[tuple[str, int, bytes]]:
     """(language, training rows, dictionary) from a bounded, hash-ordered sample of rows.
 
     Counts cover all usable rows. Only ids and labels are shuffled; the texts of the
-    sampled rows (at most ROWS_PER_LANGUAGE for each language) come to the driver.
+    passages of the sampled rows (at most ROWS_PER_LANGUAGE for each language) come to the driver.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
@@ -63,10 +62,19 @@ def learn(docs: DataFrame, usable: F.Column) -> list[tuple[str, int, bytes]]:
     )
     texts: dict[str, list[bytes]] = {}
     found = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-    best = found.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, BYTES_PER_ROW)).alias("text"))
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - CHARS_PER_ROW + 1, F.lit(1))) + 1
+    best = found.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "doc_id", F.expr("text").substr(place.cast("int"), F.lit(CHARS_PER_ROW)).alias("text"))
     for r in best.orderBy("lang", "doc_id").collect():
-        texts.setdefault(r["lang"], []).append(plain(r["text"])[:BYTES_PER_ROW])
-    return [(r["lang"], r["count"], b"".join(texts[r["lang"]])[:DICTIONARY_BYTES]) for r in counts if r["lang"] in texts]
+        texts.setdefault(r["lang"], []).append(plain(r["text"]))
+    # the rows of a language share its dictionary equally; what short ones leave is filled from the others' rest
+    out = []
+    for r in counts:
+        if r["lang"] in texts:
+            mine = texts[r["lang"]]
+            share = DICTIONARY_BYTES // len(mine)
+            whole = b"".join([t[share:] for t in mine] + [t[:share] for t in mine])
+            out.append((r["lang"], r["count"], whole[-DICTIONARY_BYTES:]))
+    return out
 
 
 def identify(docs: DataFrame, model: list[tuple[str, int, bytes]], margin: float = MARGIN) -> DataFrame:

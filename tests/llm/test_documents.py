@@ -46,6 +46,30 @@ def test_language(spark, documents):
     assert language_id.learn(docs.limit(0), F.lit(True)) == [] and language_id.identify(documents([]), model).count() == 0
 
 
+def brute_language(model, text):
+    """The language whose dictionary compresses the whole text best, spelled out."""
+    import zstandard
+
+    if text is None or not any(c.isalpha() for c in text):
+        return "und"
+    data = " " + " ".join("".join(c if c.isalpha() or ord(c) >= 128 else " " for c in text.lower()).split()) + " "
+    sizes = []
+    for lang, n, words in model:
+        d = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made = zstandard.ZstdCompressor(dict_data=d, level=language_id.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((len(made.compress(data.encode())), -n, lang))
+    return min(sizes)[2]
+
+
+def test_language_against_brute_force(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.learn(docs, ~queries.held_out("doc_id"))
+    assert all(len(d) <= language_id.DICTIONARY_BYTES for _, _, d in model)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ["", None, "12 345", "the " * 40_000, "der die das", "der die das", " the\nthe\nthe"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(documents(texts), model).collect()}
+    assert got == {i: brute_language(model, t) for i, t in enumerate(texts)}
+
+
 def test_language_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
