@@ -10,7 +10,8 @@ queries come from one linear pass over all vectors, and the pair of settings tha
 RECALL on them, and SPARSE on those with the farthest neighbours, with the fewest candidates
 is taken. What it does not vouch for is searched exactly, against all vectors in blocks:
 queries with too few candidates, or whose last neighbour found is farther than the distance
-up to which the sampled queries reach SPARSE.
+up to which the sampled queries reach SPARSE. Every vector is sent once for each table, so
+the tables are few and their probes many.
 
 Equal vectors are one class with its k + 1 smallest ids, which is all that a ranking of
 k can use, so a very common vector costs what one costs. Buckets above BLOCK vectors are
@@ -19,13 +20,12 @@ pair becomes a row.
 
 Defined results: null or zero vectors, null ids, and vectors with null or non-finite
 components or of another than the most frequent length take no part, as candidates or
-queries; repeated rows count once; ties go to the smaller id; with k or fewer
-candidates in reach fewer are returned; empty tables give no rows.
+queries; repeated rows count once; ties go to the smaller id; where k or fewer other vectors exist
+all of them are returned; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,38 +33,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, tidy
+from .common import MOST_BROADCAST, bound_batches, materialize, tidy
 from .decontaminate import mix
 
-TABLES, HASHES = 8, 4
+TABLES, HASHES = 2, 4
 #: Recall that the fitted settings must reach on the sampled queries.
 RECALL = 0.96
 #: Recall that each run of STRETCH sampled queries, in the order of their last neighbour's distance, must reach.
 SPARSE, STRETCH = 0.9, 12
 SAMPLE, QUERIES = 2000, 96
-#: Vectors of a bucket that one block holds, and queries whose best are held in a task.
-BLOCK, MOST_HELD = 8192, 50_000
+#: Vectors of a bucket that one block holds, queries that meet a block at a time, and queries
+#: whose best are held in a task or that are broadcast for the exact search.
+BLOCK, STRIP, MOST_HELD = 32_768, 64, 50_000
 
 
-def probe_order(inside: np.ndarray, count: int) -> list[list[tuple[int, int]]]:
-    """The first `count` perturbations for places `inside` (0 to 1) of the cells, likeliest first.
+def probe_order(inside: np.ndarray, count: int) -> np.ndarray:
+    """For each row of places `inside` (0 to 1) of the cells its first `count` perturbations, likeliest first.
 
-    Best-first over sets of wall crossings: from a set the last crossing is replaced by, or
-    joined with, the next dearer one. Sets that cross both walls of a cell are passed over.
+    A perturbation moves each cell by -1, 0 or 1; its cost is the sum of the squared distances
+    to the walls crossed, 0 for the own bucket.
     """
-    steps = sorted([(x * x, i, -1) for i, x in enumerate(inside)] + [((1 - x) ** 2, i, 1) for i, x in enumerate(inside)])
-    out: list[list[tuple[int, int]]] = [[]]
-    heap = [(steps[0][0], [0])]
-    while heap and len(out) < count:
-        cost, chosen = heapq.heappop(heap)
-        crossed = [steps[j][1:] for j in chosen]
-        if len({i for i, _ in crossed}) == len(crossed):
-            out.append(crossed)
-        last = chosen[-1] + 1
-        if last < len(steps):
-            heapq.heappush(heap, (cost + steps[last][0], [*chosen, last]))
-            heapq.heappush(heap, (cost - steps[last - 1][0] + steps[last][0], [*chosen[:-1], last]))
-    return out
+    moves = np.stack(np.meshgrid(*[[0, -1, 1]] * inside.shape[1], indexing="ij"), axis=-1).reshape(-1, inside.shape[1])
+    cost = inside**2 @ (moves == -1).T + (1 - inside) ** 2 @ (moves == 1).T
+    return moves[np.argsort(cost, axis=1, kind="stable")[:, :count]]
 
 
 class Hasher:
@@ -90,16 +81,10 @@ class Hasher:
         return h.astype(np.int64)
 
     def probes(self, x: np.ndarray, count: int) -> np.ndarray:
-        """Bucket names, TABLES x vectors x count (fewer orders repeat the own bucket)."""
+        """Bucket names, TABLES x vectors x count."""
         cells = self.cells(x)
         whole = np.floor(cells)
-        moved = np.repeat(whole[:, :, None], count, axis=2)
-        for t in range(TABLES):
-            for n in range(len(x)):
-                for p, crossed in enumerate(probe_order(cells[t, n] - whole[t, n], count)):
-                    for i, d in crossed:
-                        moved[t, n, p, i] += d
-        return self.key(moved)
+        return self.key(np.stack([w[:, None] + probe_order(c - w, count) for c, w in zip(cells, whole, strict=True)]))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -110,58 +95,102 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row of q the ids and exact distances of its k nearest rows of x, nearest first."""
-    rough = (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None]
-    slack = 1e-9 * (1 + np.abs(rough).max()) if rough.size else 0.0
-    for i in range(len(q)):
-        near = np.arange(len(x))
-        if len(x) > k:
-            near = np.flatnonzero(rough[i] <= np.partition(rough[i], k - 1)[k - 1] + slack)
-        exact = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-        order = np.lexsort((ids[near], exact))[:k]
-        yield ids[near[order]], exact[order]
+    squares = (x * x).sum(1)[None]
+    for at in range(0, len(q), STRIP):
+        part = q[at : at + STRIP]
+        rough = (part * part).sum(1)[:, None] - 2 * part @ x.T + squares
+        slack = 1e-9 * (1 + np.abs(rough).max()) if rough.size else 0.0
+        for i in range(len(part)):
+            near = np.arange(len(x))
+            if len(x) > k:
+                near = np.flatnonzero(rough[i] <= np.partition(rough[i], k - 1)[k - 1] + slack)
+            exact = np.sqrt(((x[near] - part[i]) ** 2).sum(axis=1))
+            order = np.lexsort((ids[near], exact))[:k]
+            yield ids[near[order]], exact[order]
+
+
+class Nearest:
+    """The k best classes of each query met so far."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def meet(self, names: list[int], q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        for name, (near, d) in zip(names, best(q, x, ids, self.k), strict=True):
+            if name in self.held:
+                near, d = np.concatenate([self.held[name][0], near]), np.concatenate([self.held[name][1], d])
+                near, first = np.unique(near, return_index=True)
+                order = np.lexsort((near, d[first]))[: self.k]
+                near, d = near[order], d[first][order]
+            self.held[name] = (near, d)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            n = [len(v[0]) for v in self.held.values()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(np.array(list(self.held), np.int64), n)), pa.array(np.concatenate([v[0] for v in self.held.values()])),
+                pa.array(np.concatenate([v[1] for v in self.held.values()])),
+            ], ["q", "class", "score"])
+            self.held.clear()
+
+
+def scan(classes: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """q, class, score: the k nearest classes of each of a bounded number of queries, from all vectors.
+
+    The queries are broadcast; a task meets its vectors block by block and keeps the best k.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        found, ids, rows, n = Nearest(k), [], [], 0
+
+        def meet() -> None:
+            if n:
+                found.meet(names, q, np.vstack(rows), np.concatenate(ids))
+
+        for b in batches:
+            if b.num_rows:
+                ids.append(b.column("class").to_numpy())
+                rows.append(matrix(b.column("embedding")))
+                n += b.num_rows
+            if n >= BLOCK:
+                meet()
+                ids, rows, n = [], [], 0
+        meet()
+        yield from found.rows()
+
+    return classes.select("class", "embedding").mapInArrow(tidy(run), "q long, class long, score double")
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """The rows (vec_id, embedding as doubles) that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """The rows (vec_id, embedding as it is) that take part."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
     ok = (
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
         & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     )
     # adding zero turns -0.0 into 0.0, which equals it
-    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda c: c + 0.0).alias("embedding"))
+    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda c: (c + 0.0).cast(kind)).alias("embedding"))
     usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("embedding") == (usual["n"] if usual else 0))
 
 
 def fit(classes: DataFrame, k: int) -> tuple[float, int, float, float]:
     """(width, probes, recall on the sampled queries, distance of the last neighbour up to which it holds)."""
-    spark = classes.sparkSession
     rows = classes.select("class", "embedding").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).collect()
     ids, x = np.array([r["class"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
     if len(ids) < 2:
         return 1.0, 1, 1.0, float("inf")
     q_ids, q = ids[:QUERIES], x[:QUERIES]
-    shared = spark.sparkContext.broadcast((q_ids, q))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = shared.value
-        for b in batches:
-            own, data = b.column("class").to_numpy(), matrix(b.column("embedding"))
-            out = [[], [], [], []]
-            for i, (near, d) in enumerate(best(q, data, own, k + 1)):
-                place = {v: j for j, v in enumerate(own.tolist())} if i == 0 else place
-                for v, s in zip(near.tolist(), d.tolist(), strict=True):
-                    if v != q_ids[i]:
-                        for c, value in zip(out, (i, v, s, data[place[v]].tolist()), strict=True):
-                            c.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.float64()))], ["q", "class", "d", "v"])
-
-    top = Window.partitionBy("q").orderBy("d", "class")
-    true = classes.select("class", "embedding").mapInArrow(tidy(run), "q long, class long, d double, v array<double>")
-    pairs = true.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).select("q", "v", "d").collect()
-    at, near = np.array([r["q"] for r in pairs]), np.array([r["v"] for r in pairs], np.float64)
-    d = np.array([r["d"] for r in pairs])
+    top = Window.partitionBy("q").orderBy("score", "class")
+    true = scan(classes, list(zip(q_ids.tolist(), q.tolist(), strict=True)), k + 1).where("q <> class").withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
+    pairs = F.broadcast(true.select("q", "class", "score")).join(classes.select("class", "embedding"), "class").select("q", "embedding", "score").collect()
+    place = {c: i for i, c in enumerate(q_ids.tolist())}
+    at, near = np.array([place[r["q"]] for r in pairs]), np.array([r["embedding"] for r in pairs], np.float64)
+    d = np.array([r["score"] for r in pairs])
     far = np.zeros(len(q))
     np.maximum.at(far, at, d)
     order = np.argsort(far, kind="stable")
@@ -210,13 +239,16 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     asked = materialize(rows.where(is_query).join(classes.select("class", "embedding"), "embedding").select("vec_id", "class").distinct(), "asked")
     width, count, _, limit = fit(classes, k)
 
-    def hash_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = classes.count()
+
+    def hash_data(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column("embedding"))
             h = Hasher(x.shape[1], width)
             keys = h.key(np.floor(h.cells(x)))
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(keys[t]), b.column("class"), b.column("embedding")], ["t", "bucket", "id", "v"])
+                columns = [pa.array(np.full(len(x), t, np.int32)), pa.array(keys[t])]
+                yield pa.RecordBatch.from_arrays([*columns, b.column("class"), b.column("embedding")], names[:2] + names[4:]) if whole else pa.RecordBatch.from_arrays(columns, names[:2])
 
     def hash_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,34 +256,26 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
             probes = Hasher(x.shape[1], width).probes(x, count)
             for t in range(TABLES):
                 for p in range(count):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(probes[t, :, p]), b.column("class"), b.column("embedding")], ["t", "bucket", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(probes[t, :, p]), b.column("class"), b.column("embedding")], names[:2] + names[4:])
 
-    shape = "t int, bucket long, id long, v array<double>"
-    data = classes.select("class", "embedding").mapInArrow(tidy(hash_data), shape)
-    wanted = classes.select("class", "embedding").join(asked.select("class").distinct(), "class", "left_semi")
-    probes = wanted.mapInArrow(tidy(hash_queries), shape)
-    # buckets that are cut: their data is dealt by id, a probe goes to each block
-    data = materialize(data, "hashed")
-    large = data.groupBy("t", "bucket").count().where(F.col("count") > BLOCK).select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    large = materialize(large, "large")
-    data = data.join(large, ["t", "bucket"], "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    probes = probes.join(large, ["t", "bucket"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     names = ["t", "bucket", "block", "kind", "id", "v"]
+    shape = f"t int, bucket long, id long, v {classes.schema['embedding'].dataType.simpleString()}"
+    vectors_of = classes.select("class", "embedding")
+    data = vectors_of.mapInArrow(tidy(hash_data), shape)
+    wanted = materialize(vectors_of.join(asked.select("class").distinct(), "class", "left_semi"), "wanted")
+    probes = wanted.mapInArrow(tidy(hash_queries), shape)
+    # buckets that are cut: their data is dealt by id, a probe goes to each block; they are counted
+    # without the vectors
+    sizes = vectors_of.mapInArrow(tidy(lambda batches: hash_data(batches, False)), "t int, bucket long").groupBy("t", "bucket").count()
+    large = materialize(sizes.where(F.col("count") > BLOCK).select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    # as many large buckets as total / BLOCK for each table at most
+    few = F.broadcast(large) if TABLES * total / BLOCK <= MOST_BROADCAST else large
+    data = data.join(few, ["t", "bucket"], "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    probes = probes.join(few, ["t", "bucket"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     both = data.withColumn("kind", F.lit(0)).select(names).union(probes.withColumn("kind", F.lit(1)).select(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                n = [len(v[0]) for v in held.values()]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(np.array(list(held), np.int64), n)), pa.array(np.concatenate([v[0] for v in held.values()])),
-                    pa.array(np.concatenate([v[1] for v in held.values()])),
-                ], ["q", "class", "score"])
-                held.clear()
-
-        now, ids, rows = None, [], []
+        best_of, now, ids, rows = Nearest(k + 1), None, [], []
         x = own = None
         for b in batches:
             t, bucket, block, kind = (b.column(c).to_numpy() for c in ("t", "bucket", "block", "kind"))
@@ -266,40 +290,28 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                 if kind[a] == 0:
                     ids.append(name[a:z])
                     rows.append(v[a:z])
-                    continue
-                if not rows:
-                    continue
-                if x is None:
-                    x, own = np.vstack(rows), np.concatenate(ids)
-                for s in range(a, z, 256):
-                    part = slice(s, min(s + 256, z))
-                    for q, (near, d) in zip(name[part].tolist(), best(v[part], x, own, k + 1), strict=True):
-                        if q in held:
-                            near, d = np.concatenate([held[q][0], near]), np.concatenate([held[q][1], d])
-                            near, first = np.unique(near, return_index=True)
-                            order = np.lexsort((near, d[first]))[: k + 1]
-                            near, d = near[order], d[first][order]
-                        held[q] = (near, d)
-                if len(held) > MOST_HELD:
-                    yield from flush()
-        yield from flush()
-
-    def meet(both: DataFrame) -> DataFrame:
-        return both.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "kind").mapInArrow(tidy(run), "q long, class long, score double")
-
-    found = materialize(meet(both), "found")
-    # queries that the settings do not vouch for meet all vectors, in blocks
-    total = classes.count()
+                elif rows:
+                    if x is None:
+                        x, own = np.vstack(rows), np.concatenate(ids)
+                    best_of.meet(name[a:z].tolist(), v[a:z], x, own)
+                    if len(best_of.held) > MOST_HELD:
+                        yield from best_of.rows()
+        yield from best_of.rows()
+
+    dealt = both.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "kind")
+    found = materialize(dealt.mapInArrow(tidy(run), "q long, class long, score double"), "found")
+    # queries that the settings do not vouch for meet all vectors, MOST_HELD of them at a time
     order = Window.partitionBy("q").orderBy("score", "class")
     reached = found.groupBy("q", "class").agg(F.min("score").alias("score")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
     fine = reached.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("far")).where((F.col("n") >= min(k + 1, total)) & (F.col("far") <= limit))
     left = wanted.join(fine.select(F.col("q").alias("class")), "class", "left_anti")
-    blocks = F.lit(max(1, -(-total // BLOCK)))
-    same = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket")]
-    vectors_of = [F.col("class").alias("id"), F.col("embedding").alias("v")]
-    all_data = classes.select(*same, F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.lit(0).alias("kind"), *vectors_of)
-    all_left = left.select(*same, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"), *vectors_of)
-    found = found.union(meet(all_data.union(all_left)))
+    held: list[tuple[int, list[float]]] = []
+    for r in left.toLocalIterator():
+        held.append((r["class"], r["embedding"]))
+        if len(held) >= MOST_HELD:
+            found, held = found.union(materialize(scan(classes, held, k + 1), "scanned")), []
+    if held:
+        found = found.union(materialize(scan(classes, held, k + 1), "scanned"))
     # per searched class: its best classes, then their ids, then without the asking row
     top = Window.partitionBy("q").orderBy("score", "class")
     found = found.groupBy("q", "class").agg(F.min("score").alias("score")).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1)

@@ -171,10 +171,10 @@ def test_near_copies_of_repeated_items_are_leaks(spark, documents):
 VECTORS = "vec_id long, embedding array<float>, label int, bucket string"
 
 
-def exact(rows, k, asked):
+def exact(rows, k, asked, length=16):
     ok = {}
     for i, v, *_ in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 16:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == length:
             ok[i] = np.array(v, np.float32).astype(float)
     ids = np.array(sorted(ok))
     x = np.stack([ok[i] for i in ids])
@@ -221,6 +221,42 @@ def test_neighbours_of_two_scales(spark):
         assert np.mean([len(got[q] & want[q]) / 10 for q in want if q in part]) >= 0.9
 
 
+def neighbours(spark, rows, k=10):
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 100 == 0, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_all_candidates_are_returned_where_few_exist(spark):
+    rng = np.random.default_rng(3)
+    far = [(i * 50, (100 * rng.normal(size=16)).astype(np.float32).tolist(), 0, "b") for i in range(8)]
+    got = neighbours(spark, far)
+    assert got.keys() == {0, 100, 200, 300} and {q: [v for v, _ in near] for q, near in got.items()} == {q: [v for v, _ in near] for q, near in exact(far, 10, lambda i: i % 100 == 0).items()}
+
+
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_ten_are_returned_from_groups_of_five(spark, monkeypatch, most):
+    monkeypatch.setattr(nearest, "MOST_HELD", most)
+    rng = np.random.default_rng(4)
+    centres = 50 * rng.normal(size=(80, 16))
+    rows = [(i * 20, (centres[i % 80] + 0.01 * rng.normal(size=16)).astype(np.float32).tolist(), 0, "b") for i in range(400)]
+    got, want = neighbours(spark, rows), exact(rows, 10, lambda i: i % 100 == 0)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_recall_on_the_embeddings(spark):
+    from listingloom.llm import queries
+
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    got = {}
+    for r in queries.op10_nearest(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(rows, 10, lambda i: i % 100 == 0, 64)
+    assert got.keys() == want.keys() and np.mean([len(got[q] & {v for v, _ in want[q]}) / len(want[q]) for q in want]) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0], 0, "b"), (1, [1.0, 2.5], 0, "b")], VECTORS)
     assert [tuple(r) for r in nearest.search(one, F.col("vec_id") % 100 == 0, 10).collect()] == [(0, 1, 1, 0.5)]
@@ -228,6 +264,7 @@ def test_few_or_no_vectors(spark):
 
 
 def test_probe_order_is_by_cost():
-    inside = np.array([0.1, 0.45, 0.8])
-    cost = [sum(inside[i] ** 2 if d < 0 else (1 - inside[i]) ** 2 for i, d in p) for p in nearest.probe_order(inside, 27)]
-    assert cost == sorted(cost) and len(cost) == 27
+    inside = np.array([[0.1, 0.45, 0.8], [0.5, 0.5, 0.5]])
+    for row, moves in zip(inside, nearest.probe_order(inside, 27)):
+        cost = [sum(row[i] ** 2 if d < 0 else (1 - row[i]) ** 2 for i, d in enumerate(p) if d) for p in moves]
+        assert cost == sorted(cost) and len({tuple(p) for p in moves.tolist()}) == 27 and not moves[0].any()
