@@ -82,10 +82,12 @@ def give_back() -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder stands in.
+    Only where that is unset and all runs on one machine, as in tests, a temporary folder stands in.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
         if not _own_scratch:
             _own_scratch.append("file://" + tempfile.mkdtemp(prefix="listingloom-"))
         base = _own_scratch[0]
@@ -104,6 +106,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what `materialize` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of one key that a task may get by a shuffle.
+MOST_OF_A_KEY = 2000
+
+
+def meet(rows: DataFrame, of_key: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows joined with of_key, which has one row for each key and the number of its rows in _rows.
+
+    total is the number of all rows, or more. Keys of more than MOST_OF_A_KEY rows are broadcast with what belongs to them, so no key
+    gathers its rows in one task. There are at most rows / threshold of them; the threshold
+    rises with the rows until that many may be broadcast.
+    """
+    most = max(MOST_OF_A_KEY, total // MOST_BROADCAST)
+    hot = F.broadcast(of_key.where(F.col("_rows") > most).drop("_rows"))
+    cold = of_key.where(F.col("_rows") <= most).drop("_rows")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 #: Ids up to which a list is broadcast; beyond it the join is shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -127,32 +154,34 @@ def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) ->
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round keeps
     at most one row for each edge, ends in a written table, and hubs are met by grouped
-    minima that combine before the shuffle, so no neighbourhood is gathered in one task.
+    minima that combine before the shuffle and reach their edges by `meet`, so no
+    neighbourhood is gathered in one task.
     """
-    spark = edges.sparkSession
     now = materialize(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         f"{label}-edges",
     )
-    mark = None
+    mark, total = None, 2 * now.count()
     for _ in range(most_rounds):
         # large star: link each larger neighbour of u to the least node around u
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_rows"))
+        large = materialize(
+            meet(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(),
+            f"{label}-large",
         )
         # small star: u has smaller neighbours only; link them and u to the least of them
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
         small = (
-            large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            meet(large, floor, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(floor.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        now = materialize(small, f"{label}-round")
+        last, now = now, materialize(small, f"{label}-round")
+        discard(last)
+        discard(large)
         # a star forest repeats itself: same number of edges, same order-free hash
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:

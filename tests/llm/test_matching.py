@@ -87,9 +87,51 @@ def test_large_cluster_is_cut_into_blocks(spark, documents, monkeypatch):
     assert joined(documents(rows)) == brute(rows)
 
 
-def test_boundary_is_where_listing_subsets_gets_dearer():
-    b = shingle_join.boundary()
-    assert shingle_join.subsets(b) <= shingle_join.LIST_COST * shingle_join.listed(b) and shingle_join.subsets(b + 1) > shingle_join.LIST_COST * shingle_join.listed(b + 1)
+def test_rows_without_ids_carry_links(spark, documents):
+    base = [f"w{i}" for i in range(120)]
+    bridge = [*base[:60], "a", "b", *base[62:]]
+    far = [*bridge[:20], "c", "d", *bridge[22:]]
+    rows = [(4, " ".join(base)), (None, " ".join(bridge)), (None, " ".join(bridge)), (9, " ".join(far)), (11, "other words here")]
+    want = brute(rows)
+    assert (9, 118, 4) in want and (4, 118, 4) in want and joined(documents(rows)) == want
+
+
+def test_sets_of_one_sum_stay_apart(spark, documents, monkeypatch):
+    rows = list(enumerate(near_copies(11, 40, 6, 4) + near_copies(12, 9, 6, 1)))
+    df = documents(rows)
+    made = shingle_join.describe(df, 11).withColumn("s1", F.col("s1") % 3)
+    described, nodes = shingle_join.named(made)
+    assert described.select("node").distinct().count() == made.select("s1", "s2", "n").distinct().count() == nodes.count()
+
+
+@pytest.mark.parametrize("small", [1, 11, 29])
+def test_the_boundary_changes_no_link(spark, documents, monkeypatch, small):
+    monkeypatch.setattr(shingle_join, "measured_boundary", lambda docs: small)
+    rows = list(enumerate(t for k, n in enumerate([5, 11, 13, 20, 24, 29, 31, 34, 60]) for t in near_copies(20 + k, n, 6, 4)))
+    assert joined(documents(rows)) == brute(rows)
+
+
+def test_boundary_is_the_cheapest():
+    def cost(b, sizes, shared):
+        entry = shingle_join.ENTRY_COST + shingle_join.SHARED_COST * shared
+        by_subsets = sum(c * shingle_join.SUBSET_COST * shingle_join.subsets(n) for n, c in sizes.items() if n <= b)
+        return by_subsets + sum(c * entry * shingle_join.listed(n) for n, c in sizes.items() if 10 * n >= 9 * (b + 1))
+
+    for sizes, shared in (({8: 50, 14: 9, 300: 4}, 0.0), ({8: 50, 14: 9, 300: 4}, 1.0), ({19: 5, 25: 1}, 0.4), ({}, 0.0)):
+        b = shingle_join.boundary(sizes, shared)
+        assert cost(b, sizes, shared) == min(cost(x, sizes, shared) for x in range(1, shingle_join.MOST_SMALL + 1))
+    assert shingle_join.boundary({10: 10}, 0.0) < 10 <= shingle_join.boundary({10: 10}, 1.0)
+
+
+def test_frequent_keys_are_met_by_a_broadcast(spark, monkeypatch):
+    from listingloom.llm import common
+
+    rows = spark.range(100).selectExpr("id", "id % 7 * (id % 2) as k")
+    of = rows.groupBy("k").agg(F.min("id").alias("m"), F.count("*").alias("_rows"))
+    for most in (1, 10, 1000):
+        monkeypatch.setattr(common, "MOST_OF_A_KEY", most)
+        got = sorted(map(tuple, common.meet(rows, of, ["k"], 100).collect()))
+        assert got == sorted(map(tuple, rows.join(of.drop("_rows"), "k").collect()))
 
 
 def test_components(spark):
