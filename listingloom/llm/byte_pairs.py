@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import bound_batches, tidy
 
 #: Bytes of text whose distinct chunks are encoded together, and chunks that are at a time.
-BYTES_AT_ONCE, CHUNKS_AT_ONCE = 24 << 20, 50_000
+BYTES_AT_ONCE, CHUNKS_AT_ONCE = 16 << 20, 25_000
 #: Chunks of up to LONGEST characters whose ids a worker remembers, about 200 bytes each.
 MOST_REMEMBERED, LONGEST = 200_000, 64
 _NONE = np.iinfo(np.int64).max
