@@ -18,6 +18,8 @@ from .pairs import ALTERNATIVE_OVERLAP, blocked_pairs, cross_brand_lenient, cros
 from .sampling import sample
 
 WEAK_OVERLAP = 0.05
+#: Products that a task orders in a draw, and the tasks that a category is dealt to where all its pairs are met.
+RUN, SALTS = 100_000, 32
 
 
 def draw(seed: int | str, *key: str | Column) -> Column:
@@ -54,32 +56,42 @@ def exact_pairs(products: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return _pair(rows, F.concat("id", F.lit("-reworded")), said, F.col("description"), "EXACT_MATCH")
 
 
-def _scored(products: DataFrame, block: str, lenient: bool, salts: int = 1) -> DataFrame:
-    """a, b, overlap of the cross-brand pairs of each block."""
+def _overlap(pairs: DataFrame, lenient: bool) -> DataFrame:
+    """The cross-brand pairs, with their overlap."""
     cross = cross_brand_lenient if lenient else cross_brand_strict
-    pairs = blocked_pairs(products, [block], salts=salts).where(cross(F.col("a.brand"), F.col("b.brand")))
-    return pairs.withColumn("overlap", jaccard(F.col("a._tokens"), F.col("b._tokens")))
+    return pairs.where(cross(F.col("a.brand"), F.col("b.brand"))).withColumn("overlap", jaccard(F.col("a._tokens"), F.col("b._tokens")))
 
 
-def bounded(products: DataFrame, by: str, most: int, seed: int | str) -> DataFrame:
-    """At most `most` products for each value of by, the first in md5 order; cut before the shuffle too."""
+def drawn(products: DataFrame, by: str, rounds: int, seed: int | str) -> DataFrame:
+    """(a, b): in each round every product with the next one of its group in a new md5 order; a.id < b.id, each pair once.
+
+    Neighbours in a random order are random pairs: a round gives about as many as there are
+    products, from all of them, and large groups are dealt to buckets of RUN products.
+    """
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(md5_order(seed, "id"), "id"))
-    return products.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+    buckets = max(1, products.count() // RUN)
+    rows = products.select(F.col(by).alias("_by"), F.struct(*products.columns).alias("a"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round"))
+    rows = rows.withColumn("_o", md5_order(f"{seed}-draw", "_round", "a.id"))
+    rows = rows.withColumn("_bucket", F.pmod(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
+    met = rows.withColumn("b", F.lead("a").over(Window.partitionBy("_by", "_round", "_bucket").orderBy("_o", "a.id"))).where(F.col("b").isNotNull() & (F.col("a.id") != F.col("b.id")))
+    ahead = F.col("a.id") < F.col("b.id")
+    met = met.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"))
+    return met.withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id")).dropDuplicates(["_i", "_j"]).select("a", "b")
 
 
-def band_pairs(products: DataFrame, low: float, high: float, n: int, label: str, seed: int = 42, per_category: int = 400) -> DataFrame:
-    """Cross-brand pairs of one derived category with low <= overlap < high.
+def band_pairs(products: DataFrame, low: float, high: float, n: int, label: str, seed: int = 42, rounds: int = 4) -> DataFrame:
+    """n cross-brand pairs of one derived category with low <= overlap < high, or all if fewer.
 
-    Pairs are drawn from per_category random products of each category, which bounds the
-    pairs of a category however large it is.
+    They are drawn from random pairs of all products. Only where those do not hold n, every
+    pair of each category is looked at, with the categories dealt over SALTS tasks each.
     """
     prepared = prepare(products).where(F.col("_category") != OTHER)
-    pairs = _scored(bounded(prepared, "_category", per_category, f"{seed}-pool"), "_category", lenient=False)
-    pairs = pairs.where(let(F.col("overlap"), lambda o: (o >= low) & (o < high)))
-    chosen = sample(pairs.withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id")), n, seed, "_i", "_j")
-    return flat(chosen, F.lit(label).alias("relationship_label"), F.lit("synthetic").alias("source"))
+    inside = lambda pairs: _overlap(pairs, lenient=False).where(let(F.col("overlap"), lambda o: (o >= low) & (o < high))).withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id"))
+    pairs = inside(drawn(prepared, "_category", rounds, seed))
+    if pairs.limit(n).count() < n:
+        pairs = inside(blocked_pairs(prepared, ["_category"], salts=SALTS))
+    return flat(sample(pairs, n, seed, "_i", "_j"), F.lit(label).alias("relationship_label"), F.lit("synthetic").alias("source"))
 
 
 def alternative_pairs(products: DataFrame, n: int = 280, seed: int = 42) -> DataFrame:
@@ -98,21 +110,35 @@ def synthesize(products: DataFrame, existing: DataFrame, n: int = 280) -> DataFr
 
 def percentile_pairs(
     products: DataFrame, category: str = "category", pool: int = 500, least: int = 5, alternative: float = 0.9, weak: float = 0.5,
-    n_alternative: int = 5000, n_weak: int = 5000, seed: int = 42, least_pool: int = 10, per_category: int | None = None,
+    n_alternative: int = 5000, n_weak: int = 5000, seed: int = 42, least_pool: int = 10, rounds: int = 12, small: int = 64,
 ) -> DataFrame:
     """Per real category the top of its own overlap distribution is an alternative, the next
-    band weakly similar.
+    band weakly similar. Cut-offs are exact percentiles of a pool of cross-brand pairs.
 
-    Products of a category that can matter for a pool of `pool` pairs are bounded first (by
-    md5 rank, `per_category` of them), so a category with a third of the catalog pairs no
-    more rows than any other. Cut-offs are exact percentiles of each pool.
+    The pool is all pairs of a category of up to `small` products, else random pairs of all its
+    products. Where those are fewer than `pool`, nearly all products are of one brand, and all
+    cross-brand pairs are listed: those of the products of other brands with all.
     """
     from pyspark.sql import Window
 
-    most = per_category or max(least, int((2 * pool) ** 0.5) * 4)
-    rows = group_gate(products, category, least)
-    rows = bounded(rows, category, most, f"{seed}-pool").withColumn("_block", F.col(category))
-    pairs = _scored(prepare(rows, extra=["_block"]), "_block", lenient=True)
+    rows = group_gate(products, category, least).withColumn("_block", F.col(category))
+    rows = prepare(rows, extra=["_block"])
+    sizes = rows.groupBy("_block").count()
+    few = rows.join(sizes.where(F.col("count") <= small), "_block", "left_semi")
+    many = rows.join(sizes.where(F.col("count") > small), "_block", "left_semi")
+    met = _overlap(drawn(many, "_block", rounds, seed), lenient=True)
+    enough = met.groupBy(F.col("a._block").alias("_block")).count().where(F.col("count") >= pool).select("_block")
+    brand = F.lower(F.trim(text("brand")))
+    one_sided = many.join(enough, "_block", "left_anti").withColumn("_brand", brand)
+    usual = one_sided.groupBy("_block", "_brand").count().groupBy("_block").agg(F.max_by("_brand", F.struct("count", "_brand")).alias("_usual"))
+    one_sided = one_sided.join(usual, "_block")
+    odd = one_sided.where((F.col("_brand") != F.col("_usual")) | (F.col("_brand") == ""))
+    side = lambda df, name: df.select(F.col("_block").alias("_k"), F.struct(*many.columns).alias(name))
+    rest = side(odd, "x").join(side(one_sided, "y"), "_k").where("x.id <> y.id")
+    ahead = F.col("x.id") < F.col("y.id")
+    rest = rest.select(F.when(ahead, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ahead, F.col("y")).otherwise(F.col("x")).alias("b"))
+    rest = _overlap(rest.withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id")).dropDuplicates(["_i", "_j"]).select("a", "b"), lenient=True)
+    pairs = stack([met.join(enough.withColumnRenamed("_block", "_e"), F.col("a._block") == F.col("_e"), "left_semi"), rest, _overlap(blocked_pairs(few, ["_block"]), lenient=True)])
     pairs = pairs.withColumn("_b", F.col("a._block")).withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id"))
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(md5_order(seed, "_i", "_j"), "_i", "_j"))
     pooled = pairs.withColumn("_r", rank).where(F.col("_r") <= pool)
@@ -124,18 +150,27 @@ def percentile_pairs(
     return flat(stack(parts), F.col("_label").alias("relationship_label"), F.lit("synthetic").alias("source"))
 
 
-def unrelated_pairs(products: DataFrame, n: int, category: str = "category", seed: int = 42) -> DataFrame:
-    """Pairs across categories: products in md5 order, each with the next ones of the order.
+def unrelated_pairs(products: DataFrame, n: int, category: str = "category", seed: int = 42, rounds: int = 4) -> DataFrame:
+    """n pairs across categories: in each round products in md5 order, each with the next one.
 
     Neighbours in a random order are random pairs, so no product meets all others; pairs
-    within one category are passed over.
+    within one category are passed over. Where the rounds do not hold n, nearly all products
+    are of one category: those of the others also meet n products of it each.
     """
     from .pairs import consecutive
 
     fields = ["id", "title", "brand", "description", category]
     rows = products.where(F.col(category).isNotNull())
-    rounds = [consecutive(rows, f"{seed}-{i}", ["id"], fields) for i in range(2)]
-    pairs = stack(rounds).where(F.col(f"product1_{category}") != F.col(f"product2_{category}"))
+    across = F.col(f"product1_{category}") != F.col(f"product2_{category}")
+    pairs = stack([consecutive(rows, f"{seed}-{i}", ["id"], fields) for i in range(rounds)]).where(across).dropDuplicates(["product1_id", "product2_id"])
+    if pairs.limit(n).count() < n:
+        usual = rows.groupBy(category).count().orderBy(F.desc("count"), category).limit(1).select(F.col(category).alias("_usual"))
+        side = lambda df, k: df.select(*[F.col(f).alias(f"product{k}_{f}") for f in fields])
+        odd = side(rows.join(F.broadcast(usual), F.col(category) == F.col("_usual"), "left_anti"), 1)
+        some = side(sample(rows.join(F.broadcast(usual), F.col(category) == F.col("_usual"), "left_semi"), n, seed, "id"), 2)
+        key = F.lit(0).alias("_k")
+        more = odd.select("*", key).join(some.select("*", key), "_k").drop("_k")
+        pairs = stack([pairs, more]).dropDuplicates(["product1_id", "product2_id"])
     chosen = sample(pairs, n, seed, "product1_id", "product2_id")
     return chosen.drop(f"product1_{category}", f"product2_{category}").withColumns({"relationship_label": F.lit("UNRELATED"), "source": F.lit("synthetic")})
 

@@ -370,39 +370,82 @@ def exact_pairs(spark, d):
     return synth.exact_pairs(listings(spark, d), 280).select("product1_id", "product2_title")
 
 
-def _sql_band(low: float, high: float, seed: int) -> str:
-    return PREPARED + f""", g AS (SELECT * FROM p WHERE cat <> 'OTHER' QUALIFY row_number() OVER (PARTITION BY cat ORDER BY {_sql_order(f'{seed}-pool', 'id')}, id) <= 400), x AS (SELECT a.id AS i, b.id AS j, {_sql_jaccard('a', 'b')} AS o FROM g a JOIN g b ON a.cat = b.cat AND a.id < b.id AND lower(trim(a.brand)) <> lower(trim(b.brand)))
-  SELECT i AS product1_id, j AS product2_id FROM x WHERE o >= {low} AND o < {high} ORDER BY {_sql_order(str(seed), 'i', 'j')}, i, j LIMIT 280"""
+def _sql_drawn(of: str, by: str, rounds: int, seed: str) -> str:
+    """(i, j): each row of `of` with the next one of its group in each round's md5 order, in buckets of 100,000 rows."""
+    o = f"md5(concat('{seed}-draw|', r, '|', id))"
+    bucket = f"CAST(concat('0x', substr(o, 1, 8)) AS BIGINT) % greatest(1, (SELECT count(*) FROM {of}) // 100000)"
+    return f"""SELECT DISTINCT least(id, n) AS i, greatest(id, n) AS j FROM (SELECT id, lead(id) OVER (PARTITION BY k, r, {bucket} ORDER BY o, id) AS n
+      FROM (SELECT id, {by} AS k, r, {o} AS o FROM {of}, range(1, {rounds + 1}) AS t(r))) WHERE n IS NOT NULL AND n <> id"""
 
 
-@query(_sql_band(0.25, 0.55, 42))
+def _sql_band(low: float, high: float, seed: int, label: str) -> str:
+    """Random pairs, or all pairs where those do not hold 280."""
+    met = lambda pairs: f"SELECT a.id AS i, b.id AS j, {_sql_jaccard('a', 'b')} AS o FROM {pairs} JOIN g a ON a.id = i JOIN g b ON b.id = j WHERE lower(trim(a.brand)) <> lower(trim(b.brand))"
+    return f"""g AS (SELECT * FROM p WHERE cat <> 'OTHER'), d{seed} AS ({_sql_drawn('g', 'cat', 4, str(seed))}), a{seed} AS (SELECT a.id AS i, b.id AS j FROM g a JOIN g b ON a.cat = b.cat AND a.id < b.id),
+  x{seed} AS (SELECT * FROM ({met(f'd{seed}')}) WHERE o >= {low} AND o < {high}), y{seed} AS (SELECT * FROM ({met(f'a{seed}')}) WHERE o >= {low} AND o < {high} AND (SELECT count(*) FROM x{seed}) < 280),
+  z{seed} AS (SELECT i AS product1_id, j AS product2_id, '{label}' AS relationship_label FROM (SELECT * FROM x{seed} WHERE (SELECT count(*) FROM x{seed}) >= 280 UNION ALL SELECT * FROM y{seed}) ORDER BY {_sql_order(str(seed), 'i', 'j')}, i, j LIMIT 280)"""
+
+
+ALTERNATIVE, WEAK = _sql_band(0.25, 0.55, 42, "SIMILAR_ALTERNATIVE"), _sql_band(0.05, 0.25, 43, "WEAKLY_SIMILAR")
+
+
+@query(PREPARED + ", " + ALTERNATIVE + " SELECT product1_id, product2_id FROM z42")
 def alternative_pairs(spark, d):
     return synth.alternative_pairs(listings(spark, d)).select("product1_id", "product2_id")
 
 
-@query(_sql_band(0.05, 0.25, 43))
+@query(PREPARED + ", " + WEAK + " SELECT product1_id, product2_id FROM z43")
 def weak_pairs(spark, d):
     return synth.weak_pairs(listings(spark, d)).select("product1_id", "product2_id")
 
 
-@query()
+UNRELATED = f"""n AS (SELECT DISTINCT i, j FROM (SELECT id AS i, category AS ci, lead(id) OVER w AS j, lead(category) OVER w AS cj FROM l, range(0, 4) AS t(r)
+  WINDOW w AS (PARTITION BY r ORDER BY md5(concat('42-', r, '|', id)))) WHERE ci <> cj), u AS (SELECT i AS product1_id, j AS product2_id, 'UNRELATED' AS relationship_label FROM n ORDER BY {_sql_order('42', 'i', 'j')}, i, j LIMIT 280)"""
+
+
+@query(L + ", " + UNRELATED + " SELECT product1_id, product2_id, relationship_label FROM u")
 def unrelated_pairs(spark, d):
-    return synth.unrelated_pairs(listings(spark, d), 280)
+    return synth.unrelated_pairs(listings(spark, d), 280).select("product1_id", "product2_id", "relationship_label")
+
 
+def _sql_percentile(limit: str = "") -> str:
+    """Pools of 500 cross-brand pairs: all pairs of categories of up to 64 rows, else random ones; and the two bands."""
+    return f"""pg AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY category) >= 5), pm AS (SELECT * FROM pg QUALIFY count(*) OVER (PARTITION BY category) > 64),
+  pd AS ({_sql_drawn('pm', 'category', 12, '42')}), pa AS (SELECT a.id AS i, b.id AS j FROM pg a JOIN pg b ON a.category = b.category AND a.id < b.id),
+  px AS (SELECT a.category AS c, i, j, {_sql_jaccard('a', 'b')} AS o FROM pd JOIN p a ON a.id = i JOIN p b ON b.id = j WHERE trim(a.brand) = '' OR lower(trim(a.brand)) <> lower(trim(b.brand))),
+  pe AS (SELECT c FROM px GROUP BY c HAVING count(*) >= 500),
+  py AS (SELECT * FROM px WHERE c IN (SELECT c FROM pe) UNION ALL SELECT a.category, i, j, {_sql_jaccard('a', 'b')} FROM pa JOIN p a ON a.id = i JOIN p b ON b.id = j
+    WHERE a.category NOT IN (SELECT c FROM pe) AND (trim(a.brand) = '' OR lower(trim(a.brand)) <> lower(trim(b.brand)))),
+  pp AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY {_sql_order('42', 'i', 'j')}, i, j) AS r FROM py QUALIFY r <= 500),
+  pc AS (SELECT c, quantile_cont(o, 0.9) AS hi, quantile_cont(o, 0.5) AS lo, count(*) AS n FROM pp GROUP BY c),
+  pl AS (SELECT i AS product1_id, j AS product2_id, CASE WHEN o >= hi THEN 'SIMILAR_ALTERNATIVE' ELSE 'WEAKLY_SIMILAR' END AS relationship_label FROM pp JOIN pc USING (c) WHERE n >= 10 AND o >= lo {limit})"""
 
-@query(PREPARED + f""", g AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY category) >= 5),
-  h AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_sql_order('42-pool', 'id')}, id) AS r FROM g QUALIFY r <= 124),
-  x AS (SELECT a.category AS c, a.id AS i, b.id AS j, {_sql_jaccard('a', 'b')} AS o FROM h a JOIN h b ON a.category = b.category AND a.id < b.id AND (trim(a.brand) = '' OR lower(trim(a.brand)) <> lower(trim(b.brand)))),
-  y AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY {_sql_order('42', 'i', 'j')}, i, j) AS r FROM x QUALIFY r <= 500),
-  z AS (SELECT c, quantile_cont(o, 0.9) AS hi, quantile_cont(o, 0.5) AS lo, count(*) AS n FROM y GROUP BY c)
-  SELECT i AS product1_id, j AS product2_id, CASE WHEN o >= hi THEN 'SIMILAR_ALTERNATIVE' ELSE 'WEAKLY_SIMILAR' END AS relationship_label FROM y JOIN z USING (c) WHERE n >= 10 AND o >= lo""")
+
+@query(PREPARED + ", " + _sql_percentile() + " SELECT product1_id, product2_id, relationship_label FROM pl")
 def percentile_bands(spark, d):
     return synth.percentile_pairs(listings(spark, d)).select("product1_id", "product2_id", "relationship_label")
 
 
-@query()
+#: Ids as text order pairs of text ids.
+_TEXT_IDS = PREPARED.replace("p_partkey AS id,", "CAST(p_partkey AS VARCHAR) AS id,")
+_WORDED = f"ev AS (SELECT id FROM l WHERE brand <> '' AND contains(lower(title), lower(brand)) ORDER BY {_sql_order('7', 'id')}, id LIMIT 280)"
+_VARIED = f"va AS (SELECT *, {_sql_draw('42-swap', 'id')} AS draw FROM l), vb AS (SELECT *, {_sql_swap()} AS plan FROM va), vc AS (SELECT id, plan.attribute AS attribute FROM vb WHERE plan IS NOT NULL ORDER BY {_sql_order('42', 'id')}, id LIMIT 280)"
+_SAME_CLASSES = """SELECT id AS product1_id, concat(id, '-variant-', attribute) AS product2_id, 'SAME_PRODUCT_DIFFERENT_VARIANT' AS relationship_label FROM vc"""
+
+
+@query(_TEXT_IDS + ", " + ", ".join([_WORDED, _VARIED, _sql_percentile(), UNRELATED]) + f""" SELECT id AS product1_id, concat(id, '-reworded') AS product2_id, 'EXACT_MATCH' AS relationship_label FROM ev UNION ALL {_SAME_CLASSES}
+  UNION ALL SELECT product1_id, product2_id, relationship_label FROM pl QUALIFY row_number() OVER (PARTITION BY relationship_label ORDER BY {_sql_order('42', 'product1_id', 'product2_id')}, product1_id, product2_id) <= 280
+  UNION ALL SELECT product1_id, product2_id, relationship_label FROM u""")
 def catalog_relationships(spark, d):
-    return synth.generate_catalog(listings(spark, d), 280)
+    return synth.generate_catalog(listings(spark, d), 280).select("product1_id", "product2_id", "relationship_label")
+
+
+@query(_TEXT_IDS + ", " + ", ".join([_VARIED, ALTERNATIVE, WEAK.replace("g AS (SELECT * FROM p WHERE cat <> 'OTHER'), ", "")]) + f""" SELECT 'kept' AS product1_id, 'too' AS product2_id, 'UNRELATED' AS relationship_label
+  UNION ALL {_SAME_CLASSES} UNION ALL SELECT * FROM z42 UNION ALL SELECT * FROM z43""")
+def synthesize(spark, d):
+    rows = listings(spark, d)
+    kept = synth.variant_pairs(rows.withColumn("id", F.col("id").cast("string")), 1).withColumns({"product1_id": F.lit("kept"), "product2_id": F.lit("too"), "relationship_label": F.lit("UNRELATED")})
+    return synth.synthesize(rows, kept).select("product1_id", "product2_id", "relationship_label")
 
 
 # ---- sampling and splits ---------------------------------------------------------------
