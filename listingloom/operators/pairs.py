@@ -128,20 +128,24 @@ def consecutive(df: DataFrame, seed: int, key: list[str], fields: list[str]) ->
     return out.select(*[F.col("_row")[f].alias(f"product1_{f}") for f in fields], *[F.col("_next")[f].alias(f"product2_{f}") for f in fields])
 
 
-def retrieve_candidates(originals: DataFrame, pool: DataFrame, limit: int = 50, pos: str = "pos") -> DataFrame:
+def retrieve_candidates(originals: DataFrame, pool: DataFrame, limit: int = 50, pos: str = "pos", extra: list[str] | None = None) -> DataFrame:
     """(original, candidate, pos): of the original's category, not itself, the first `limit` of the pool.
 
-    Two null ids are one and the same product. The pool is ranked once for each category: the
-    first `limit` rows of an id and the first 2 x `limit` of what is left hold the answer of
-    every original, as no more than `limit` of them are the original itself.
+    Two null ids are one and the same product. extra: columns of both sides to carry. The pool
+    is ranked once for each category: the first `limit` rows of an id and the first 2 x `limit`
+    of what is left hold the answer of every original, as no more than `limit` of them are the
+    original itself. That bounded list is broadcast, a row for each of the fixed categories, so
+    originals are neither shuffled nor met by a whole category.
     """
     cat = lambda df: df.withColumn("_category", categorize(candidate_text()))
-    o = cat(originals).select("_category", F.struct(*FIELDS).alias("original"))
-    c = cat(pool).select("_category", F.struct(*FIELDS).alias("candidate"), F.col(pos).alias("pos"))
-    first = lambda df, most, *by: df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("pos"))).where(F.col("_rank") <= most).drop("_rank")
+    fields = [*FIELDS, *(extra or [])]
+    o = cat(originals).select("_category", F.struct(*fields).alias("original"))
+    c = cat(pool).select("_category", F.col(pos).alias("pos"), F.struct(*fields).alias("candidate"))
+    first = lambda df, most, *by: df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "candidate.id"))).where(F.col("_rank") <= most).drop("_rank")
     c = first(first(c, limit, "_category", "candidate.id"), 2 * limit, "_category")
-    joined = o.join(c, "_category").where(~F.col("original.id").eqNullSafe(F.col("candidate.id")))
-    return first(joined, limit, "original").select("original", "candidate", "pos")
+    c = c.groupBy("_category").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("candidate.id").alias("id"), "candidate"))), lambda x: F.struct(x["pos"].alias("pos"), x["candidate"].alias("candidate"))).alias("_pool"))
+    others = F.slice(F.filter("_pool", lambda x: ~x["candidate"]["id"].eqNullSafe(F.col("original.id"))), 1, limit)
+    return o.join(F.broadcast(c), "_category").select("original", F.explode(others).alias("_x")).select("original", F.col("_x.candidate").alias("candidate"), F.col("_x.pos").alias("pos"))
 
 
 def md5_rank(seed: int, key: list[str], by: list[str]) -> Column:

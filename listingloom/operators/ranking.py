@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import reasons, rounded_score
-from .pairs import retrieve_candidates
+from .pairs import FIELDS, retrieve_candidates
 
 LISTED = ["SAME_PRODUCT_DIFFERENT_VARIANT", "SIMILAR_ALTERNATIVE"]
 
 
+def _scored(originals: DataFrame, pool: DataFrame, scorer, limit: int, pos: str) -> DataFrame:
+    """Scored candidates; what a scorer prepares of a product is made once for each, before they meet."""
+    extra = []
+    if hasattr(scorer, "prepare"):
+        plain = [*FIELDS, pos]
+        originals, pool = scorer.prepare(originals), scorer.prepare(pool)
+        extra = [c for c in originals.columns if c in pool.columns and c not in plain and c.startswith("_scored")]
+    found = scorer.transform(retrieve_candidates(originals, pool, limit, pos, extra))
+    bare = lambda s: F.struct(*[F.col(s)[f].alias(f) for f in FIELDS])
+    return found.withColumn("original", bare("original")).withColumn("candidate", bare("candidate"))
+
+
 def rank_alternatives(originals: DataFrame, pool: DataFrame, scorer, top_n: int = 5, include_weakly_similar: bool = False, limit: int = 50, pos: str = "pos") -> DataFrame:
     """original_id, original_product, exact_match, similar_products: a row for each original.
 
@@ -18,7 +30,7 @@ def rank_alternatives(originals: DataFrame, pool: DataFrame, scorer, top_n: int
     are ordered by score (0 to 1, four decimals), then by place in the pool.
     """
     wanted = [*LISTED, "WEAKLY_SIMILAR"] if include_weakly_similar else LISTED
-    scored = scorer.transform(retrieve_candidates(originals, pool, limit, pos))
+    scored = _scored(originals, pool, scorer, limit, pos)
     row = scored.select(
         "original", "candidate", "pos", "relationship", F.col("similarity_score").alias("score"), rounded_score("similarity_score").alias("share"),
         reasons(F.col("original.brand"), F.col("candidate.brand"), F.col("relationship")).alias("reasons"),
@@ -41,7 +53,7 @@ def rank_alternatives(originals: DataFrame, pool: DataFrame, scorer, top_n: int
 def ranked_rows(originals: DataFrame, pool: DataFrame, scorer, top_n: int = 5, include_weakly_similar: bool = False, limit: int = 50, pos: str = "pos") -> DataFrame:
     """The listed alternatives as rows: original_id, candidate_id, rank, score, relationship."""
     wanted = [*LISTED, "WEAKLY_SIMILAR"] if include_weakly_similar else LISTED
-    scored = scorer.transform(retrieve_candidates(originals, pool, limit, pos)).where(F.col("relationship").isin(wanted))
+    scored = _scored(originals, pool, scorer, limit, pos).where(F.col("relationship").isin(wanted))
     share = rounded_score("similarity_score")
     w = Window.partitionBy("original").orderBy(share.desc(), "pos")
     out = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)

@@ -349,15 +349,33 @@ def negatives_anti(spark, d):
     return dedupe.without_keys(met, m, ["a_id", "b_id"])
 
 
-@query()
-def benchmark_pairs(spark, d):
-    return benchmarks.generate_pairs(*_sources(spark, d), "a_id", "b_id", 1.5)
-
-
 def _sql_order(seed: str, *keys: str) -> str:
     return f"md5(concat('{seed}|', " + ", '|', ".join(f"CAST({k} AS VARCHAR)" for k in keys) + "))"
 
 
+_UNORDERED = "least(lower(t1), lower(t2)), greatest(lower(t1), lower(t2))"
+
+
+def _sql_dealt(side: str, source: str) -> str:
+    o = f"md5(concat('42-{side}|', id, '|', r))"
+    return f"""{side}d AS (SELECT id, t, r, b, row_number() OVER (PARTITION BY r, b ORDER BY o) AS k FROM (SELECT *, CAST(concat('0x', substr(o, 1, 8)) AS BIGINT) % (SELECT greatest(1, few // 50) FROM z) AS b
+      FROM (SELECT id, t, r, {o} AS o FROM {source}, (SELECT unnest(range(1, rounds + 1)) AS r FROM z))))"""
+
+
+@query(f"""WITH {_MAPPING}, a AS (SELECT p_partkey::VARCHAR AS id, p_name AS t FROM part), b AS (SELECT s_suppkey::VARCHAR AS id, s_name AS t FROM supplier),
+  q AS (SELECT a.id AS i, a.t AS t1, b.id AS j, b.t AS t2 FROM m JOIN a ON a_id::VARCHAR = a.id JOIN b ON b_id::VARCHAR = b.id WHERE length(a.t) > 0 AND length(b.t) > 0 AND lower(a.t) <> lower(b.t)
+    QUALIFY row_number() OVER (PARTITION BY {_UNORDERED} ORDER BY i, j) = 1),
+  c AS (SELECT floor(count(*) * 1.5)::BIGINT AS n, greatest(1, least((SELECT count(*) FROM a), (SELECT count(*) FROM b))) AS few FROM q), z AS (SELECT n, few, greatest(2, (2 * n + few - 1) // few) AS rounds FROM c),
+  {_sql_dealt('a', 'a')}, {_sql_dealt('b', 'b')},
+  e AS (SELECT DISTINCT ad.id AS i, ad.t AS t1, bd.id AS j, bd.t AS t2 FROM ad JOIN bd USING (r, b, k) WHERE NOT EXISTS (SELECT 1 FROM m WHERE a_id::VARCHAR = ad.id AND b_id::VARCHAR = bd.id)),
+  g AS (SELECT *, row_number() OVER (ORDER BY {_sql_order('42', 'i', 'j')}, i, j) AS rn FROM e QUALIFY rn <= (SELECT n FROM z)),
+  u AS (SELECT i, t1, j, t2, 1 AS label, 0 AS phase FROM q UNION ALL SELECT i, t1, j, t2, 0, 1 FROM g WHERE length(t1) > 0 AND length(t2) > 0)
+  SELECT i AS product1_id, t1 AS product1_title, j AS product2_id, t2 AS product2_title, label FROM u WHERE lower(t1) <> lower(t2) QUALIFY row_number() OVER (PARTITION BY {_UNORDERED} ORDER BY phase, i, j) = 1""")
+def benchmark_pairs(spark, d):
+    made = benchmarks.generate_pairs(*_sources(spark, d), "a_id", "b_id", 1.5)
+    return made.select("product1_id", "product1_title", "product2_id", "product2_title", "label")
+
+
 @query(SWAPPED + f""" SELECT CAST(id AS VARCHAR) AS product1_id, concat(CAST(id AS VARCHAR), '-variant-', attribute) AS product2_id, new_title AS product2_title, new_description AS product2_description,
   'SAME_PRODUCT_DIFFERENT_VARIANT' AS relationship_label FROM v ORDER BY {_sql_order('42', 'id')}, id LIMIT 280""")
 def variant_pairs(spark, d):
@@ -551,7 +569,9 @@ def best_epoch(spark, d):
     return metrics.best_epoch(_epochs(spark, d))
 
 
-@query()
+@query(EPOCHS.replace("WITH h", "WITH RECURSIVE h") + """, f AS (SELECT epoch, val_loss AS best, 0 AS bad FROM h WHERE epoch = 0 UNION ALL
+  SELECT h.epoch, CASE WHEN val_loss < best - 0.0001 THEN val_loss ELSE best END, CASE WHEN val_loss < best - 0.0001 THEN 0 ELSE bad + 1 END FROM f JOIN h ON h.epoch = f.epoch + 1 WHERE bad < 3)
+  SELECT max(epoch) FILTER (bad >= 3) AS stop_epoch, min(best) AS best FROM f""")
 def early_stop(spark, d):
     return metrics.early_stop(_epochs(spark, d))
 
@@ -609,13 +629,13 @@ def consecutive_pairs(spark, d):
     return pairs.consecutive(listings(spark, d), 42, ["id"], ["id", "title"])
 
 
-CANDIDATES = PREPARED + """, c AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS r FROM p a JOIN p b ON a.cat = b.cat AND a.id <> b.id WHERE a.id % 20 = 0 QUALIFY r <= 50)"""
+CANDIDATES = PREPARED + """, c AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS r FROM p a JOIN p b ON a.cat = b.cat AND a.id <> b.id QUALIFY r <= 50)"""
 
 
 @query(CANDIDATES + " SELECT i AS original_id, j AS candidate_id FROM c")
 def retrieve_candidates(spark, d):
     rows = listings(spark, d).withColumn("pos", F.col("id"))
-    found = pairs.retrieve_candidates(rows.where("id % 20 = 0"), rows, 50)
+    found = pairs.retrieve_candidates(rows, rows, 50)
     return found.select(F.col("original.id").alias("original_id"), F.col("candidate.id").alias("candidate_id"))
 
 
@@ -623,18 +643,29 @@ _TITLE_TOKENS = PREPARED.replace("split_part(title, ' ', 1) ||", f"{_sql_tokens(
 _RULE_LABEL = f"CASE WHEN a.cat = b.cat AND trim(a.brand) <> '' AND lower(trim(a.brand)) = lower(trim(b.brand)) AND {_sql_jaccard('a', 'b', 'ttok')} >= 0.6 THEN 1 ELSE 0 END"
 
 
-@query(CANDIDATES.replace(PREPARED, _TITLE_TOKENS) + f""", s AS (SELECT i, j, {_sql_relationship(_RULE_LABEL)} AS relationship, round(100 * ({_sql_jaccard('a', 'b')}) / 100, 4) AS score FROM c JOIN p a ON a.id = i JOIN p b ON b.id = j),
-  k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rank FROM s WHERE relationship IN ('SAME_PRODUCT_DIFFERENT_VARIANT', 'SIMILAR_ALTERNATIVE') QUALIFY rank <= 5)
-  SELECT i AS original_id, j AS candidate_id, rank::INT AS rank, score, relationship FROM k""")
+SCORED = CANDIDATES.replace(PREPARED, _TITLE_TOKENS) + f""", s AS (SELECT i, j, a.brand AS oa, b.brand AS cb, a.title AS ot, b.title AS ct, {_sql_relationship(_RULE_LABEL)} AS relationship, 100 * ({_sql_jaccard('a', 'b')}) AS points,
+    round(100 * ({_sql_jaccard('a', 'b')}) / 100, 4) AS score FROM c JOIN p a ON a.id = i JOIN p b ON b.id = j),
+  k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rank FROM s WHERE relationship IN ('SAME_PRODUCT_DIFFERENT_VARIANT', 'SIMILAR_ALTERNATIVE') QUALIFY rank <= 5)"""
+
+
+@query(SCORED + " SELECT i AS original_id, j AS candidate_id, rank::INT AS rank, score, relationship FROM k")
 def rank_alternatives(spark, d):
     rows = listings(spark, d).withColumn("pos", F.col("id"))
-    return ranking.ranked_rows(rows.where("id % 20 = 0"), rows, RuleScorer())
+    return ranking.ranked_rows(rows, rows, RuleScorer())
 
 
-@query()
+_TITLED = "array_to_string(list_transform(string_split(relationship, '_'), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')"
+_REASONS = f"concat(CASE WHEN trim(oa) = '' OR trim(cb) = '' THEN '' WHEN lower(trim(oa)) = lower(trim(cb)) THEN concat('Same brand: ', cb, ', ') ELSE concat('Different brand: ', cb, ' vs ', oa, ', ') END, 'Relationship: ', {_TITLED})"
+
+
+@query(SCORED + f""", e AS (SELECT i, ct, points FROM s WHERE relationship = 'EXACT_MATCH' QUALIFY row_number() OVER (PARTITION BY i ORDER BY points DESC, j) = 1),
+  a AS (SELECT i, string_agg(concat(ct, ' | ', printf('%.4f', score), ' | ', relationship, ' | ', {_REASONS}), ' / ' ORDER BY rank) AS listed FROM k GROUP BY i)
+  SELECT id AS original_id, title AS original_product, e.ct AS exact_title, round(e.points, 6) AS exact_score, coalesce(listed, '') AS similar_products FROM p LEFT JOIN e ON e.i = id LEFT JOIN a ON a.i = id""")
 def ranking_response(spark, d):
     rows = listings(spark, d).withColumn("pos", F.col("id"))
-    return ranking.rank_alternatives(rows, rows, RuleScorer())
+    made = ranking.rank_alternatives(rows, rows, RuleScorer())
+    said = F.transform("similar_products", lambda x: F.concat_ws(" | ", x["title"], F.format_string("%.4f", x["similarity_score"]), x["relationship"], F.array_join(x["reasons"], ", ")))
+    return made.select("original_id", "original_product", F.col("exact_match.title").alias("exact_title"), F.round("exact_match.similarity_score", 6).alias("exact_score"), F.array_join(said, " / ").alias("similar_products"))
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
@@ -686,6 +717,122 @@ def missing_brand_pairs(spark, d):
     return generators.missing_brand_pairs(*generators.missing_brands(spark))
 
 
+# ---- operators that no other query reaches ---------------------------------------------
+
+
+@query(L + " SELECT id, CASE WHEN CAST(id AS VARCHAR) <= title THEN [CAST(id AS VARCHAR), title] ELSE [title, CAST(id AS VARCHAR)] END::VARCHAR AS key FROM l")
+def id_key(spark, d):
+    key = text.id_key(F.col("id").cast("string"), "title")
+    return listings(spark, d).select("id", F.concat(F.lit("["), F.array_join(key, ", "), F.lit("]")).alias("key"))
+
+
+_NAMED = "CASE relationship_label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.RELATIONSHIP_IDS.items()) + " END"
+
+
+@query(LABELLED + f" SELECT relationship_label, {_NAMED}::INT AS class_id, count(*) AS pairs FROM r GROUP BY 1")
+def relationship_ids(spark, d):
+    return _labelled(spark, d).groupBy("relationship_label").agg(F.count(F.lit(1)).alias("pairs")).select("relationship_label", text.relationship_id("relationship_label").alias("class_id"), "pairs")
+
+
+@query("""SELECT c_custkey AS id, concat('Similarity Score: ', printf('%.1f', c_custkey % 1000 / 10.0), '%', chr(10), 'Prediction:', chr(10), c_name, CASE WHEN c_custkey % 2 = 0 THEN concat(chr(10), 'Relationship: ', c_mktsegment) ELSE '' END) AS said FROM customer""")
+def comparison_text(spark, d):
+    score, kind = (F.col("c_custkey") % 1000) / F.lit(10.0), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.comparison_text(score, F.col("c_name"), kind).alias("said"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN event_id * 3.0 ELSE event_id * 3.0 / (event_id % 9) END * (9 - event_id % 9) AS eta FROM events")
+def eta_seconds(spark, d):
+    return table(spark, d, "events").select("event_id", metrics.eta_seconds(F.col("event_id") * F.lit(3.0), F.col("event_id") % 9, F.lit(9)).alias("eta"))
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_sql_order('9', 'doc_id')}, doc_id) AS place FROM labels")
+def shuffled(spark, d):
+    # the first rows of the order are counted: an order itself is no part of a row
+    rows = sampling.shuffle(table(spark, d, "labels"), 9, "doc_id").select("doc_id")
+    return rows.rdd.zipWithIndex().toDF("r struct<doc_id: bigint>, n bigint").select("r.doc_id", (F.col("n") + 1).alias("place"))
+
+
+@query(f"SELECT doc_id FROM labels WHERE toxic = 0 ORDER BY {_sql_order('11', 'doc_id')}, doc_id LIMIT (SELECT floor(count(*) * 1.5)::BIGINT FROM labels WHERE toxic = 1)")
+def negative_quota(spark, d):
+    rows = table(spark, d, "labels")
+    return sampling.negative_quota(rows.where("toxic = 1"), rows.where("toxic = 0"), 11, ["doc_id"]).select("doc_id")
+
+
+_PROBS = "greatest(0.05, c_custkey % 10 / 10.0)"
+
+
+@query(f"SELECT round(avg(-ln(greatest(CASE WHEN c_custkey % 2 = 1 THEN {_PROBS} ELSE 1 - {_PROBS} END, 1e-12))), 9) AS loss FROM customer")
+def cross_entropy(spark, d):
+    p = F.greatest(F.lit(0.05), (F.col("c_custkey") % 10) / F.lit(10.0))
+    rows = table(spark, d, "customer").select(F.array(1 - p, p).alias("probs"), (F.col("c_custkey") % 2).alias("label"))
+    return metrics.cross_entropy(rows).select(F.round("loss", 9).alias("loss"))
+
+
+_OVR = "count(*) FILTER (c_mktsegment = '{c}') * (count(*) FILTER (c_mktsegment = '{c}') + 1) / 2.0"
+
+
+def _sql_ovr(c: str) -> str:
+    own = f"count(*) FILTER (seg = '{c}')"
+    return f"SELECT (sum(r) FILTER (seg = '{c}') - {own} * ({own} + 1) / 2.0)::DOUBLE / ({own} * count(*) FILTER (seg <> '{c}')) AS auc FROM (SELECT seg, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM (SELECT c_mktsegment AS seg, (c_custkey * {len(c)}) % 17 AS s FROM customer))"
+
+
+@query("SELECT round(avg(auc), 9) AS auc FROM (" + " UNION ALL ".join(map(_sql_ovr, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])) + ")")
+def roc_auc_ovr(spark, d):
+    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    probs = F.create_map(*[x for c in names for x in (F.lit(c), ((F.col("c_custkey") * len(c)) % 17).cast("double"))])
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("y"), probs.alias("probs"))
+    return metrics.roc_auc_ovr(rows, names).select(F.round("auc", 9).alias("auc"))
+
+
+def _sql_full(k: int) -> str:
+    return f"concat_ws(' | ', nullif({_sql_clean(f'{k}.title')}, ''), CASE WHEN {_sql_clean(f'{k}.brand')} <> '' THEN 'brand ' || {_sql_clean(f'{k}.brand')} END, nullif({_sql_clean(f'{k}.description')}, ''))"
+
+
+_FULL_PAIRS = L + ", f AS (SELECT a.id AS i, {a} AS text_a, {b} AS text_b FROM l a JOIN l b ON a.category = b.category AND split_part(a.title, ' ', 1) || ' ' || split_part(a.title, ' ', 2) = split_part(b.title, ' ', 1) || ' ' || split_part(b.title, ' ', 2) AND a.id < b.id)"
+
+
+@query(_FULL_PAIRS.format(a=_sql_full("a"), b=_sql_full("b")) + " SELECT DISTINCT text_a, text_b, (i % 2)::INT AS label FROM f")
+def clean_full_pairs(spark, d):
+    return prepare.clean_pairs(_structured(spark, d).drop("_row", "product1_id", "product2_id"))
+
+
+@query(_FULL_PAIRS.format(a=_sql_full("a"), b=_sql_full("b")) + " SELECT DISTINCT text_a, text_b, CASE i % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 END::INT AS label FROM f WHERE i % 6 < 5")
+def clean_multiclass_pairs(spark, d):
+    names = F.array(*map(F.lit, [*text.RELATIONSHIP_IDS, "NO_SUCH_CLASS"]))
+    rows = _structured(spark, d).withColumn("relationship_label", F.get(names, (F.col("product1_id") % 6).cast("int")))
+    return prepare.clean_pairs(rows.drop("label"), multiclass=True)
+
+
+def _sql_specs(k: str) -> str:
+    return f"concat_ws(' | ', nullif({_sql_clean(f'{k}.title')}, ''), nullif({_sql_clean(f'{k}.description')}, ''))"
+
+
+@query(_FULL_PAIRS.format(a=_sql_specs("a"), b=_sql_specs("b")) + " SELECT DISTINCT text_a, text_b, (i % 2)::INT AS label FROM f")
+def clean_specs_pairs(spark, d):
+    rows = _structured(spark, d).select("product1_title", F.col("product1_description").alias("product1_specs"), "product2_title", F.col("product2_description").alias("product2_specs"), "label")
+    return prepare.clean_pairs(rows)
+
+
+@query(ISSUES + " SELECT id, list_sort(string_split(issue_codes, ','))::VARCHAR AS codes FROM q WHERE issue_count > 0")
+def issue_list(spark, d):
+    # the JSON text is parsed again, as its bytes are no part of the contract
+    rows = rules.quality_report(listings(spark, d)).where("issue_count > 0")
+    codes = F.sort_array(F.transform(F.from_json("issues_json", "array<struct<code:string,severity:string>>"), lambda x: x["code"]))
+    return rows.select("id", F.concat(F.lit("["), F.array_join(codes, ", "), F.lit("]")).alias("codes"))
+
+
+@query(LABELLED + f""", s AS (SELECT CAST(a.id AS VARCHAR) AS x, CAST(b.id AS VARCHAR) AS y, {_LABEL} AS label, {_sql_relationship(_LABEL)} AS relationship_label, a.id AS i, b.id AS j FROM p a JOIN p b ON a.name2 = b.name2 AND a.category = b.category AND a.id < b.id)
+  SELECT i AS product1_id, j AS product2_id, relationship_label FROM s""".replace(_LABEL, "(a.id % 2)"))
+def derived_relationships(spark, d):
+    return pairs.label_pairs(_structured(spark, d).drop("_row")).select("product1_id", "product2_id", "relationship_label")
+
+
+@query(ISSUES + f""", s AS (SELECT a.id AS product1_id, b.id AS product2_id, {_sql_relationship('(a.id % 2)')} AS relationship_label FROM p a JOIN p b ON a.name2 = b.name2 AND a.category = b.category AND a.id < b.id)
+  SELECT s.* FROM s JOIN q x ON x.id = product1_id JOIN q y ON y.id = product2_id WHERE x.max_severity <> 'high' AND y.max_severity <> 'high'""")
+def gated_relationships(spark, d):
+    return pairs.generate_relationships(_structured(spark, d).drop("_row")).select("product1_id", "product2_id", "relationship_label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_RUN)
 
