@@ -76,6 +76,13 @@ def classification_report(df: DataFrame, y: str = "y", p: str = "p") -> DataFram
     return rows.union(more)
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """class, line: a classification report as lines of text, four decimals, blank where there is no value."""
+    value = lambda c: F.lpad(F.coalesce(F.format_string("%.4f", c), F.lit("")), 10, " ")
+    blank = lambda c: F.when(F.col(c).isNull(), F.lit(" " * 10)).otherwise(value(c))
+    return report.select("class", F.concat(F.lpad("class", 32, " "), blank("precision"), blank("recall"), blank("f1"), F.lpad(F.col("support").cast("string"), 12, " ")).alias("line"))
+
+
 def confusion_matrix(df: DataFrame, labels: list, y: str = "y", p: str = "p") -> DataFrame:
     """A row for each true label, a column for each predicted one."""
     return df.groupBy(F.col(y).alias("y")).pivot(p, labels).count().fillna(0)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import attributes, rules, similarity, text
 from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, pairs, prepare, ranking, sampling, synth
+from .plans.compare import compare
 from .plans.scoring import RuleScorer
+from .sources import readers, sinks
 
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -712,7 +714,13 @@ def near_miss_negatives(spark, d):
     return generators.near_misses(generators.families(spark))
 
 
-@query()
+def _sql_rows(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows) + ")"
+
+
+@query(f"""WITH m AS (SELECT * FROM {_sql_rows(generators.MISSING_BRANDS)} v(id, brand, title, description)), v AS (SELECT * FROM {_sql_rows(generators.MISSING_VARIANTS)} v(base_id, title, description))
+  SELECT id AS product1_id, m.title AS product1_title, brand AS product1_brand, m.description AS product1_description, concat(id, '-alt') AS product2_id, v.title AS product2_title, brand AS product2_brand, v.description AS product2_description, 1 AS label
+  FROM v JOIN m ON base_id = id UNION ALL SELECT a.id, a.title, a.brand, a.description, b.id, b.title, b.brand, b.description, 0 FROM m a JOIN m b ON a.id < b.id""")
 def missing_brand_pairs(spark, d):
     return generators.missing_brand_pairs(*generators.missing_brands(spark))
 
@@ -833,6 +841,120 @@ def gated_relationships(spark, d):
     return pairs.generate_relationships(_structured(spark, d).drop("_row")).select("product1_id", "product2_id", "relationship_label")
 
 
+# ---- files: written and read back ------------------------------------------------------
+
+_CELLS = "id, nullif(title, '') AS title, nullif(brand, '') AS brand, nullif(description, '') AS description"
+
+
+@query(L + f" SELECT {_CELLS} FROM l")
+def csv_files(spark, d):
+    folder = sinks.work_folder(spark, "csv")
+    sinks.write_csv(listings(spark, d).select("id", "title", "brand", "description"), folder)
+    return readers.read_csv(spark, folder, "id int, title string, brand string, description string", multi_line=False).withColumn("id", F.col("id").cast("long"))
+
+
+@query("SELECT doc_id, replace(replace(text, chr(13), ''), chr(0), '') AS text FROM documents WHERE lang IN ('en', 'fr', 'de', 'es') AND doc_id IS NOT NULL AND text <> '' AND regexp_full_match(text, '[\\x{09}\\x{0A}\\x{20}-\\x{7E}\\x{A0}-\\x{FF}]+')")
+def latin1_files(spark, d):
+    # the texts that the encoding can say
+    rows = table(spark, d, "documents").where("doc_id is not null and text <> ''").where(F.col("text").rlike(r"^[\x09\x0A\x20-\x7E\xA0-\xFF]+$") & F.col("lang").isin("en", "fr", "de", "es"))
+    folder = sinks.work_folder(spark, "latin1")
+    rows.select("doc_id", "text").write.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return readers.read_latin1_csv(spark, folder, "doc_id long, text string")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_files(spark, d):
+    folder = sinks.work_folder(spark, "jsonl")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    sinks.write_json(rows, folder)
+    return readers.read_jsonl(spark, folder, rows.schema)
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def json_files(spark, d):
+    folder = sinks.work_folder(spark, "json")
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name")
+    sinks.write_lines(rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value")), folder)
+    return readers.read_json(spark, folder, rows.schema)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment ELSE c_name END AS value FROM customer")
+def id_value_files(spark, d):
+    # a later line of an id wins, white space parts where there is no tab
+    c = table(spark, d, "customer")
+    first = c.select(F.lit(0).alias("o"), "c_custkey", F.concat("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "\t").otherwise("  "), "c_name").alias("value"))
+    later = c.where("c_custkey % 7 = 0").select(F.lit(1).alias("o"), "c_custkey", F.concat("c_custkey", F.lit("\t"), "c_mktsegment").alias("value"))
+    folder = sinks.work_folder(spark, "id-values")
+    sinks.write_lines(first.union(later).orderBy("o", "c_custkey"), folder)
+    return readers.read_id_values(spark, folder)
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS value FROM supplier")
+def description_files(spark, d):
+    folder = sinks.work_folder(spark, "descriptions")
+    block = F.concat(F.lit("product/productId: "), "s_suppkey", F.lit("\nproduct/description: "), "s_name", F.lit("\n"))
+    sinks.write_lines(table(spark, d, "supplier").select(block.alias("value")), folder)
+    return readers.read_descriptions(spark, folder)
+
+
+@query(FILES + " SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 5 = 0 THEN '' ELSE concat(r_name, ', ', n_name, ' | ', seg) END AS paths FROM f")
+def category_files(spark, d):
+    _, paths, _, _ = _files(spark, d)
+    first, second = F.substring_index(F.get("paths", F.lit(0)), ", ", 2), F.substring_index(F.get("paths", F.lit(0)), ", ", -1)
+    said = F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).otherwise(F.concat_ws("\n  ", F.col("id").cast("string"), first, second))
+    folder = sinks.work_folder(spark, "categories")
+    sinks.write_lines(paths.select(said.alias("value")), folder)
+    return readers.read_categories(spark, folder).select("id", text.join_paths("paths").alias("paths"))
+
+
+@query("SELECT least(2, (row_number() OVER (ORDER BY o_orderkey) - 1) // ((SELECT count(*) FROM orders) // 3))::INT AS part, CAST(o_orderkey AS VARCHAR) AS value, row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no FROM orders")
+def line_ranges(spark, d):
+    folder = sinks.work_folder(spark, "lines")
+    sinks.write_lines(table(spark, d, "orders").orderBy("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value")), folder)
+    parts = readers.split_lines(readers.lines(spark, folder), 3)
+    return dedupe.stack([p.select(F.lit(k).alias("part"), "value", "line_no") for k, p in enumerate(parts)])
+
+
+@query("SELECT doc_id, CASE WHEN source = (SELECT min(source) FROM documents) THEN 'new' ELSE 'old' END AS state, source FROM documents")
+def rows_by_source(spark, d):
+    # rows of one source are replaced, those of the others stay
+    rows = table(spark, d, "documents").select("doc_id", F.lit("old").alias("state"), "source")
+    folder = sinks.work_folder(spark, "sources")
+    sinks.write_by_source(rows, folder)
+    least = rows.agg(F.min("source").alias("source"))
+    for _ in range(2):
+        sinks.write_by_source(rows.join(least, "source", "left_semi").withColumn("state", F.lit("new")), folder)
+    return spark.read.schema("doc_id long, state string, source string").parquet(folder)
+
+
+@query(ISSUES + " SELECT id, issue_count, max_severity FROM q")
+def saved_report(spark, d):
+    folder = sinks.work_folder(spark, "report")
+    sinks.save_report(rules.quality_report(listings(spark, d)), folder)
+    return spark.read.parquet(folder).select("id", "issue_count", "max_severity")
+
+
+_LINES = FIVE + CLASSES + """, t AS (SELECT c AS class, precision, recall, f1, ap::BIGINT AS support FROM g UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp)::DOUBLE / sum(ap), sum(ap)::BIGINT FROM g
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(ap)::BIGINT FROM g
+  UNION ALL SELECT 'weighted avg', sum(precision * ap) / sum(ap), sum(recall * ap) / sum(ap), sum(f1 * ap) / sum(ap), sum(ap)::BIGINT FROM g)"""
+
+
+@query(_LINES + " SELECT class, concat(lpad(class, 32, ' '), " + ", ".join(f"lpad(coalesce(printf('%.4f', {c}), ''), 10, ' ')" for c in ("precision", "recall", "f1")) + ", lpad(CAST(support AS VARCHAR), 12, ' ')) AS line FROM t")
+def report_lines(spark, d):
+    return metrics.report_lines(metrics.classification_report(_five(spark, d)))
+
+
+_PAIR_LABEL = _RULE_LABEL
+
+
+@query(_TITLE_TOKENS + f""", s AS (SELECT a.id AS product1_id, b.id AS product2_id, {_sql_relationship(_PAIR_LABEL)} AS relationship, 100 * ({_sql_jaccard('a', 'b')}) AS score FROM p a JOIN p b ON a.name2 = b.name2 AND a.category = b.category AND a.id < b.id),
+  t AS (SELECT *, CASE WHEN relationship = 'EXACT_MATCH' THEN 'Same Product' ELSE 'Different Product' END AS prediction FROM s)
+  SELECT product1_id, product2_id, prediction, relationship, round(score, 6) AS score FROM t""")
+def compare_pairs(spark, d):
+    made = compare(_structured(spark, d).drop("_row", "label"), RuleScorer())
+    return made.select("product1_id", "product2_id", "prediction", "relationship", F.round("similarity_score", 6).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_RUN)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +19,7 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     out = flat_for_csv(df)
-    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_by_source(df: DataFrame, path: str, source: str = "source") -> None:
@@ -35,3 +37,21 @@ def to_json_text(value: object) -> str:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new name below the folder that the driver and all executors see (spark.checkpoint.dir).
+
+    Where that is unset and all runs on one machine, a temporary folder stands in.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="listingloom-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_lines(df: DataFrame, path: str, line: str = "value") -> None:
+    """One text column as the lines of one file, in df's order."""
+    df.select(line).coalesce(1).write.mode("overwrite").text(path)
