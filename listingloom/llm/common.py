@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import work_folder
+
 #: Rows and bytes that one Arrow batch may hold; bounds the memory of a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
-_own_scratch: list[str] = []
 _shipped_to: set[str] = set()
 
 
@@ -79,23 +79,9 @@ def give_back() -> None:
         trim(0)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir.
-
-    Only where that is unset and all runs on one machine, as in tests, a temporary folder stands in.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
-        if not _own_scratch:
-            _own_scratch.append("file://" + tempfile.mkdtemp(prefix="listingloom-"))
-        base = _own_scratch[0]
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new name in the folder that the driver and all executors see."""
+    return work_folder(spark, label)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import MOST_BROADCAST, materialize
 
 
 def assign(docs: DataFrame, shards: int) -> DataFrame:
@@ -44,7 +44,9 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
     for r in totals:
         offsets.append((r["_part"], whole))
         whole += r["size"]
-    offset = F.broadcast(spark.createDataFrame(offsets, "_part int, _offset long"))
+    # a row for each partition, and below one more for each shard: as many as shuffle partitions
+    sent = F.broadcast if len(offsets) + shards <= MOST_BROADCAST else lambda small: small
+    offset = sent(spark.createDataFrame(offsets, "_part int, _offset long"))
     inside = Window.partitionBy("_part").orderBy("_at")
     end = F.sum("size").over(inside) + F.col("_offset")
     # twice the middle byte keeps the arithmetic whole
@@ -57,6 +59,6 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
     for s, p, n in placed_counts:
         rows.append((s, p, before.get(s, 0)))
         before[s] = before.get(s, 0) + n
-    base = F.broadcast(spark.createDataFrame(rows, "shard int, _part int, _base long"))
+    base = sent(spark.createDataFrame(rows, "shard int, _part int, _base long"))
     slot = F.col("_base") + F.row_number().over(Window.partitionBy("_part", "shard").orderBy("_at")) - 1
     return placed.join(base, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"))

@@ -50,10 +50,12 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import bound_batches, scratch
+from .common import bound_batches, materialize, meet, scratch
 from .token_files import open_folder
 
 FILE_BYTES, PARTITION_BYTES = 32 << 20, 32 << 20
+#: Revisits up to which they are broadcast; beyond it pages are shuffled to meet them.
+MOST_REVISITS = 200_000
 MANIFEST = "manifest.json"
 #: Column -> header; these are answered before a payload is touched.
 COLUMNS = {
@@ -372,7 +374,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
 
     Of the rows with equal payloads (SHA-1 and length) of at least least_bytes, those with
     the largest page_id are responses and the others revisit it. Digests are grouped with
-    map-side maxima and joined back without the texts.
+    map-side maxima and joined back without the texts, those of a frequent payload by a
+    broadcast; payloads are only shuffled where the revisits are too many to broadcast.
 
     Defined results: null html is an empty payload; repeated rows are written as often as
     they come, all responses if they hold the largest id; a null id never is the largest.
@@ -385,9 +388,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
     key = F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html).alias("_sha"), F.octet_length(html).cast("long").alias("full_length"), key.alias("_key"))
     light = rows.select("_key", "_sha", "full_length").where(F.col("full_length") >= least_bytes)
-    groups = light.groupBy("_sha", "full_length").agg(F.max("_key").alias("_last"), F.min("_key").alias("_first")).where("_first < _last")
-    revisits = light.join(groups, ["_sha", "full_length"]).where("_key < _last").select("_key", "_sha", "_last").distinct()
-    out = rows.join(revisits, ["_key", "_sha"], "left").select(
+    groups = light.groupBy("_sha", "full_length").agg(F.max("_key").alias("_last"), F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_rows")).where("_first < _last").drop("_first")
+    revisits = meet(light, groups, ["_sha", "full_length"], light.count()).where("_key < _last").select("_key", "_sha", "_last").distinct()
+    revisits = materialize(revisits, "revisits")
+    out = rows.join(F.broadcast(revisits) if revisits.count() <= MOST_REVISITS else revisits, ["_key", "_sha"], "left").select(
         "page_id", "url", F.when(F.col("_last").isNull(), F.col("html")).alias("html"),
         F.when(F.col("_last").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("_last").alias("refers_to_page"), F.unhex("_sha").alias("payload_sha"), "full_length",
