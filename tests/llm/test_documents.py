@@ -108,6 +108,45 @@ def test_toxicity_without_labels(spark, documents):
 def test_threshold_is_in_the_gap():
     assert abs(toxicity.threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) - 0.5) < 1e-9
     assert toxicity.threshold(np.zeros(0), np.zeros(0)) == 0.5
+    odd = np.concatenate([np.full(100, 0.99), [0.01], np.full(300, 0.001)])
+    assert 0.1 < toxicity.threshold(odd, np.concatenate([np.ones(101), np.zeros(300)])) < 0.9
+
+
+def brute_toxicity(model, text):
+    """One text's score, word by word and place by place."""
+    words = toxicity.words_of(text)
+    vectors = [sum((model.table[b].astype(float) for b in toxicity.buckets_of(w)), np.zeros(toxicity.DIM)) for w in words] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+    logit, column = model.offset, 0
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            taps = [model.filters[:, column + j * toxicity.FILTERS + f].astype(float) for j in range(width)]
+            top = max(sum(taps[j] @ vectors[at + j] if at + j < len(vectors) else 0.0 for j in range(width)) for at in range(len(vectors)))
+            logit += max(0.0, top + float(model.bias[k * toxicity.FILTERS + f])) * float(model.weights[k * toxicity.FILTERS + f])
+        column += width * toxicity.FILTERS
+    p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    counts = [sum(w.decode("utf-8", "replace") in set(toxicity._FUNCTION_WORDS[k].split()) and sum(w.decode("utf-8", "replace") in v.split() for v in toxicity._FUNCTION_WORDS.values()) == 1 for w in words) for k in toxicity._FUNCTION_WORDS]
+    t = model.thresholds[int(np.argmax(counts)) if max(counts) else len(toxicity.LANGUAGES) - 1]
+    return toxicity.CUT * p / t if p < t else toxicity.CUT + (1 - toxicity.CUT) * (p - t) / (1 - t)
+
+
+def test_toxicity_against_brute_force(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 200)
+    model = toxicity.train(toxic_rows())
+    model.thresholds = [0.2, 0.4, 0.6, 0.7, 0.5]
+    texts = [t for t, _ in toxic_rows(60)[40:]] + [None, "", "the of vilest", "der die das", "und vilest", "word1", "word1", "word1 the vilest " * 30]
+    got = {r["doc_id"]: r for r in toxicity.score(documents(texts), model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i]["score"] - brute_toxicity(model, t)) < 1e-4, t
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+    again = documents([(7, "the vilest of all"), (7, "the vilest of all"), (None, "the vilest of all")])
+    assert len({r["score"] for r in toxicity.score(again, model).collect()}) == 1 and toxicity.score(again, model).count() == 3
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
+    r = queries.op2_toxicity(spark, d).where("held_out").join(truth, "doc_id").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")), F.count("*")).first()
+    assert r[1] > 500 and r[0] >= 0.96
 
 
 SECRET = "a1b2c3d4e5f60718293a4b5c6d7e8f9012345678"
@@ -164,3 +203,57 @@ def test_secret_forest_on_unseen_findings(spark):
     said = secrets.scan(df, trees).groupBy("doc_id").agg(F.max(F.col("is_secret").cast("int")).alias("p"))
     r = df.join(said, "doc_id", "left").agg(F.avg((F.coalesce("p", F.lit(0)) == F.col("label")).cast("double"))).first()
     assert r[0] >= 0.9
+
+
+def brute_features(value, raw, before, after):
+    """The features of a candidate, one by one."""
+    n, low = max(1, len(value)), value.lower()
+    count = lambda p, x=value: len(re.findall(p, x))
+    assigned = re.match(secrets._ASSIGNED.replace("(?i)^", "(?i)"), raw)
+    near = " ".join([before, assigned[0] if assigned else "", after])
+    words = "|".join(sorted(secrets.DICTIONARY, key=lambda w: (-len(w), w)))
+    return {
+        "n": n, "digits": count("[0-9]") / n, "upper": count("[A-Z]") / n, "lower": count("[a-z]") / n, "other": count("[^0-9A-Za-z]") / n,
+        "distinct": len(set(value[:256])) / min(n, 256), "transitions": count(r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])") / n,
+        "pairs": count(r"(.)(?=\1)") / n, "dictionary": 1 - len(re.sub(words, "", low)) / n,
+        "vowels": count("[aeiou](?=[a-z])", low) / max(1, count("[a-z]", low)), "hex": float(bool(re.fullmatch("[0-9a-fA-F]+", value))),
+        "uuid": float(bool(re.fullmatch("(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", value))), "slashes": count("/"),
+        "extension": float(bool(re.search(r"(?i)\.(?:py|js|ts|json|ya?ml|xml|html?|txt|md|png|jpe?g|svg|css|java|c|h|go|rs)$|^\w+://", value))),
+        "assigned": float(bool(assigned)), "provider": float(bool(re.search(secrets._PROVIDER, value))),
+        "near_secret": float(bool(re.search(secrets._SECRET_NEAR, near))), "near_benign": float(bool(re.search(secrets._BENIGN_NEAR, near))),
+    }
+
+
+def brute_votes(trees, features):
+    def walk(t):
+        while not isinstance(t, float):
+            name, cut, lower, higher = secrets.FEATURES[t[0]], *t[1:]
+            t = lower if features[name] <= cut else higher
+        return round(t, 6)
+
+    return sum(map(walk, trees)) / len(trees)
+
+
+def brute_scan(text, trees):
+    """(start, n_chars, score) of all matches of a text, in order."""
+    out, found = [], list(re.finditer(secrets._ANY, text or ""))
+    for k, m in enumerate(found):
+        before = text[found[k - 1].end() if k else 0 : m.start()][-secrets.NEAR :]
+        after = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)][: secrets.NEAR]
+        value = re.sub(secrets._ASSIGNED, "", m[0])
+        out.append((m.end() - len(value), len(value), brute_votes(trees, brute_features(value, m[0], before, after))))
+    return out
+
+
+def test_secrets_against_brute_force(spark, documents):
+    trees = secrets.train(spark)
+    rows = secrets.labelled_findings(seed=41)[:300]
+    texts = [f"{b} {m} {a}" for b, m, a, _ in rows] + [f"{rows[0][1]} and {rows[1][1]}", None, "", "plain", rows[3][1], rows[3][1]]
+    got = {}
+    for r in secrets.scan(documents(texts), trees).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["n_chars"], r["score"]))
+    for i, t in enumerate(texts):
+        want = brute_scan(t, trees)
+        mine = sorted(got.get(i, []))
+        assert [x[:2] for x in mine] == [x[:2] for x in want], t
+        assert all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(mine, want)), t
