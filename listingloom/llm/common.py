@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -96,6 +97,8 @@ def discard(df: DataFrame) -> None:
     """Deletes what `materialize` wrote, once nothing reads it any more."""
     spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if not re.search(r"-[0-9a-f]{32}$", folder):
+            raise ValueError(f"{folder} is no scratch folder")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
