@@ -8,6 +8,7 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -115,9 +116,11 @@ def meet(rows: DataFrame, of_key: DataFrame, key: list[str], total: int) -> Data
     rises with the rows until that many may be broadcast.
     """
     most = max(MOST_OF_A_KEY, total // MOST_BROADCAST)
+    plain = of_key.drop("_rows")
+    if of_key.where(F.col("_rows") > most).isEmpty():
+        return rows.join(plain, key)
     hot = F.broadcast(of_key.where(F.col("_rows") > most).drop("_rows"))
-    cold = of_key.where(F.col("_rows") <= most).drop("_rows")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(plain, key))
 
 
 #: Ids up to which a list is broadcast; beyond it the join is shuffled.
@@ -138,14 +141,37 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+@contextmanager
+def brief_plans(spark: SparkSession):
+    """Within it the status store keeps short descriptions of plans: it holds one for each of
+    many rounds, and adaptive execution sends it another at every step."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the least node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round keeps
     at most one row for each edge, ends in a written table, and hubs are met by grouped
-    minima that combine before the shuffle and reach their edges by `meet`, so no
-    neighbourhood is gathered in one task.
+    minima that combine before the shuffle and reach their larger neighbours by `meet`. Of a
+    node's smaller neighbours only those that are least around a neighbour are left by then.
     """
+    with brief_plans(edges.sparkSession):
+        now = _star_forest(edges, label, most_rounds)
+    roots = now.select(F.col("v").alias("node")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        roots.select("node", F.col("node").alias("component"))
+    )
+
+
+def _star_forest(edges: DataFrame, label: str, most_rounds: int) -> DataFrame:
+    """(u, v): each node but the roots with its root."""
     now = materialize(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -157,20 +183,16 @@ def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) ->
         # large star: link each larger neighbour of u to the least node around u
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_rows"))
-        large = materialize(
-            meet(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(),
-            f"{label}-large",
-        )
+        large = meet(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u has smaller neighbours only; link them and u to the least of them
-        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
+        floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            meet(large, floor, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(floor.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
         last, now = now, materialize(small, f"{label}-round")
         discard(last)
-        discard(large)
         # a star forest repeats itself: same number of edges, same order-free hash
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
@@ -178,7 +200,4 @@ def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) ->
         mark = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        roots.select("node", F.col("node").alias("component"))
-    )
+    return now
