@@ -77,6 +77,10 @@ class ChunkEncoder:
     of its chunks in order. What occurs twice in BYTES_AT_ONCE of text is remembered beyond it.
     """
 
+    def at_once(self) -> int:
+        """Bytes of text that are encoded together."""
+        return BYTES_AT_ONCE
+
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
         self.pool = Pool()
@@ -91,7 +95,7 @@ class ChunkEncoder:
         for batch in batches:
             held.append(batch)
             size += batch.column("text").nbytes
-            if size >= BYTES_AT_ONCE:
+            if size >= self.at_once():
                 yield from self._encode(held)
                 held, size = [], 0
         if held:
@@ -135,6 +139,10 @@ class ChunkEncoder:
 class Codec(ChunkEncoder):
     """Encodes and decodes text in numpy."""
 
+    def at_once(self) -> int:
+        # decoding takes memory too
+        return BYTES_AT_ONCE // 2
+
     def __init__(self, tokenizer_json: str):
         import regex
 
