@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import OTHER, swap_attribute
-from ..functions.similarity import jaccard, let
-from ..functions.text import md5_order, text
+from ..functions.similarity import jaccard, let, token_ids
+from ..functions.text import candidate_text, md5_order, text
 from .dedupe import stack
-from .pairs import ALTERNATIVE_OVERLAP, blocked_pairs, cross_brand_lenient, cross_brand_strict, flat, group_gate, prepare
+from .pairs import ALTERNATIVE_OVERLAP, FIELDS, blocked_pairs, cross_brand_lenient, cross_brand_strict, flat, group_gate, prepare
 from .sampling import sample
 
 WEAK_OVERLAP = 0.05
@@ -56,10 +56,18 @@ def exact_pairs(products: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return _pair(rows, F.concat("id", F.lit("-reworded")), said, F.col("description"), "EXACT_MATCH")
 
 
-def _overlap(pairs: DataFrame, lenient: bool) -> DataFrame:
-    """The cross-brand pairs, with their overlap."""
+def _cross(pairs: DataFrame, lenient: bool) -> DataFrame:
+    """The cross-brand pairs, with their ids."""
     cross = cross_brand_lenient if lenient else cross_brand_strict
-    return pairs.where(cross(F.col("a.brand"), F.col("b.brand"))).withColumn("overlap", jaccard(F.col("a._tokens"), F.col("b._tokens")))
+    return pairs.where(cross(F.col("a.brand"), F.col("b.brand"))).withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id"))
+
+
+def _widened(pairs: DataFrame, products: DataFrame) -> DataFrame:
+    """pairs (_i, _j and more) with all columns of both products as a and b: texts are met by chosen pairs alone."""
+    whole = F.struct(*products.columns)
+    for key, name in (("_i", "a"), ("_j", "b")):
+        pairs = pairs.join(products.select(F.col("id").alias(key), whole.alias(name)), key)
+    return pairs
 
 
 def drawn(products: DataFrame, by: str, rounds: int, seed: int | str) -> DataFrame:
@@ -87,11 +95,14 @@ def band_pairs(products: DataFrame, low: float, high: float, n: int, label: str,
     pair of each category is looked at, with the categories dealt over SALTS tasks each.
     """
     prepared = prepare(products).where(F.col("_category") != OTHER)
-    inside = lambda pairs: _overlap(pairs, lenient=False).where(let(F.col("overlap"), lambda o: (o >= low) & (o < high))).withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id"))
-    pairs = inside(drawn(prepared, "_category", rounds, seed))
+    narrow = prepared.select("id", "brand", "_category", "_tokens")
+    overlap = jaccard(F.col("a._tokens"), F.col("b._tokens"))
+    inside = lambda pairs: _cross(pairs, lenient=False).where(let(overlap, lambda o: (o >= low) & (o < high))).select("_i", "_j")
+    pairs = inside(drawn(narrow, "_category", rounds, seed))
     if pairs.limit(n).count() < n:
-        pairs = inside(blocked_pairs(prepared, ["_category"], salts=SALTS))
-    return flat(sample(pairs, n, seed, "_i", "_j"), F.lit(label).alias("relationship_label"), F.lit("synthetic").alias("source"))
+        pairs = inside(blocked_pairs(narrow, ["_category"], salts=SALTS))
+    chosen = _widened(sample(pairs, n, seed, "_i", "_j"), products.select(*FIELDS))
+    return flat(chosen, F.lit(label).alias("relationship_label"), F.lit("synthetic").alias("source"))
 
 
 def alternative_pairs(products: DataFrame, n: int = 280, seed: int = 42) -> DataFrame:
@@ -122,11 +133,11 @@ def percentile_pairs(
     from pyspark.sql import Window
 
     rows = group_gate(products, category, least).withColumn("_block", F.col(category))
-    rows = prepare(rows, extra=["_block"])
     sizes = rows.groupBy("_block").count()
-    few = rows.join(sizes.where(F.col("count") <= small), "_block", "left_semi")
-    many = rows.join(sizes.where(F.col("count") > small), "_block", "left_semi")
-    met = _overlap(drawn(many, "_block", rounds, seed), lenient=True)
+    narrow = rows.select("id", "brand", "_block")
+    few = narrow.join(sizes.where(F.col("count") <= small), "_block", "left_semi")
+    many = narrow.join(sizes.where(F.col("count") > small), "_block", "left_semi")
+    met = _cross(drawn(many, "_block", rounds, seed), lenient=True)
     enough = met.groupBy(F.col("a._block").alias("_block")).count().where(F.col("count") >= pool).select("_block")
     brand = F.lower(F.trim(text("brand")))
     one_sided = many.join(enough, "_block", "left_anti").withColumn("_brand", brand)
@@ -137,11 +148,12 @@ def percentile_pairs(
     rest = side(odd, "x").join(side(one_sided, "y"), "_k").where("x.id <> y.id")
     ahead = F.col("x.id") < F.col("y.id")
     rest = rest.select(F.when(ahead, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ahead, F.col("y")).otherwise(F.col("x")).alias("b"))
-    rest = _overlap(rest.withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id")).dropDuplicates(["_i", "_j"]).select("a", "b"), lenient=True)
-    pairs = stack([met.join(enough.withColumnRenamed("_block", "_e"), F.col("a._block") == F.col("_e"), "left_semi"), rest, _overlap(blocked_pairs(few, ["_block"]), lenient=True)])
-    pairs = pairs.withColumn("_b", F.col("a._block")).withColumn("_i", F.col("a.id")).withColumn("_j", F.col("b.id"))
+    rest = _cross(rest, lenient=True).dropDuplicates(["_i", "_j"])
+    pairs = stack([met.join(enough.withColumnRenamed("_block", "_e"), F.col("a._block") == F.col("_e"), "left_semi"), rest, _cross(blocked_pairs(few, ["_block"]), lenient=True)])
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(md5_order(seed, "_i", "_j"), "_i", "_j"))
-    pooled = pairs.withColumn("_r", rank).where(F.col("_r") <= pool)
+    pooled = pairs.select(F.col("a._block").alias("_b"), "_i", "_j").withColumn("_r", rank).where(F.col("_r") <= pool)
+    # tokens are only made for products of the pools
+    pooled = _widened(pooled, rows.select(*FIELDS)).withColumn("overlap", jaccard(token_ids(candidate_text("a.title", "a.description")), token_ids(candidate_text("b.title", "b.description"))))
     cuts = pooled.groupBy("_b").agg(F.percentile("overlap", F.lit(alternative)).alias("_alt"), F.percentile("overlap", F.lit(weak)).alias("_weak"), F.count(F.lit(1)).alias("_n"))
     labelled = pooled.join(cuts.where(F.col("_n") >= least_pool), "_b").withColumn(
         "_label", F.when(F.col("overlap") >= F.col("_alt"), "SIMILAR_ALTERNATIVE").when(F.col("overlap") >= F.col("_weak"), "WEAKLY_SIMILAR")
