@@ -139,17 +139,20 @@ def percentile_pairs(
     many = narrow.join(sizes.where(F.col("count") > small), "_block", "left_semi")
     met = _cross(drawn(many, "_block", rounds, seed), lenient=True)
     enough = met.groupBy(F.col("a._block").alias("_block")).count().where(F.col("count") >= pool).select("_block")
-    brand = F.lower(F.trim(text("brand")))
-    one_sided = many.join(enough, "_block", "left_anti").withColumn("_brand", brand)
-    usual = one_sided.groupBy("_block", "_brand").count().groupBy("_block").agg(F.max_by("_brand", F.struct("count", "_brand")).alias("_usual"))
-    one_sided = one_sided.join(usual, "_block")
-    odd = one_sided.where((F.col("_brand") != F.col("_usual")) | (F.col("_brand") == ""))
-    side = lambda df, name: df.select(F.col("_block").alias("_k"), F.struct(*many.columns).alias(name))
-    rest = side(odd, "x").join(side(one_sided, "y"), "_k").where("x.id <> y.id")
-    ahead = F.col("x.id") < F.col("y.id")
-    rest = rest.select(F.when(ahead, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ahead, F.col("y")).otherwise(F.col("x")).alias("b"))
-    rest = _cross(rest, lenient=True).dropDuplicates(["_i", "_j"])
-    pairs = stack([met.join(enough.withColumnRenamed("_block", "_e"), F.col("a._block") == F.col("_e"), "left_semi"), rest, _cross(blocked_pairs(few, ["_block"]), lenient=True)])
+    pools = [met, _cross(blocked_pairs(few, ["_block"]), lenient=True)]
+    if not sizes.where(F.col("count") > small).join(enough, "_block", "left_anti").isEmpty():
+        brand = F.lower(F.trim(text("brand")))
+        one_sided = many.join(enough, "_block", "left_anti").withColumn("_brand", brand)
+        usual = one_sided.groupBy("_block", "_brand").count().groupBy("_block").agg(F.max_by("_brand", F.struct("count", "_brand")).alias("_usual"))
+        one_sided = one_sided.join(usual, "_block")
+        odd = one_sided.where((F.col("_brand") != F.col("_usual")) | (F.col("_brand") == ""))
+        side = lambda df, name: df.select(F.col("_block").alias("_k"), F.struct(*many.columns).alias(name))
+        rest = side(odd, "x").join(side(one_sided, "y"), "_k").where("x.id <> y.id")
+        ahead = F.col("x.id") < F.col("y.id")
+        rest = rest.select(F.when(ahead, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ahead, F.col("y")).otherwise(F.col("x")).alias("b"))
+        rest = _cross(rest, lenient=True).dropDuplicates(["_i", "_j"])
+        pools = [met.join(enough.withColumnRenamed("_block", "_e"), F.col("a._block") == F.col("_e"), "left_semi"), rest, pools[1]]
+    pairs = stack(pools)
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(md5_order(seed, "_i", "_j"), "_i", "_j"))
     pooled = pairs.select(F.col("a._block").alias("_b"), "_i", "_j").withColumn("_r", rank).where(F.col("_r") <= pool)
     # tokens are only made for products of the pools
