@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.attributes import OTHER, swap_attribute
 from ..functions.similarity import jaccard, let, token_ids
 from ..functions.text import candidate_text, md5_order, text
+from ..sources.sinks import work_folder
 from .dedupe import stack
 from .pairs import ALTERNATIVE_OVERLAP, FIELDS, blocked_pairs, cross_brand_lenient, cross_brand_strict, flat, group_gate, prepare
 from .sampling import sample
@@ -157,6 +158,10 @@ def percentile_pairs(
     pooled = pairs.select(F.col("a._block").alias("_b"), "_i", "_j").withColumn("_r", rank).where(F.col("_r") <= pool)
     # tokens are only made for products of the pools
     pooled = _widened(pooled, rows.select(*FIELDS)).withColumn("overlap", jaccard(token_ids(candidate_text("a.title", "a.description")), token_ids(candidate_text("b.title", "b.description"))))
+    # read three times below: written once, `pool` rows a category
+    folder = work_folder(products.sparkSession, "pool")
+    pooled.write.parquet(folder)
+    pooled = products.sparkSession.read.schema(pooled.schema).parquet(folder)
     cuts = pooled.groupBy("_b").agg(F.percentile("overlap", F.lit(alternative)).alias("_alt"), F.percentile("overlap", F.lit(weak)).alias("_weak"), F.count(F.lit(1)).alias("_n"))
     labelled = pooled.join(cuts.where(F.col("_n") >= least_pool), "_b").withColumn(
         "_label", F.when(F.col("overlap") >= F.col("_alt"), "SIMILAR_ALTERNATIVE").when(F.col("overlap") >= F.col("_weak"), "WEAKLY_SIMILAR")
