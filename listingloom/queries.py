@@ -694,22 +694,112 @@ def clean_pairs(spark, d):
     return prepare.clean_pairs(rows)
 
 
-@query()
+def _sql_value(x) -> str:
+    """A text or a list, of lists too, as a literal."""
+    if isinstance(x, str):
+        return "'" + x.replace("'", "''") + "'"
+    return "[" + ", ".join(map(_sql_value, x)) + "]" + ("" if x else "::VARCHAR[]")
+
+
+def _sql_drawn_number(seed: str, key: str) -> str:
+    """The draw of a seed that is an expression."""
+    return f"CAST(concat('0x', substr(md5(concat({seed}, '|', {key})), 1, 8)) AS BIGINT)"
+
+
+def _sql_pick(values: str, seed: str, key: str) -> str:
+    return f"{values}[({_sql_drawn_number(seed, key)} % nullif(len({values}), 0) + 1)::INT]"
+
+
+def _sql_stored(storage: str, spaced: str) -> str:
+    return f"CASE WHEN {storage} IS NULL THEN '' WHEN contains({storage}, 'SSD') OR NOT contains({storage}, 'GB') THEN {storage} WHEN {spaced} THEN regexp_replace({storage}, '(\\d+)\\s*GB', '\\1 GB') ELSE regexp_replace({storage}, '(\\d+)\\s*GB', '\\1GB') END"
+
+
+def _sql_filled(form: str, **parts: str) -> str:
+    for name, value in parts.items():
+        form = f"replace({form}, '{{{name}}}', {value})"
+    return form
+
+
+def _sql_title(x: str, spaced: str, number: str) -> str:
+    """The title of row x (brand, model, storage, color, extra)."""
+    forms = f"CASE WHEN {x}.storage IS NOT NULL THEN {_sql_value(generators.TITLES)}[({number} % {len(generators.TITLES)} + 1)::INT] ELSE {_sql_value(generators.PLAIN_TITLES)}[({number} % {len(generators.PLAIN_TITLES)} + 1)::INT] END"
+    told = _sql_filled(forms, brand=f"{x}.brand", model=f"{x}.model", storage=_sql_stored(f"{x}.storage", spaced), color=f"{x}.color")
+    return f"trim(regexp_replace(concat_ws(' ', CASE WHEN {number} % 2 = 0 THEN {x}.extra END, {told}, CASE WHEN {number} % 2 <> 0 THEN {x}.extra END), '\\s+', ' ', 'g'))"
+
+
+def _sql_by_digest(words: str, key: str = "w") -> str:
+    """A list in the order of its md5s; a digest has 32 digits."""
+    return f"list_transform(list_sort(list_transform({words}, lambda w: concat(md5({key}), w))), lambda x: x[33:])"
+
+
+_FAMILY_ROWS = "fam AS (SELECT *, row_number() OVER (ORDER BY category, brand, model) - 1 AS n FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in generators.FAMILIES) + ") v(category, brand, model, storages, colors, extras))"
+_SPEC_ROWS = "spec AS (SELECT * FROM (VALUES " + ", ".join(f"({_sql_value(k)}, {_sql_value(v)})" for k, v in generators.SPECS.items()) + ") v(category, words))"
+_PAIR_TITLES = "least(lower(a.title), lower(b.title)), greatest(lower(a.title), lower(b.title))"
+
+
+def _sql_generated(total: int, columns: str) -> str:
+    """Both sides of a pair are rows (kind, k, side) until their texts are made."""
+    sizes = dict(zip(("positive", "hard", "easy"), sampling.mix_sizes(total), strict=True))
+    numbers = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {n} AS quota, concat('{kind}-', i) AS k FROM range({3 * n}) t(i)" for kind, n in sizes.items())
+    seed = lambda what, own: f"CASE WHEN side = 'b' AND {own} THEN '{what}-b' ELSE '{what}-a' END"
+    apart, easy = "kind <> 'positive'", "kind = 'easy'"
+    known = f"list_slice({_sql_by_digest('coalesce(words, []::VARCHAR[])', "concat_ws('|', w, CASE WHEN kind = 'positive' THEN k ELSE seed END)")}, 1, 2)"
+    specs = _sql_by_digest(f"list_filter(list_concat(known, [nullif({_sql_stored('storage', 'spaced')}, ''), nullif(extra, '')]), lambda w: w IS NOT NULL)")
+    said = _sql_filled(_sql_pick(_sql_value(generators.DESCRIPTIONS), "'description'", "seed"), brand="brand", model="model", spec=f"CASE WHEN len(specs) = 0 THEN {_sql_value(generators.PLAIN_SPEC)} ELSE array_to_string(specs, ', ') END")
+    return f"""WITH {_FAMILY_ROWS}, {_SPEC_ROWS}, ks AS ({numbers}),
+  sides AS (SELECT kind, quota, k, side, concat(k, '-', side) AS seed, side = 'b' AND kind = 'positive' AS spaced,
+    CASE WHEN side = 'b' AND {easy} THEN {_sql_draw('b', 'k')} ELSE {_sql_draw('a', 'k')} END % (SELECT count(*) FROM fam) AS n FROM ks, (VALUES ('a'), ('b')) s(side)),
+  parts AS (SELECT s.*, category, brand, model, {_sql_pick('storages', seed('storage', apart), 'k')} AS storage, {_sql_pick('extras', seed('extra', easy), 'k')} AS extra,
+    ({_sql_pick('colors', seed('color', apart), 'k')})[CASE WHEN spaced THEN 2 ELSE 1 END] AS color FROM sides s JOIN fam USING (n)),
+  knowing AS (SELECT x.*, {_sql_drawn_number("'title'", 'seed')} AS number, {known} AS known FROM parts x LEFT JOIN spec USING (category)),
+  told AS (SELECT x.*, {_sql_title('x', 'spaced', 'number')} AS title, {specs} AS specs FROM knowing x),
+  whole AS (SELECT *, concat('P', upper(substr(md5(seed), 1, 12))) AS id, {said} AS description, CASE WHEN spaced THEN array_to_string(specs, ', ') ELSE array_to_string(specs, ' | ') END AS spec_line FROM told),
+  met AS (SELECT a, b, a.kind AS kind, a.k AS k, a.quota AS quota, CASE WHEN a.kind = 'positive' THEN 1 ELSE 0 END AS label FROM whole a JOIN whole b ON a.k = b.k AND a.side = 'a' AND b.side = 'b'
+    WHERE (a.kind <> 'easy' OR a.category <> b.category) AND (a.kind <> 'hard' OR a.storage IS DISTINCT FROM b.storage OR a.color IS DISTINCT FROM b.color) AND lower(a.title) <> lower(b.title)
+    QUALIFY row_number() OVER (PARTITION BY a.kind, {_PAIR_TITLES} ORDER BY a.k) = 1),
+  kept AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY kind ORDER BY {_sql_order('42', 'k')}, k) <= quota),
+  once AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY {_PAIR_TITLES} ORDER BY label DESC, k) = 1)
+  SELECT {columns}, label FROM once"""
+
+
+def _sql_both(**fields: str) -> str:
+    return ", ".join(f"{s}.{of} AS product{k}_{name}" for k, s in ((1, "a"), (2, "b")) for name, of in fields.items())
+
+
+@query(_sql_generated(60, "a.title AS product1, b.title AS product2"))
 def generated_titles(spark, d):
     return generators.generate(generators.families(spark), 60, "title_only")
 
 
-@query()
+@query(_sql_generated(60, _sql_both(id="id", title="title", brand="brand", description="description")))
 def generated_structured(spark, d):
     return generators.generate(generators.families(spark), 60, "structured")
 
 
-@query()
+@query(_sql_generated(60, _sql_both(title="title", specs="spec_line")))
 def generated_specs(spark, d):
     return generators.generate(generators.families(spark), 60, "with_specs")
 
 
-@query()
+def _sql_varied(kind: str, values: str) -> str:
+    """Families with one part varied: its value is v, the other parts are the first of each list."""
+    parts = {"storage": "storages[1]", "color": "colors[1][1]", "extra": "extras[1]"}
+    told = ", ".join(f"{'v' if name == kind else of} AS {name}" for name, of in parts.items())
+    group = "''" if kind == "model" else "model"
+    return f"SELECT '{kind}' AS kind, category, brand, {group} AS grp, model, v, {told} FROM (SELECT *, unnest({values}) AS v FROM fam)"
+
+
+_NUMBER = _sql_drawn_number("'title'", _sql_drawn_number("'form'", "k"))
+
+
+@query(f"""WITH {_FAMILY_ROWS}, varied AS ({' UNION ALL '.join(_sql_varied(k, v) for k, v in (('model', '[model]'), ('storage', 'list_distinct(storages)'), ('color', 'list_distinct(list_transform(colors, lambda c: c[1]))'), ('extra', 'list_distinct(extras)')))}),
+  met AS (SELECT a, b, a.kind AS kind, a.brand AS brand, concat_ws('|', a.kind, a.brand, a.model, a.v, b.v, '1') AS k FROM (SELECT DISTINCT * FROM varied) a JOIN (SELECT DISTINCT * FROM varied) b
+    ON a.kind = b.kind AND a.category = b.category AND a.brand = b.brand AND a.grp = b.grp AND a.v < b.v),
+  numbered AS (SELECT *, {_NUMBER} AS number FROM met),
+  told AS (SELECT kind, k, {_sql_title('a', 'false', 'number')} AS product1, {_sql_title('b', 'false', 'number')} AS product2, 0 AS label FROM numbered
+    UNION ALL SELECT kind, k, {_sql_title('a', 'false', 'number')}, concat({_sql_title('a', 'true', 'number')}, ' - ', brand), 1 FROM numbered)
+  SELECT product1, product2, label, kind FROM told WHERE lower(product1) <> lower(product2)
+  QUALIFY row_number() OVER (PARTITION BY least(lower(product1), lower(product2)), greatest(lower(product1), lower(product2)) ORDER BY label DESC, k) = 1""")
 def near_miss_negatives(spark, d):
     return generators.near_misses(generators.families(spark))
 
