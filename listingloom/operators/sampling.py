@@ -12,6 +12,22 @@ def shuffle(df: DataFrame, seed: int, *key: str) -> DataFrame:
     return df.orderBy(md5_order(seed, *key), *key)
 
 
+def batches(df: DataFrame, size: int, seed: int, *key: str) -> DataFrame:
+    """df with `batch` and `place`, both from 0: batches of `size` rows in md5 order, the last one may be shorter.
+
+    A row's rank is that within its bucket (the first md5 digits) and the rows of the buckets
+    before, so no task orders all rows.
+    """
+    order = md5_order(seed, *key)
+    rows = df.withColumn("_at", order).withColumn("_part", F.substring(order, 1, 3))
+    # 4096 rows at most
+    sums = rows.groupBy("_part").count()
+    before = sums.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("_at", *key)
+    ranked = rows.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(before), "_part").withColumn("_rank", F.col("_in") + F.col("_before") - 1)
+    return ranked.select(*df.columns, F.floor(F.col("_rank") / size).cast("long").alias("batch"), (F.col("_rank") % size).cast("int").alias("place"))
+
+
 def sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """n rows, or all if fewer: a bounded top-n, not a full sort."""
     return df.orderBy(md5_order(seed, *key), *key).limit(n)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import attributes, rules, similarity, text
+from .functions import attributes, encoding, rules, similarity, text
 from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, pairs, prepare, ranking, sampling, synth
 from .plans.compare import compare
 from .plans.scoring import RuleScorer
@@ -1045,6 +1045,49 @@ def compare_pairs(spark, d):
     return made.select("product1_id", "product2_id", "prediction", "relationship", F.round("similarity_score", 6).alias("score"))
 
 
+def _sql_pieces(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '{encoding.WORD}')"
+
+
+def _sql_ids(words: str, n: str) -> str:
+    first, most = encoding.FIRST_ID, 32_768 - encoding.FIRST_ID
+    return f"list_transform({words}[1:{n}], lambda w: (CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) % {most} + {first})::INT)"
+
+
+def _sql_encoded(length: int) -> str:
+    """Pairs of listings as ids; of the words, `x` of the first text and `y` of the second have room."""
+    room = length - 3
+    told = "replace({s}.title || ' ' || {s}.description, 'GB', ' GB')"
+    return f""", t AS (SELECT a.id AS product1_id, b.id AS product2_id, {_sql_pieces(told.format(s='a'))} AS u, {_sql_pieces(told.format(s='b'))} AS v FROM l a JOIN l b
+    ON split_part(a.title, ' ', 1) || ' ' || split_part(a.title, ' ', 2) = split_part(b.title, ' ', 1) || ' ' || split_part(b.title, ' ', 2) AND a.category = b.category AND a.id < b.id),
+  n AS (SELECT *, CASE WHEN len(u) + len(v) <= {room} THEN len(u) ELSE least(len(u), greatest({room} - len(v), {(room + 1) // 2})) END AS x FROM t), m AS (SELECT *, least(len(v), {room} - x) AS y FROM n)
+  SELECT product1_id, product2_id, array_to_string(list_concat([{encoding.START}], list_concat({_sql_ids('u', 'x')}, list_concat([{encoding.END}], list_concat({_sql_ids('v', 'y')}, [{encoding.END}])))), ' ') || repeat(' {encoding.PAD}', ({room} - x - y)::INT) AS ids,
+    repeat('0', (x + 2)::INT) || repeat('1', (y + 1)::INT) || repeat('0', ({room} - x - y)::INT) AS types, repeat('1', (x + y + 3)::INT) || repeat('0', ({room} - x - y)::INT) AS mask FROM m"""
+
+
+def _encoded(spark, d, length):
+    told = lambda k: F.replace(F.concat_ws(" ", f"product{k}_title", f"product{k}_description"), F.lit("GB"), F.lit(" GB"))
+    rows = _structured(spark, d).select("product1_id", "product2_id", encoding.encode_pair(told(1), told(2), length).alias("x"))
+    said = lambda c, by: F.array_join(F.col(f"x.{c}").cast("array<string>"), by)
+    return rows.select("product1_id", "product2_id", said("input_ids", " ").alias("ids"), said("token_type_ids", "").alias("types"), said("attention_mask", "").alias("mask"))
+
+
+@query(L + _sql_encoded(256))
+def encoded_pairs(spark, d):
+    return _encoded(spark, d, 256)
+
+
+@query(L + _sql_encoded(20))
+def encoded_short_pairs(spark, d):
+    # most pairs do not fit
+    return _encoded(spark, d, 20)
+
+
+@query(f"SELECT doc_id, (r - 1) // 16 AS batch, ((r - 1) % 16)::INT AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY {_sql_order('42', 'doc_id')}, doc_id) AS r FROM labels)")
+def training_batches(spark, d):
+    return sampling.batches(table(spark, d, "labels"), 16, 42, "doc_id").select("doc_id", "batch", "place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_RUN)
 

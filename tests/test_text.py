@@ -78,3 +78,25 @@ def test_softmax_argmax(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],)], "z array<double>")
     r = df.select(text.argmax("z").alias("a"), F.aggregate(text.softmax("z"), F.lit(0.0), lambda a, x: a + x).alias("s")).first()
     assert r["a"] == 1 and abs(r["s"] - 1) < 1e-12
+
+
+def test_encode_pair(spark):
+    from listingloom.functions.encoding import encode_pair
+
+    def plain(a, b, length):
+        """Pieces go one by one from the longer text, from the second of equally long ones."""
+        import hashlib
+        import re
+
+        u, v = [[4 + int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % (32_768 - 4) for w in re.findall(r"[a-z0-9]+|[^a-z0-9\s]", (t or "").lower())] for t in (a, b)]
+        while len(u) + len(v) > length - 3:
+            (u if len(u) > len(v) else v).pop()
+        ids = [1, *u, 2, *v, 2]
+        rest = [0] * (length - len(ids))
+        return ids + rest, [0] * (len(u) + 2) + [1] * (len(v) + 1) + rest, [1] * len(ids) + rest
+
+    texts = [("a b c", "d"), (None, ""), ("x " * 9, "y " * 9), ("x " * 40, "y!"), ("", "y " * 40), ("Word-by-word 5.3", "a a a a a a a a a")]
+    for length in (3, 4, 9, 12):
+        rows = spark.createDataFrame(texts, "a string, b string").select("a", "b", encode_pair("a", "b", length).alias("x")).collect()
+        for r in rows:
+            assert (list(r.x.input_ids), list(r.x.token_type_ids), list(r.x.attention_mask)) == plain(r.a, r.b, length)
