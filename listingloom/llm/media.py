@@ -140,13 +140,20 @@ def write(rows: DataFrame, folder: str, media: str = "media") -> None:
     bound_batches(rows.sparkSession)
     keyed = rows.select(F.coalesce(F.col(f"`{media}`"), F.lit(b"")).alias("media")).select(identity(F.col("media")).alias("id"), "media")
     lists = keyed.mapInArrow(tidy(_list_chunks), "id binary, list array<binary>")
-    known = materialize(lists.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.first("list").alias("list")), "media-lists")
-    held = known.select("id", F.explode(F.array_distinct("list")).alias("chunk"))
+    # a short number for each medium goes through the shuffles in place of its id
+    known = materialize(
+        lists.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.first("list").alias("list")).withColumn("number", F.monotonically_increasing_id()),
+        "media-lists",
+    )
+    held = known.select("id", "number", F.explode(F.array_distinct("list")).alias("chunk"))
     shared = materialize(
-        held.groupBy("chunk").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-        .withColumn("_rows", F.col("holders")), "media-shared",
+        held.groupBy("chunk").agg(F.min("number").alias("owner"), F.count(F.lit(1)).alias("holders")).where("holders > 1"), "media-shared",
     )
-    met = meet(held, shared, ["chunk"], held.count()).withColumn("borrows", F.col("owner") != F.col("id"))
+    if shared.count() <= MOST_BROADCAST:
+        met = held.join(F.broadcast(shared), "chunk")
+    else:
+        met = meet(held, shared.withColumn("_rows", F.col("holders")), ["chunk"], held.count())
+    met = materialize(met.select("id", "chunk", "holders", (F.col("owner") != F.col("number")).alias("borrows")), "media-met")
     met.where("borrows").select("id", "chunk", "holders").write.parquet(f"{folder}/loans")
     marks = met.groupBy("id").agg(
         F.collect_list(F.when(F.col("borrows"), F.col("chunk"))).alias("borrowed"),
