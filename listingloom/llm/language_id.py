@@ -27,8 +27,8 @@ from .common import bound_batches, tidy
 ROWS_PER_LANGUAGE, CHARS_PER_ROW = 100, 3000
 #: Bytes of a dictionary; near equal lengths keep match offsets equally dear everywhere.
 DICTIONARY_BYTES = 64000
-#: Most languages that are learned, the most frequent first.
-MOST_LANGUAGES = 200
+#: Dictionaries that a worker holds ready at a time; more languages are scored in passes.
+AT_A_TIME = 200
 #: From level 6 the match finder searches rows of candidates; below it misses too many.
 LEVEL = 6
 #: A lead of less than this share of the best size is too narrow.
@@ -54,7 +54,7 @@ def learn(docs: DataFrame, usable: F.Column) -> list[tuple[str, int, bytes]]:
     passages of the sampled rows (at most ROWS_PER_LANGUAGE for each language) come to the driver.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = (
         rows.select("doc_id", "lang").withColumn("_at", F.row_number().over(order))
@@ -80,31 +80,43 @@ def learn(docs: DataFrame, usable: F.Column) -> list[tuple[str, int, bytes]]:
 def identify(docs: DataFrame, model: list[tuple[str, int, bytes]], margin: float = MARGIN) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected for each row of docs (doc_id, text)."""
     bound_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(model)  # MOST_LANGUAGES dictionaries at most
+    known = docs.sparkSession.sparkContext.broadcast(model)  # DICTIONARY_BYTES for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        makers = []
-        for lang, n, data in sorted(known.value, key=lambda m: (-m[1], m[0])):
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            makers.append((lang, zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress))
+        def ready(part: list) -> list:
+            made = []
+            for _, _, data in part:
+                d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=LEVEL)
+                made.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            return made
+
+        languages = sorted(known.value, key=lambda m: (-m[1], m[0]))
+        parts = [languages[i : i + AT_A_TIME] for i in range(0, len(languages), AT_A_TIME)]
+        first = ready(parts[0]) if parts else []
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text in batch.column("text"):
-                text = text.as_py()
-                if text is None or not makers or not _LETTER.search(text):
+            texts = batch.column("text").to_pylist()
+            known_sizes: list[list[int]] = [[] for _ in texts]
+            told = [bool(languages) and t is not None and bool(_LETTER.search(t)) for t in texts]
+            for k, part in enumerate(parts):
+                makers = ready(part) if k else first
+                for i, text in enumerate(texts):
+                    if told[i]:
+                        data = plain(text)
+                        known_sizes[i] += [len(f(data)) for f in makers]
+            for sizes in known_sizes:
+                if not sizes:
                     row = ("und", 0.0, 0.0, True)
                 else:
-                    data = plain(text)
-                    sizes = [len(f(data)) for _, f in makers]
                     best = min(sizes)
                     at = sizes.index(best)
                     second = min((s for i, s in enumerate(sizes) if i != at), default=2 * best)
                     share = sum(math.exp(max(-60.0, (best - s) / 4)) for s in sizes)
                     lead = (second - best) / best
-                    row = (makers[at][0], 1 / share, lead, lead < margin)
+                    row = (languages[at][0], 1 / share, lead, lead < margin)
                 for column, v in zip(out, row, strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([

@@ -27,21 +27,24 @@ NEAR = 48
 TREES, DEPTH, LABELLED = 25, 6, 1600
 
 _KEY = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|private|auth|signing)[_-]?key)"
+#: From the start of a word to its end: one that holds a key name, up to the value. The name is
+#: looked for once in each word (atomic and possessive), so long words cost their length.
+_NAMED = r"(?<![\w.-])(?>[\w.-]*?(?=[pstcaPSTCA])(?i:" + _KEY + r"))[\w.-]*+[\"']?\s*+(?:=>|:=|=|:)\s*+[\"'`]?"
 #: kind -> pattern; the value is what follows the assignment, or all of it. A match goes on to
-#: the end of its run of value characters (possessive, so in one pass); only a private key
-#: without its last line is cut, as prose may follow it.
+#: the end of its run of value characters (possessive, so in one pass), however long. A private
+#: key without its last line ends with its last long run of key characters, as prose may follow.
 PATTERNS = {
-    "assignment": r"(?=[pstcaPSTCA])(?i:" + _KEY + r")" + r"[\w.-]{0,24}[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?[^\s\"'`<>,;]{6,}+",
+    "assignment": _NAMED + r"[^\s\"'`<>,;]{6,}+",
     "cloud_key": r"\b(?:AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16}\b",
     "provider_token": r"\b(?:gh[pousr]_[0-9A-Za-z]{30,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{30,}|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}|glpat-[0-9A-Za-z_-]{16,})",
     "signed_token": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[0-9A-Za-z+/=\s]*+-----END [A-Z ]{0,24}PRIVATE KEY-----|[0-9A-Za-z+/=\s]{0,8192})",
-    "opaque": r"(?<![\w/+.-])(?=[a-zA-Z+/_-]{0,64}[0-9])[0-9A-Za-z+/_-]{28,}+={0,2}",
+    "private_key": r"-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:[0-9A-Za-z+/=\s]*+-----END [A-Z ]*?PRIVATE KEY-----|(?:\s*+[0-9A-Za-z+/=]{16,}+)*+(?:\s*+[0-9A-Za-z+/]*+={1,2})?)",
+    "opaque": r"(?<![\w/+.-])(?=[a-zA-Z+/_-]*+[0-9])[0-9A-Za-z+/_-]{28,}+={0,2}",
 }
 #: What a match of the kinds that need neither a digit nor an assignment sign holds.
 _BEGINS = ["AKIA", "ASIA", "AROA", "AIDA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "k_test_", "glpat-", "eyJ", "-----BEGIN"]
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_ASSIGNED = r"(?i)^" + _KEY + r"[\w.-]{0,24}[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?"
+_ASSIGNED = r"(?i)^" + _NAMED + r"(?=[^\s\"'`<>,;]{6})"
 _PROVIDER = r"^(?:AKIA|ASIA|AROA|AIDA|gh[pousr]_|xox[abprs]-|AIza|[srp]k_live_|glpat-|eyJ|-----BEGIN)"
 
 #: Words that made-up or harmless values are built of.
@@ -66,7 +69,7 @@ def _features(v: Column, raw: Column, before: Column, after: Column) -> Column:
     return F.struct(
         n.alias("n"), (count(v, "[0-9]") / n).alias("digits"), (count(v, "[A-Z]") / n).alias("upper"),
         (count(v, "[a-z]") / n).alias("lower"), (count(v, "[^0-9A-Za-z]") / n).alias("other"),
-        (F.size(F.array_distinct(F.split(F.substring(v, 1, 256), ""))) / F.least(n, F.lit(256.0))).alias("distinct"),
+        (F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(256.0))).alias("distinct"),
         (count(v, r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])") / n).alias("transitions"),
         (count(v, r"(.)(?=\1)") / n).alias("pairs"),
         (F.lit(1.0) - F.length(F.regexp_replace(low, words, "")) / n).alias("dictionary"),
@@ -198,18 +201,20 @@ def _with_findings(docs: DataFrame, trees: list, text: str) -> DataFrame:
     none = F.array().cast("array<string>")
     out = docs.withColumn("_raw", F.when(possible(F.col(text)), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none))
     out = out.withColumn("_pieces", F.when(F.size("_raw") > 0, F.split(text, _ANY, -1)).otherwise(none))
+    # characters before each match: a running sum over the pieces and matches before it
+    steps = F.zip_with(F.slice("_pieces", F.lit(1), F.size("_raw")), F.concat(F.array(F.lit("")), F.slice("_raw", F.lit(1), F.size("_raw") - 1)), lambda p, m: F.length(p) + F.length(m))
+    out = out.withColumn("_steps", F.when(F.size("_raw") > 0, steps))
+    out = out.withColumn("_at", F.aggregate("_steps", F.array().cast("array<int>"), lambda sums, n: F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + n))))
     described = F.transform(
         F.sequence(F.lit(1), F.size("_raw")),
         lambda i: F.struct(
             F.element_at("_raw", i).alias("raw"),
             F.substring(F.element_at("_pieces", i), -NEAR, NEAR).alias("before"),
             F.substring(F.element_at("_pieces", i + 1), 1, NEAR).alias("after"),
-            # characters before the match: the pieces and matches so far
-            (F.aggregate(F.slice("_pieces", F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p))
-             + F.aggregate(F.slice("_raw", F.lit(1), i - 1), F.lit(0), lambda a, p: a + F.length(p))).alias("at"),
+            F.element_at("_at", i).alias("at"),
         ),
     )
-    kind = lambda raw: F.coalesce(*[F.when(raw.rlike("^(?:" + p.replace(r"(?<![\w/+.-])", "") + ")"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("opaque"))
+    kind = lambda raw: F.coalesce(*[F.when(raw.rlike("^(?:" + p.replace(r"(?<![\w/+.-])", "").replace(r"(?<![\w.-])", "") + ")"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("opaque"))
     out = out.withColumn("_found", F.when(F.size("_raw") > 0, described))
     value = lambda x: F.regexp_replace(x["raw"], _ASSIGNED, "")
     out = out.withColumn("_found", F.transform("_found", lambda x: F.struct(

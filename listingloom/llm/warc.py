@@ -134,12 +134,17 @@ def _members(src: _Bytes) -> Iterator[tuple[bytes, callable]]:
         if head[3] & 4 and head[12:14] == b"sl":
             length = struct.unpack("<I", head[16:20])[0]
         inflate, plain, at = zlib.decompressobj(31), b"", begin
-        while b"\r\n\r\n" not in plain and at < src.size and not inflate.eof:
-            src.at = at
-            piece = src.peek(4096)
-            fed = inflate.unconsumed_tail + piece if inflate.unconsumed_tail else piece
-            at += len(piece)
-            plain += inflate.decompress(fed, 8192)
+        while b"\r\n\r\n" not in plain and not inflate.eof:
+            # headers may be far longer than what they are compressed to
+            fed = inflate.unconsumed_tail
+            if not fed and at < src.size:
+                src.at = at
+                fed = src.peek(4096)
+                at += len(fed)
+            out = inflate.decompress(fed, 8192)
+            if not fed and not out:
+                break
+            plain += out
         end = plain.find(b"\r\n\r\n")
         if end < 0:
             raise ValueError(f"no header in the record at {begin}")
@@ -157,7 +162,7 @@ def _members(src: _Bytes) -> Iterator[tuple[bytes, callable]]:
                     piece = src.peek(1 << 16)
                     state["at"] += len(piece)
                     out = inflate.decompress(piece, 1 << 20)
-                else:
+                elif not (out := inflate.decompress(b"", 1 << 20)):
                     break
                 if have < n:
                     parts.append(out)

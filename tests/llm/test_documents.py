@@ -196,6 +196,27 @@ def test_long_secrets_are_masked_whole(spark, documents):
     assert [masked[i] for i in range(8)] == ["x token = [SECRET] y"] * 4 + ["bearer token [SECRET] y"] * 3 + ["x [SECRET] y"]
 
 
+def test_late_digits_long_names_and_wide_blanks(spark, documents):
+    trees, r = secrets.train(spark), random.Random(12)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    late = "".join(r.choice(mixed) for _ in range(70)) + "7" + "".join(r.choice(mixed + "0123456789") for _ in range(40))
+    value = "".join(r.choice(mixed + "0123456789") for _ in range(32))
+    lines = [f"{value}{value}"] * 300
+    texts = [f"see {late} here", f"password_for_the_production_database_replica = {value} z", f"my_secret_token{' ' * 9}={' ' * 40}{value} z",
+             "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\nand then prose goes on", "tokentoken" * 20_000 + " x", "password: " + value[:9] + "é" * 300 + " z"]
+    found = {(t["doc_id"], texts[t["doc_id"]][t["start"] : t["start"] + t["n_chars"]]) for t in secrets.scan(documents(texts), trees).collect()}
+    assert {(0, late), (1, value), (2, value), (5, value[:9] + "é" * 300)} <= found and not [f for f in found if f[0] == 4]
+    key = [f[1] for f in found if f[0] == 3]
+    assert len(key) == 1 and key[0].endswith(lines[-1]) and len(key[0]) > 19_000
+
+
+def test_places_of_many_matches(spark, documents):
+    trees, value = secrets.train(spark), "a1b2c3d4e5f60718293a4b5c6d7e8f90"
+    text = " ".join(f"é{k} token = {value}{k}" for k in range(1500))
+    got = sorted((r["start"], r["n_chars"]) for r in secrets.scan(documents([text]), trees).collect())
+    assert [text[a : a + n] for a, n in got] == [f"{value}{k}" for k in range(1500)]
+
+
 def test_secret_forest_on_unseen_findings(spark):
     trees = secrets.train(spark)
     rows = secrets.labelled_findings(seed=99)[:600]

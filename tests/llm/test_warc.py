@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from listingloom.llm import warc
 from listingloom.llm.common import scratch
 
@@ -63,5 +65,30 @@ def test_foreign_archives(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}", "none").where("target_uri = 'u2'").count() == 2
 
 
+def _long_headers(kind):
+    """Headers of 20,000 characters that compress to few bytes, and to many."""
+    return "a" * 20_000 if kind == "equal" else "".join(chr(97 + (i * i * 7919 + i // 3) % 26) for i in range(20_000))
+
+
+@pytest.mark.parametrize("kind", ["equal", "mixed"])
+def test_long_headers(spark, tmp_path, kind):
+    url = _long_headers(kind)
+    long = warc.record([("WARC-Type", "response"), ("WARC-Target-URI", url)], b"payload")
+    short = warc.record([("WARC-Type", "response"), ("WARC-Target-URI", "u")], b"x" * 10)
+    for name, parts in (("only", [long]), ("last", [short, long]), ("first", [long, short])):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+        got = sorted((len(r["target_uri"]), bytes(r["payload"])) for r in warc.read(spark, f"file://{folder}").collect())
+        assert got == [(1, b"x" * 10), (20_000, b"payload")][2 - len(parts) :]
+
+
+@pytest.mark.parametrize("kind", ["equal", "mixed"])
+def test_round_trip_with_long_urls(spark, kind):
+    rows = spark.createDataFrame([(1, _long_headers(kind), "one", "e"), (2, _long_headers(kind), "one", "e"), (3, "u", "two", "e")], PAGES).coalesce(1)
+    got = {r["page_id"]: r["record_type"] for r in warc.round_trip(rows).collect()}
+    assert got == {1: "revisit", 2: "response", 3: "response"}
+
+
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
