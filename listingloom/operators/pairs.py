@@ -69,22 +69,59 @@ def cross_brand_lenient(a: Column, b: Column) -> Column:
     return (F.trim(text(a)) == "") | cross_brand_strict(a, b)
 
 
-def blocked_pairs(products: DataFrame, block: list[str], order: str = "id", salts: int = 1) -> DataFrame:
+#: Rows of a block that a task meets on either side; larger blocks are cut into chunks.
+MOST_OF_A_BLOCK = 2000
+
+
+def _keyed(rows: DataFrame, block: list[str], name: str) -> tuple[DataFrame, list[str]]:
+    """rows as a struct beside their block's columns; a null belongs to no block."""
+    keys = [f"_k{i}" for i in range(len(block))]
+    keyed = rows.select(*[F.col(c).alias(k) for c, k in zip(block, keys, strict=True)], F.struct(*rows.columns).alias(name))
+    return keyed.dropna(subset=keys), keys
+
+
+def _large(keyed: DataFrame, keys: list[str], name: str, most: int) -> DataFrame:
+    """The blocks of more than `most` rows with their numbers of chunks; a small table."""
+    return keyed.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias(name))
+
+
+def blocked_pairs(products: DataFrame, block: list[str], order: str = "id", salts: int = 1, most: int = MOST_OF_A_BLOCK) -> DataFrame:
     """(a, b): structs of all pairs of a block with a.order < b.order.
 
-    With salts above 1 a block's left side is dealt over that many tasks and its right side
-    goes to each: the way to spread a block that holds a large share of all rows.
+    A block's size is counted first. One of more than `most` rows is cut into chunks of about
+    that many, and each two of them (and each with itself) meet in a place of their own, so a
+    task meets no more than two chunks whatever share of all rows a block holds. salts: chunks
+    of every block at least.
     """
-    names = products.columns
-    whole = F.struct(*names)
-    left = products.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(block)], whole.alias("a"))
-    right = products.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(block)], whole.alias("b"))
-    keys = [f"_k{i}" for i in range(len(block))]
-    if salts > 1:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(F.col("a")[order]), F.lit(salts)).cast("int"))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys = [*keys, "_salt"]
-    return left.join(right, keys).where(F.col("a")[order] < F.col("b")[order]).select("a", "b")
+    keyed, keys = _keyed(products, block, "x")
+    keyed = keyed.join(_large(keyed, keys, "_chunks", most), keys, "left").withColumn("_chunks", F.greatest(F.coalesce("_chunks", F.lit(1)), F.lit(salts)))
+    keyed = keyed.withColumn("_chunk", F.pmod(F.xxhash64(F.col("x")[order]), F.col("_chunks")).cast("int"))
+    left = keyed.select(*keys, F.col("x").alias("a"), F.col("_chunk").alias("_c"), F.explode(F.sequence("_chunk", F.col("_chunks") - 1)).alias("_d"))
+    right = keyed.select(*keys, F.col("x").alias("b"), F.col("_chunk").alias("_d"), F.explode(F.sequence(F.lit(0), "_chunk")).alias("_c"))
+    ahead = F.col("a")[order] < F.col("b")[order]
+    met = left.join(right, [*keys, "_c", "_d"]).where(F.when(F.col("_c") == F.col("_d"), ahead).otherwise(F.col("a")[order].isNotNull() & F.col("b")[order].isNotNull()))
+    return met.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def met_in_blocks(left: DataFrame, right: DataFrame, block: list[str], most: int = MOST_OF_A_BLOCK) -> DataFrame:
+    """(x, y): each row of left with each of right of the same block, as structs.
+
+    Blocks of more than `most` rows on a side are cut into chunks there; each chunk of one side
+    meets each of the other in a place of its own.
+    """
+    sides = []
+    for rows, name in ((left, "x"), (right, "y")):
+        keyed, keys = _keyed(rows, block, name)
+        sides.append((keyed, _large(keyed, keys, f"_{name}_chunks", most)))
+    (a, many_a), (b, many_b) = sides
+
+    def dealt(keyed: DataFrame, own: str, other: str) -> DataFrame:
+        for many in (many_a, many_b):
+            keyed = keyed.join(many, keys, "left")
+        chunks = lambda s: F.coalesce(f"_{s}_chunks", F.lit(1))
+        return keyed.select(*keys, own, F.pmod(F.xxhash64(own), chunks(own)).cast("int").alias(f"_{own}_at"), F.explode(F.sequence(F.lit(0), chunks(other) - 1)).alias(f"_{other}_at"))
+
+    return dealt(a, "x", "y").join(dealt(b, "y", "x"), [*keys, "_x_at", "_y_at"]).select("x", "y")
 
 
 def flat(pairs: DataFrame, *more: Column) -> DataFrame:

@@ -12,25 +12,58 @@ def shuffle(df: DataFrame, seed: int, *key: str) -> DataFrame:
     return df.orderBy(md5_order(seed, *key), *key)
 
 
+#: Rows that a top-n may hold in a task; larger samples are cut by bucket counts.
+MOST_HELD = 100_000
+
+
+def numbered(df: DataFrame, seed: int, *key: str, by: str | None = None, name: str = "position") -> DataFrame:
+    """df with its places from 0, without gaps, in md5 order, those of each value of `by` if given.
+
+    A row's place is that within its bucket (the first md5 digits) and the rows of the buckets
+    before, so no task orders all rows. A group has 4096 buckets at most, and so many rows are
+    summed up by a task.
+    """
+    order, group = md5_order(seed, *key), [] if by is None else ["_by"]
+    rows = df.withColumn("_at", order).withColumn("_part", F.substring(order, 1, 3))
+    rows = rows if by is None else rows.withColumn("_by", F.col(by))
+    sums = rows.groupBy(*group, "_part").count()
+    before = sums.select(*group, "_part", (F.sum("count").over(Window.partitionBy(*group).orderBy("_part")) - F.col("count")).alias("_before"))
+    inside = Window.partitionBy(*group, "_part").orderBy("_at", *key)
+    ranked = rows.withColumn("_in", F.row_number().over(inside))
+    if by is None:
+        ranked = ranked.join(F.broadcast(before), "_part")
+    else:
+        before = before.withColumnsRenamed({"_by": "_g", "_part": "_p"})
+        ranked = ranked.join(before, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return ranked.select(*df.columns, (F.col("_in") + F.col("_before") - 1).alias(name))
+
+
 def batches(df: DataFrame, size: int, seed: int, *key: str) -> DataFrame:
-    """df with `batch` and `place`, both from 0: batches of `size` rows in md5 order, the last one may be shorter.
+    """df with `batch` and `place`, both from 0: batches of `size` rows in md5 order, the last one may be shorter."""
+    ranked = numbered(df, seed, *key, name="_rank")
+    return ranked.select(*df.columns, F.floor(F.col("_rank") / size).cast("long").alias("batch"), (F.col("_rank") % size).cast("int").alias("place"))
+
+
+def cut(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """The first n rows in md5 order, or all if fewer, whatever n.
 
-    A row's rank is that within its bucket (the first md5 digits) and the rows of the buckets
-    before, so no task orders all rows.
+    Buckets (the first md5 digits) are counted; those wholly below n are kept as they are, those
+    beyond are dropped before any shuffle, and only the bucket in which n falls is cut by rank.
     """
     order = md5_order(seed, *key)
     rows = df.withColumn("_at", order).withColumn("_part", F.substring(order, 1, 3))
-    # 4096 rows at most
     sums = rows.groupBy("_part").count()
-    before = sums.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy("_at", *key)
-    ranked = rows.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(before), "_part").withColumn("_rank", F.col("_in") + F.col("_before") - 1)
-    return ranked.select(*df.columns, F.floor(F.col("_rank") / size).cast("long").alias("batch"), (F.col("_rank") % size).cast("int").alias("place"))
+    # 4096 rows at most
+    ends = sums.select(F.col("_part"), F.sum("count").over(Window.orderBy("_part")).alias("_end"), "count").withColumn("_left", F.lit(n) - F.col("_end") + F.col("count"))
+    met = rows.join(F.broadcast(ends.where("_left > 0").drop("count")), "_part")
+    whole = met.where(F.col("_end") <= n)
+    edge = met.where(F.col("_end") > n).withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy("_at", *key))).where(F.col("_in") <= F.col("_left"))
+    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
-    """n rows, or all if fewer: a bounded top-n, not a full sort."""
-    return df.orderBy(md5_order(seed, *key), *key).limit(n)
+    """n rows, or all if fewer: a bounded top-n, not a full sort; a large n is cut by bucket counts."""
+    return df.orderBy(md5_order(seed, *key), *key).limit(n) if n <= MOST_HELD else cut(df, n, seed, *key)
 
 
 def quota(df: DataFrame, n: int | Column, seed: int, key: list[str], by: list[str | Column] | None = None) -> DataFrame:
@@ -92,7 +125,7 @@ def stratified_split(df: DataFrame, label: str, seed: int, key: list[str], test:
 
 def negative_quota(positives: DataFrame, negatives: DataFrame, seed: int, key: list[str], ratio: float = 1.5) -> DataFrame:
     """int(positives * ratio) negatives in md5 order: the count is one number for the driver."""
-    return sample(negatives, int(positives.count() * ratio), seed, *key)
+    return cut(negatives, int(positives.count() * ratio), seed, *key)
 
 
 def mix_sizes(total: int) -> tuple[int, int, int]:

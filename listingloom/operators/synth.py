@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.attributes import OTHER, swap_attribute
 from ..functions.similarity import jaccard, let, token_ids
 from ..functions.text import candidate_text, md5_order, text
-from ..sources.sinks import work_folder
+from ..sources.sinks import written
 from .dedupe import stack
-from .pairs import ALTERNATIVE_OVERLAP, FIELDS, blocked_pairs, cross_brand_lenient, cross_brand_strict, flat, group_gate, prepare
-from .sampling import sample
+from .overlap import band_join
+from .pairs import ALTERNATIVE_OVERLAP, FIELDS, blocked_pairs, cross_brand_lenient, cross_brand_strict, flat, group_gate, met_in_blocks, prepare
+from .sampling import numbered, sample
 
 WEAK_OVERLAP = 0.05
-#: Products that a task orders in a draw, and the tasks that a category is dealt to where all its pairs are met.
-RUN, SALTS = 100_000, 32
+#: Products that a task orders in a draw.
+RUN = 100_000
 
 
 def draw(seed: int | str, *key: str | Column) -> Column:
@@ -92,20 +93,53 @@ def drawn(products: DataFrame, by: str, rounds: int, seed: int | str) -> DataFra
 def band_pairs(products: DataFrame, low: float, high: float, n: int, label: str, seed: int = 42, rounds: int = 4) -> DataFrame:
     """n cross-brand pairs of one derived category with low <= overlap < high, or all if fewer.
 
-    They are drawn from random pairs of all products. Only where those do not hold n, every
-    pair of each category is looked at, with the categories dealt over SALTS tasks each.
+    They are drawn from random pairs of all products. Only where those do not hold n, all pairs
+    of the band are found by an inverted index of the tokens.
     """
     prepared = prepare(products).where(F.col("_category") != OTHER)
     narrow = prepared.select("id", "brand", "_category", "_tokens")
     overlap = jaccard(F.col("a._tokens"), F.col("b._tokens"))
     inside = lambda pairs: _cross(pairs, lenient=False).where(let(overlap, lambda o: (o >= low) & (o < high))).select("_i", "_j")
-    pairs = inside(drawn(narrow, "_category", rounds, seed))
+    pairs = written(inside(drawn(narrow, "_category", rounds, seed)), "drawn")
     if pairs.limit(n).count() < n:
-        pairs = inside(blocked_pairs(narrow, ["_category"], salts=SALTS))
+        pairs = band_join(narrow, "_category", low, high).select("_i", "_j")
     chosen = _widened(sample(pairs, n, seed, "_i", "_j"), products.select(*FIELDS))
     return flat(chosen, F.lit(label).alias("relationship_label"), F.lit("synthetic").alias("source"))
 
 
+def uniform_pairs(products: DataFrame, by: str, n: int, seed: int | str = 42) -> DataFrame:
+    """(draw, a, b): n draws, each of a group of `by` (every one as likely) and of two different products of it.
+
+    A product's address is its group and its place there; a draw is two addresses, met by
+    joins. Groups of one product and null groups are passed over; a pair may be drawn again.
+    """
+    from pyspark.sql import Window
+
+    rows = products.where(F.col(by).isNotNull())
+    groups = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    count = groups.count()
+    # a row for each group
+    groups = groups.withColumn("_group", F.row_number().over(Window.orderBy("_by")) - 1)
+    places = numbered(rows, f"{seed}-place", "id", by=by, name="_place").select(F.col(by).alias("_by"), "_place", F.struct(*products.columns).alias("x"))
+    draws = products.sparkSession.range(n if count else 0).withColumnRenamed("id", "draw").withColumn("_group", F.pmod(draw(f"{seed}-group", "draw"), F.lit(max(1, count))))
+    draws = draws.join(groups, "_group").withColumn("_a", F.pmod(draw(f"{seed}-first", "draw"), "_size")).withColumn("_b", F.pmod(draw(f"{seed}-second", "draw"), F.col("_size") - 1))
+    draws = draws.withColumn("_b", F.col("_b") + (F.col("_b") >= F.col("_a")).cast("int"))
+    for at, name in (("_a", "a"), ("_b", "b")):
+        draws = draws.join(places.select("_by", F.col("_place").alias(at), F.col("x").alias(name)), ["_by", at])
+    return draws.select("draw", "a", "b")
+
+
+def uniform_band_pairs(products: DataFrame, low: float, high: float, n: int, label: str, seed: int = 42, attempts: int = 30) -> DataFrame:
+    """The first n different cross-brand pairs with low <= overlap < high among attempts * n draws
+    that take each derived category as often as any other."""
+    narrow = prepare(products).select("id", "brand", "_category", "_tokens")
+    met = uniform_pairs(narrow, "_category", attempts * n, seed)
+    met = met.where(cross_brand_strict(F.col("a.brand"), F.col("b.brand")) & let(jaccard(F.col("a._tokens"), F.col("b._tokens")), lambda o: (o >= low) & (o < high)))
+    once = met.groupBy(F.least("a.id", "b.id").alias("_i"), F.greatest("a.id", "b.id").alias("_j")).agg(F.min("draw").alias("_draw"))
+    chosen = _widened(once.orderBy("_draw").limit(n), products.select(*FIELDS))
+    return flat(chosen, F.lit(label).alias("relationship_label"), F.lit("synthetic").alias("source"))
+
+
 def alternative_pairs(products: DataFrame, n: int = 280, seed: int = 42) -> DataFrame:
     return band_pairs(products, ALTERNATIVE_OVERLAP, 0.55, n, "SIMILAR_ALTERNATIVE", seed)
 
@@ -138,7 +172,7 @@ def percentile_pairs(
     narrow = rows.select("id", "brand", "_block")
     few = narrow.join(sizes.where(F.col("count") <= small), "_block", "left_semi")
     many = narrow.join(sizes.where(F.col("count") > small), "_block", "left_semi")
-    met = _cross(drawn(many, "_block", rounds, seed), lenient=True)
+    met = written(_cross(drawn(many, "_block", rounds, seed), lenient=True), "drawn")
     enough = met.groupBy(F.col("a._block").alias("_block")).count().where(F.col("count") >= pool).select("_block")
     pools = [met, _cross(blocked_pairs(few, ["_block"]), lenient=True)]
     if not sizes.where(F.col("count") > small).join(enough, "_block", "left_anti").isEmpty():
@@ -147,8 +181,7 @@ def percentile_pairs(
         usual = one_sided.groupBy("_block", "_brand").count().groupBy("_block").agg(F.max_by("_brand", F.struct("count", "_brand")).alias("_usual"))
         one_sided = one_sided.join(usual, "_block")
         odd = one_sided.where((F.col("_brand") != F.col("_usual")) | (F.col("_brand") == ""))
-        side = lambda df, name: df.select(F.col("_block").alias("_k"), F.struct(*many.columns).alias(name))
-        rest = side(odd, "x").join(side(one_sided, "y"), "_k").where("x.id <> y.id")
+        rest = met_in_blocks(odd.select(*many.columns), one_sided.select(*many.columns), ["_block"]).where("x.id <> y.id")
         ahead = F.col("x.id") < F.col("y.id")
         rest = rest.select(F.when(ahead, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ahead, F.col("y")).otherwise(F.col("x")).alias("b"))
         rest = _cross(rest, lenient=True).dropDuplicates(["_i", "_j"])
@@ -158,10 +191,8 @@ def percentile_pairs(
     pooled = pairs.select(F.col("a._block").alias("_b"), "_i", "_j").withColumn("_r", rank).where(F.col("_r") <= pool)
     # tokens are only made for products of the pools
     pooled = _widened(pooled, rows.select(*FIELDS)).withColumn("overlap", jaccard(token_ids(candidate_text("a.title", "a.description")), token_ids(candidate_text("b.title", "b.description"))))
-    # read three times below: written once, `pool` rows a category
-    folder = work_folder(products.sparkSession, "pool")
-    pooled.write.parquet(folder)
-    pooled = products.sparkSession.read.schema(pooled.schema).parquet(folder)
+    # read three times below: `pool` rows a category
+    pooled = written(pooled, "pool")
     cuts = pooled.groupBy("_b").agg(F.percentile("overlap", F.lit(alternative)).alias("_alt"), F.percentile("overlap", F.lit(weak)).alias("_weak"), F.count(F.lit(1)).alias("_n"))
     labelled = pooled.join(cuts.where(F.col("_n") >= least_pool), "_b").withColumn(
         "_label", F.when(F.col("overlap") >= F.col("_alt"), "SIMILAR_ALTERNATIVE").when(F.col("overlap") >= F.col("_weak"), "WEAKLY_SIMILAR")
@@ -185,12 +216,12 @@ def unrelated_pairs(products: DataFrame, n: int, category: str = "category", see
     pairs = stack([consecutive(rows, f"{seed}-{i}", ["id"], fields) for i in range(rounds)]).where(across).dropDuplicates(["product1_id", "product2_id"])
     if pairs.limit(n).count() < n:
         usual = rows.groupBy(category).count().orderBy(F.desc("count"), category).limit(1).select(F.col(category).alias("_usual"))
-        side = lambda df, k: df.select(*[F.col(f).alias(f"product{k}_{f}") for f in fields])
-        odd = side(rows.join(F.broadcast(usual), F.col(category) == F.col("_usual"), "left_anti"), 1)
-        some = side(sample(rows.join(F.broadcast(usual), F.col(category) == F.col("_usual"), "left_semi"), n, seed, "id"), 2)
-        key = F.lit(0).alias("_k")
-        more = odd.select("*", key).join(some.select("*", key), "_k").drop("_k")
-        pairs = stack([pairs, more]).dropDuplicates(["product1_id", "product2_id"])
+        own = F.col(category) == F.col("_usual")
+        odd = rows.select(*fields, F.lit(0).alias("_all")).join(F.broadcast(usual), own, "left_anti")
+        some = sample(rows.select(*fields, F.lit(0).alias("_all")).join(F.broadcast(usual), own, "left_semi"), n, seed, "id")
+        # n products of the usual category at most; both sides are dealt in chunks
+        more = met_in_blocks(odd, some, ["_all"])
+        pairs = stack([pairs, more.select(*[F.col(s)[f].alias(f"product{k}_{f}") for s, k in (("x", 1), ("y", 2)) for f in fields])]).dropDuplicates(["product1_id", "product2_id"])
     chosen = sample(pairs, n, seed, "product1_id", "product2_id")
     return chosen.drop(f"product1_{category}", f"product2_{category}").withColumns({"relationship_label": F.lit("UNRELATED"), "source": F.lit("synthetic")})
 

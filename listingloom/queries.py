@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import attributes, encoding, rules, similarity, text
-from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, pairs, prepare, ranking, sampling, synth
+from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, overlap, pairs, prepare, ranking, sampling, synth
 from .plans.compare import compare
 from .plans.scoring import RuleScorer
 from .sources import readers, sinks
@@ -68,14 +68,17 @@ def _split_projection(sql: str) -> list[str]:
     return [*out, now]
 
 
-def listing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a brand: label 1 for equal first two title words (the part's name)."""
-    rows = listings(spark, sf_dir)
+def listing_pairs(rows: DataFrame, *columns: str) -> DataFrame:
+    """Pairs of a brand with these columns of each side; label 1 for equal first two title words (the part's name)."""
     prepared = pairs.prepare(rows).withColumn("_name", F.substring_index("title", " ", 2))
-    met = pairs.blocked_pairs(prepared, ["brand"])
+    met = pairs.blocked_pairs(prepared.select("id", "brand", "_name", *columns), ["brand"])
     return met.withColumn("label", (F.col("a._name") == F.col("b._name")).cast("int"))
 
 
+#: What a relationship is told from.
+_TOLD_FROM = ("_tokens", "_attributes", "_category")
+
+
 # ---- SQL building blocks ---------------------------------------------------------------
 
 L = f"WITH l AS (SELECT {_LISTING.replace('STRING', 'VARCHAR')} FROM part)"
@@ -190,7 +193,7 @@ def categorize(spark, d):
 
 @query(PREPARED + f" SELECT a.id AS id1, b.id AS id2, {_sql_jaccard('a', 'b')} AS overlap FROM p a JOIN p b ON a.brand = b.brand AND a.id < b.id")
 def token_overlap(spark, d):
-    met = listing_pairs(spark, d)
+    met = listing_pairs(listings(spark, d), "_tokens")
     return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), similarity.jaccard("a._tokens", "b._tokens").alias("overlap"))
 
 
@@ -271,7 +274,7 @@ def rule_brand_mismatch(spark, d):
 
 
 def _labelled(spark, d):
-    met = listing_pairs(spark, d)
+    met = listing_pairs(listings(spark, d), *_TOLD_FROM)
     return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), "label", pairs.relationship(F.col("label"), F.col("a"), F.col("b")).alias("relationship_label"))
 
 
@@ -290,10 +293,8 @@ def relationship_counts(spark, d):
 def gated_pairs(spark, d):
     # the gate is a product's own: it is asked once for each product, before the join
     rows = listings(spark, d).where(~rules.is_high_severity(text.candidate_text()))
-    prepared = pairs.prepare(rows).withColumn("_name", F.substring_index("title", " ", 2))
-    met = pairs.blocked_pairs(prepared, ["brand"])
-    label = (F.col("a._name") == F.col("b._name")).cast("int")
-    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), pairs.relationship(label, F.col("a"), F.col("b")).alias("relationship_label"))
+    met = listing_pairs(rows, *_TOLD_FROM)
+    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), pairs.relationship(F.col("label"), F.col("a"), F.col("b")).alias("relationship_label"))
 
 
 def _structured(spark, d) -> DataFrame:
@@ -428,6 +429,34 @@ def unrelated_pairs(spark, d):
     return synth.unrelated_pairs(listings(spark, d), 280).select("product1_id", "product2_id", "relationship_label")
 
 
+@query(PREPARED + f""", x AS (SELECT a.id AS product1_id, b.id AS product2_id, {_sql_jaccard('a', 'b')} AS overlap FROM p a JOIN p b ON a.cat = b.cat AND a.id < b.id WHERE a.cat <> 'OTHER' AND lower(trim(a.brand)) <> lower(trim(b.brand)))
+  SELECT * FROM x WHERE overlap >= 0.5 AND overlap < 0.75""")
+def overlap_band(spark, d):
+    rows = pairs.prepare(listings(spark, d)).where(F.col("_category") != attributes.OTHER)
+    return overlap.band_join(rows.select("id", "brand", "_category", "_tokens"), "_category", 0.5, 0.75).withColumnsRenamed({"_i": "product1_id", "_j": "product2_id"})
+
+
+def _sql_uniform(of: str, by: str, n: int, seed: str) -> str:
+    """w (draw, i, j): each group as likely, and two different rows of it."""
+    return f"""o AS (SELECT id, {by} AS k, row_number() OVER (PARTITION BY {by} ORDER BY {_sql_order(f'{seed}-place', 'id')}, id) - 1 AS place, count(*) OVER (PARTITION BY {by}) AS size FROM {of}),
+  h AS (SELECT k, size, row_number() OVER (ORDER BY k) - 1 AS g FROM (SELECT DISTINCT k, size FROM o WHERE size > 1)),
+  e AS (SELECT draw, k, {_sql_draw(f'{seed}-first', 'draw')} % size AS a, {_sql_draw(f'{seed}-second', 'draw')} % (size - 1) AS b FROM range({n}) t(draw) JOIN h ON g = {_sql_draw(f'{seed}-group', 'draw')} % (SELECT count(*) FROM h)),
+  w AS (SELECT draw, e.k AS k, x.id AS i, y.id AS j FROM e JOIN o x ON x.k = e.k AND x.place = a JOIN o y ON y.k = e.k AND y.place = b + CASE WHEN b >= a THEN 1 ELSE 0 END)"""
+
+
+@query(PREPARED + ", " + _sql_uniform("p", "cat", 3000, "42") + " SELECT draw, k AS category, i AS product1_id, j AS product2_id FROM w")
+def uniform_draws(spark, d):
+    rows = pairs.prepare(listings(spark, d)).select("id", "_category")
+    return synth.uniform_pairs(rows, "_category", 3000).select("draw", F.col("a._category").alias("category"), F.col("a.id").alias("product1_id"), F.col("b.id").alias("product2_id"))
+
+
+@query(PREPARED + ", " + _sql_uniform("p", "cat", 8400, "42") + f""", v AS (SELECT least(i, j) AS product1_id, greatest(i, j) AS product2_id, min(draw) AS draw FROM w JOIN p a ON a.id = i JOIN p b ON b.id = j
+  WHERE lower(trim(a.brand)) <> lower(trim(b.brand)) AND {_sql_jaccard('a', 'b')} >= 0.25 AND {_sql_jaccard('a', 'b')} < 0.55 GROUP BY 1, 2)
+  SELECT product1_id, product2_id, 'SIMILAR_ALTERNATIVE' AS relationship_label FROM v ORDER BY draw LIMIT 280""")
+def uniform_alternatives(spark, d):
+    return synth.uniform_band_pairs(listings(spark, d), 0.25, 0.55, 280, "SIMILAR_ALTERNATIVE").select("product1_id", "product2_id", "relationship_label")
+
+
 def _sql_percentile(limit: str = "") -> str:
     """Pools of 500 cross-brand pairs: all pairs of categories of up to 64 rows, else random ones; and the two bands."""
     return f"""pg AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY category) >= 5), pm AS (SELECT * FROM pg QUALIFY count(*) OVER (PARTITION BY category) > 64),
@@ -845,9 +874,8 @@ def eta_seconds(spark, d):
 
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {_sql_order('9', 'doc_id')}, doc_id) AS place FROM labels")
 def shuffled(spark, d):
-    # the first rows of the order are counted: an order itself is no part of a row
-    rows = sampling.shuffle(table(spark, d, "labels"), 9, "doc_id").select("doc_id")
-    return rows.rdd.zipWithIndex().toDF("r struct<doc_id: bigint>, n bigint").select("r.doc_id", (F.col("n") + 1).alias("place"))
+    rows = sampling.numbered(table(spark, d, "labels").select("doc_id"), 9, "doc_id")
+    return rows.select("doc_id", (F.col("position") + 1).alias("place"))
 
 
 @query(f"SELECT doc_id FROM labels WHERE toxic = 0 ORDER BY {_sql_order('11', 'doc_id')}, doc_id LIMIT (SELECT floor(count(*) * 1.5)::BIGINT FROM labels WHERE toxic = 1)")
@@ -975,7 +1003,7 @@ def id_value_files(spark, d):
     first = c.select(F.lit(0).alias("o"), "c_custkey", F.concat("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "\t").otherwise("  "), "c_name").alias("value"))
     later = c.where("c_custkey % 7 = 0").select(F.lit(1).alias("o"), "c_custkey", F.concat("c_custkey", F.lit("\t"), "c_mktsegment").alias("value"))
     folder = sinks.work_folder(spark, "id-values")
-    sinks.write_lines(first.union(later).orderBy("o", "c_custkey"), folder)
+    sinks.write_lines(first.union(later).repartitionByRange(4, "o", "c_custkey").sortWithinPartitions("o", "c_custkey"), folder)
     return readers.read_id_values(spark, folder)
 
 
@@ -983,7 +1011,7 @@ def id_value_files(spark, d):
 def description_files(spark, d):
     folder = sinks.work_folder(spark, "descriptions")
     block = F.concat(F.lit("product/productId: "), "s_suppkey", F.lit("\nproduct/description: "), "s_name", F.lit("\n"))
-    sinks.write_lines(table(spark, d, "supplier").select(block.alias("value")), folder)
+    sinks.write_lines(table(spark, d, "supplier").repartition(3, "s_suppkey").select(block.alias("value")), folder)
     return readers.read_descriptions(spark, folder)
 
 
@@ -993,14 +1021,14 @@ def category_files(spark, d):
     first, second = F.substring_index(F.get("paths", F.lit(0)), ", ", 2), F.substring_index(F.get("paths", F.lit(0)), ", ", -1)
     said = F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).otherwise(F.concat_ws("\n  ", F.col("id").cast("string"), first, second))
     folder = sinks.work_folder(spark, "categories")
-    sinks.write_lines(paths.select(said.alias("value")), folder)
+    sinks.write_lines(paths.repartition(3, "id").select(said.alias("value")), folder)
     return readers.read_categories(spark, folder).select("id", text.join_paths("paths").alias("paths"))
 
 
 @query("SELECT least(2, (row_number() OVER (ORDER BY o_orderkey) - 1) // ((SELECT count(*) FROM orders) // 3))::INT AS part, CAST(o_orderkey AS VARCHAR) AS value, row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no FROM orders")
 def line_ranges(spark, d):
     folder = sinks.work_folder(spark, "lines")
-    sinks.write_lines(table(spark, d, "orders").orderBy("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value")), folder)
+    sinks.write_lines(table(spark, d, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value")), folder)
     parts = readers.split_lines(readers.lines(spark, folder), 3)
     return dedupe.stack([p.select(F.lit(k).alias("part"), "value", "line_no") for k, p in enumerate(parts)])
 

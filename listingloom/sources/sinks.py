@@ -52,6 +52,14 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def write_lines(df: DataFrame, path: str, line: str = "value") -> None:
-    """One text column as the lines of one file, in df's order."""
-    df.select(line).coalesce(1).write.mode("overwrite").text(path)
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to a work folder and read back: what is read several times is made once."""
+    folder = work_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def write_lines(df: DataFrame, path: str, line: str = "value", single: bool = False) -> None:
+    """One text column as lines in df's order: a file for each partition, whose names follow that order."""
+    out = df.select(line)
+    (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
