@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import attributes, encoding, rules, similarity, text
 from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, overlap, pairs, prepare, ranking, sampling, synth
-from .plans.compare import compare
-from .plans.scoring import RuleScorer
+from .plans import training
+from .plans.compare import compare, spot_check as checked
+from .plans.scoring import ProbabilityScorer, RuleScorer
 from .sources import readers, sinks
 
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,14 +501,22 @@ def synthesize(spark, d):
 # ---- sampling and splits ---------------------------------------------------------------
 
 
-@query(f"""WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT sum(n) AS total, ceil(round(0.15 * sum(n), 9)) AS test FROM n),
-  a AS (SELECT quality, n, n * test / total AS exact, floor(n * test / total) AS base, test FROM n, t),
-  b AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY base - exact, CAST(quality AS VARCHAR)) <= test - sum(base) OVER () THEN 1 ELSE 0 END AS n_test FROM a),
+def _sql_split(rows: str, label: str, columns: str, order: str) -> str:
+    """r (columns, label, r: place in the md5 order of its label) and f (n_test, n_val of each label)."""
+    return f"""n AS (SELECT {label}, count(*) AS n FROM {rows} GROUP BY 1), t AS (SELECT sum(n) AS total, ceil(round(0.15 * sum(n), 9)) AS test FROM n),
+  a AS (SELECT {label}, n, n * test / total AS exact, floor(n * test / total) AS base, test FROM n, t),
+  b AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY base - exact, CAST({label} AS VARCHAR)) <= test - sum(base) OVER () THEN 1 ELSE 0 END AS n_test FROM a),
   c AS (SELECT *, n - n_test AS rest, ceil(round((sum(n) OVER () - test) * (0.15 / 0.85), 9)) AS val, sum(n - n_test) OVER () AS all_rest FROM b),
   e AS (SELECT *, rest * val / all_rest AS vexact, floor(rest * val / all_rest) AS vbase FROM c),
-  f AS (SELECT *, vbase + CASE WHEN row_number() OVER (ORDER BY vbase - vexact, CAST(quality AS VARCHAR)) <= val - sum(vbase) OVER () THEN 1 ELSE 0 END AS n_val FROM e),
-  r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_sql_order('42', 'doc_id')}, doc_id) AS r FROM labels)
-  SELECT doc_id, r.quality, CASE WHEN r <= n_test THEN 'test' WHEN r <= n_test + n_val THEN 'val' ELSE 'train' END AS split FROM r JOIN f USING (quality)""")
+  f AS (SELECT *, vbase + CASE WHEN row_number() OVER (ORDER BY vbase - vexact, CAST({label} AS VARCHAR)) <= val - sum(vbase) OVER () THEN 1 ELSE 0 END AS n_val FROM e),
+  r AS (SELECT {columns}, {label}, row_number() OVER (PARTITION BY {label} ORDER BY {order}) AS r FROM {rows})"""
+
+
+_SPLIT = "CASE WHEN r <= n_test THEN 'test' WHEN r <= n_test + n_val THEN 'val' ELSE 'train' END AS split"
+
+
+@query("WITH " + _sql_split("labels", "quality", "doc_id", f"{_sql_order('42', 'doc_id')}, doc_id") + f"""
+  SELECT doc_id, r.quality, {_SPLIT} FROM r JOIN f USING (quality)""")
 def stratified_split(spark, d):
     return sampling.stratified_split(table(spark, d, "labels"), "quality", 42, ["doc_id"]).select("doc_id", "quality", "split")
 
@@ -685,6 +694,12 @@ def rank_alternatives(spark, d):
     return ranking.ranked_rows(rows, rows, RuleScorer())
 
 
+@query(SCORED.replace("('SAME_PRODUCT_DIFFERENT_VARIANT', 'SIMILAR_ALTERNATIVE')", "('SAME_PRODUCT_DIFFERENT_VARIANT', 'SIMILAR_ALTERNATIVE', 'WEAKLY_SIMILAR')") + " SELECT i AS original_id, j AS candidate_id, rank::INT AS rank, score, relationship FROM k")
+def rank_with_weak(spark, d):
+    rows = listings(spark, d).withColumn("pos", F.col("id"))
+    return ranking.ranked_rows(rows, rows, RuleScorer(), include_weakly_similar=True)
+
+
 _TITLED = "array_to_string(list_transform(string_split(relationship, '_'), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')"
 _REASONS = f"concat(CASE WHEN trim(oa) = '' OR trim(cb) = '' THEN '' WHEN lower(trim(oa)) = lower(trim(cb)) THEN concat('Same brand: ', cb, ', ') ELSE concat('Different brand: ', cb, ' vs ', oa, ', ') END, 'Relationship: ', {_TITLED})"
 
@@ -971,10 +986,10 @@ def csv_files(spark, d):
     return readers.read_csv(spark, folder, "id int, title string, brand string, description string", multi_line=False).withColumn("id", F.col("id").cast("long"))
 
 
-@query("SELECT doc_id, replace(replace(text, chr(13), ''), chr(0), '') AS text FROM documents WHERE lang IN ('en', 'fr', 'de', 'es') AND doc_id IS NOT NULL AND text <> '' AND regexp_full_match(text, '[\\x{09}\\x{0A}\\x{20}-\\x{7E}\\x{A0}-\\x{FF}]+')")
+@query("SELECT doc_id, replace(replace(text, chr(13), ''), chr(0), '') AS text FROM documents WHERE doc_id IS NOT NULL AND text <> '' AND regexp_full_match(text, '[\\x{09}\\x{0A}\\x{20}-\\x{7E}\\x{A0}-\\x{FF}]+')")
 def latin1_files(spark, d):
     # the texts that the encoding can say
-    rows = table(spark, d, "documents").where("doc_id is not null and text <> ''").where(F.col("text").rlike(r"^[\x09\x0A\x20-\x7E\xA0-\xFF]+$") & F.col("lang").isin("en", "fr", "de", "es"))
+    rows = table(spark, d, "documents").where("doc_id is not null and text <> ''").where(F.col("text").rlike(r"^[\x09\x0A\x20-\x7E\xA0-\xFF]+$"))
     folder = sinks.work_folder(spark, "latin1")
     rows.select("doc_id", "text").write.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return readers.read_latin1_csv(spark, folder, "doc_id long, text string")
@@ -1033,6 +1048,14 @@ def line_ranges(spark, d):
     return dedupe.stack([p.select(F.lit(k).alias("part"), "value", "line_no") for k, p in enumerate(parts)])
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, CAST(o_orderkey AS VARCHAR) AS value FROM orders ORDER BY o_orderkey LIMIT 20")
+def first_lines(spark, d):
+    # the first lines of a folder, whose files go by name
+    folder = sinks.work_folder(spark, "lines")
+    sinks.write_lines(table(spark, d, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value")), folder)
+    return readers.numbered(readers.lines(spark, folder, max_lines=20)).select("line_no", "value")
+
+
 @query("SELECT doc_id, CASE WHEN source = (SELECT min(source) FROM documents) THEN 'new' ELSE 'old' END AS state, source FROM documents")
 def rows_by_source(spark, d):
     # rows of one source are replaced, those of the others stay
@@ -1116,6 +1139,129 @@ def training_batches(spark, d):
     return sampling.batches(table(spark, d, "labels"), 16, 42, "doc_id").select("doc_id", "batch", "place")
 
 
+# ---- training --------------------------------------------------------------------------
+
+_EPOCHS, _RATE, _BATCH = 3, 2.0, 32
+_MEASURED = ["ln(1 + coalesce(n_chars, 0))", "length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1)", "len(list_distinct(string_split(text, ' '))) / len(string_split(text, ' '))", "length(regexp_replace(text, '[^ ]', '', 'g')) / greatest(length(text), 1)"]
+
+
+def _measured(spark, d) -> DataFrame:
+    """Labelled documents with the numbers that a linear model learns from, and their split."""
+    n, words = F.greatest(F.length("text"), F.lit(1)), F.split("text", " ")
+    share = lambda wanted: F.length(F.regexp_replace("text", f"[^{wanted}]", "")) / n
+    features = F.array(F.log1p(F.coalesce("n_chars", F.lit(0)).cast("double")), share("A-Za-z"), F.size(F.array_distinct(words)) / F.size(words), share(" "))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", features.alias("features"))
+    labels = table(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("label"))
+    return sampling.stratified_split(labels.join(docs, "doc_id"), "label", 42, ["doc_id"])
+
+
+def _trained(spark, d, **options):
+    rows = _measured(spark, d)
+    return training.fit(rows.where("split = 'train'"), rows.where("split = 'val'"), ["doc_id"], rate=_RATE, batch=_BATCH, **options)
+
+
+def _sql_history() -> str:
+    """h: the epochs of gradient descent, each a pass over all batches."""
+    k = len(_MEASURED)
+    of = lambda form, by=", ": by.join(form.format(i=i) for i in range(k))
+    ctes = [
+        "m AS (SELECT doc_id, quality AS label, " + ", ".join(f"({x})::DOUBLE AS x{i}" for i, x in enumerate(_MEASURED)) + " FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL)",
+        _sql_split("m", "label", f"doc_id, {of('x{i}')}", f"{_sql_order('42', 'doc_id')}, doc_id").replace(" t AS (", " tt AS (").replace("FROM n, t)", "FROM n, tt)"),
+        f"s AS (SELECT r.*, {_SPLIT} FROM r JOIN f USING (label))",
+        f"u AS (SELECT {of('avg(x{i}) AS m{i}, stddev_pop(x{i}) AS d{i}')}, count(*) AS n, count(*) FILTER (label = 1) AS n1 FROM s WHERE split = 'train')",
+        f"v AS MATERIALIZED (SELECT split, label, n / (2 * greatest(CASE WHEN label = 1 THEN n1 ELSE n - n1 END, 1)) AS w, {of('(x{i} - m{i}) / d{i} AS x{i}')}, (row_number() OVER (PARTITION BY split ORDER BY {_sql_order('42', 'doc_id')}, doc_id) - 1) // {_BATCH} AS b FROM s, u WHERE split <> 'test')",
+        f"w0 AS (SELECT 0.0::DOUBLE AS c, {of('0.0::DOUBLE AS w{i}')})",
+    ]
+    for e, rate in enumerate([*training.rates(_EPOCHS, _RATE, 0.1), 0.0]):
+        ctes.append(
+            f"p{e} AS MATERIALIZED (SELECT split, sum(w * (ln(1 + exp(-abs(z))) + greatest(z, 0) - z * label)) / sum(w) AS loss, sum(w * off) / sum(w) AS g, {of('sum(w * off * x{i}) / sum(w) AS g{i}')},"
+            f" count(*) FILTER (z >= 0 AND label = 1) AS tp, count(*) FILTER (z >= 0 AND label = 0) AS fp, count(*) FILTER (z < 0 AND label = 1) AS fn, count(*) FILTER (z < 0 AND label = 0) AS tn"
+            f" FROM (SELECT *, 1 / (1 + exp(-z)) - label AS off FROM (SELECT v.*, c + {of('w{i} * x{i}', ' + ')} AS z FROM v, w{e})) GROUP BY split, b)"
+        )
+        norm = f"sqrt(g * g + {of('g{i} * g{i}', ' + ')})"
+        ctes.append(
+            f"w{e + 1} AS MATERIALIZED (SELECT c - {rate!r} * g * short AS c, {of('(1 - ' + repr(rate) + ' * 0.01) * w{i} - ' + repr(rate) + ' * g{i} * short AS w{i}')} FROM"
+            f" (SELECT *, least(1, 1 / nullif({norm}, 0)) AS short FROM (SELECT avg(g) AS g, {of('avg(g{i}) AS g{i}')} FROM p{e} WHERE split = 'train')), w{e})"
+        )
+    rows = []
+    for e in range(_EPOCHS):
+        counts = "SELECT avg(loss) AS val_loss, sum(tp)::DOUBLE AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn"
+        rows.append(
+            f"SELECT {e} AS epoch, (SELECT avg(loss) FROM p{e} WHERE split = 'train') AS train_loss, val_loss, (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,"
+            f" coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM ({counts} FROM p{e + 1} WHERE split = 'val')"
+        )
+    return "WITH " + ", ".join(ctes) + ", h AS (" + " UNION ALL ".join(rows) + ")"
+
+
+_TOLD = ("train_loss", "val_loss", "accuracy", "precision", "recall", "f1")
+
+
+@query(_sql_history() + " SELECT epoch::INT AS epoch, " + ", ".join(f"round({c}, 6) AS {c}" for c in _TOLD) + " FROM h")
+def training_history(spark, d):
+    return _trained(spark, d, epochs=_EPOCHS)[1].select("epoch", *[F.round(c, 6).alias(c) for c in _TOLD])
+
+
+@query(_sql_history() + " SELECT figure, series, epoch::INT AS epoch, round(value, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS figure, '{s}' AS series, epoch, {c} AS value FROM h" for f, s, c in (("loss", "train", "train_loss"), ("loss", "val", "val_loss"), ("accuracy", "val", "accuracy"), ("f1", "val", "f1"))) + ")")
+def training_curves(spark, d):
+    return training.curves(_trained(spark, d, epochs=_EPOCHS)[1]).withColumn("value", F.round("value", 6))
+
+
+@query(_sql_history() + ", g AS (SELECT epoch, round(f1, 9) AS f1 FROM h) SELECT epoch::INT AS best_epoch, round(f1, 6) AS best_metric FROM g ORDER BY g.f1 DESC, epoch LIMIT 1")
+def trained_best_epoch(spark, d):
+    history = _trained(spark, d, epochs=_EPOCHS)[1].withColumn("f1", F.round("f1", 9))
+    return metrics.best_epoch(history).withColumn("best_metric", F.round("best_metric", 6))
+
+
+# ---- files to training rows, comparisons ------------------------------------------------
+
+
+@query(_FULL_PAIRS.format(a=_sql_full("a"), b=_sql_full("b")).replace("f AS", "fp AS") + ", g AS (SELECT DISTINCT text_a, text_b, (i % 2)::INT AS label FROM fp), " + _sql_split("g", "label", "text_a, text_b", f"{_sql_order('42', 'text_a', 'text_b', 'label')}, text_a, text_b, label")
+  + f" SELECT text_a, text_b, label, {_SPLIT} FROM r JOIN f USING (label)")
+def clean_split(spark, d):
+    # a raw file, told by its extension, to the rows of a training run
+    path = f"{sinks.work_folder(spark, 'raw')}.csv"
+    sinks.write_csv(_structured(spark, d).drop("_row"), path)
+    parts = prepare.load_clean_split(readers.load_raw(spark, path))
+    return dedupe.stack([rows.withColumn("split", F.lit(name)) for name, rows in parts.items()])
+
+
+def _sql_squeezed(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
+
+
+@query("WITH s AS (SELECT p_partkey AS i, concat(p_name, '  ', p_type) AS t, p_brand AS b, concat(' ', p_name, chr(10), p_size) AS d FROM part)"
+       + " UNION ALL ".join(f" SELECT '{source}' AS source, i::VARCHAR AS id, {_sql_squeezed('t')} AS title, {_sql_squeezed('b') if brand else chr(39) * 2} AS brand, {_sql_squeezed('d')} AS description FROM s" for source, (_, _, brand, _) in benchmarks.FIELDS.items()))
+def benchmark_fields(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("  "), "p_type").alias("t"), F.col("p_brand").alias("manufacturer"), F.concat(F.lit(" "), "p_name", F.lit("\n"), "p_size").alias("description"))
+    named = lambda title: p.withColumnRenamed("t", title)
+    return dedupe.stack([benchmarks.product_fields(named(title), source).withColumn("source", F.lit(source)) for source, (_, title, _, _) in benchmarks.FIELDS.items()])
+
+
+@query(L + " SELECT l.id, coalesce(p_brand || ', ' || p_type, category) AS sub_category FROM l LEFT JOIN part ON p_partkey = l.id AND p_size > 25")
+def sub_categories(spark, d):
+    lookup = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit(", "), "p_type").alias("sub_category"))
+    return catalog.with_sub_category(listings(spark, d), lookup).select("id", "sub_category")
+
+
+@query(_TITLE_TOKENS + f""", o AS (SELECT * FROM p ORDER BY {_sql_order('42', 'id')}, id LIMIT 50), n AS (SELECT id AS i, lead(id) OVER (ORDER BY {_sql_order('42', 'id')}, id) AS j FROM o),
+  s AS (SELECT a.id AS product1_id, b.id AS product2_id, {_sql_relationship(_PAIR_LABEL)} AS relationship, 100 * ({_sql_jaccard('a', 'b')}) AS score FROM n JOIN p a ON a.id = i JOIN p b ON b.id = j)
+  SELECT product1_id, product2_id, relationship, CASE WHEN relationship = 'EXACT_MATCH' THEN 'Same Product' ELSE 'Different Product' END AS prediction, round(score, 6) AS score FROM s""")
+def spot_check(spark, d):
+    made = checked(listings(spark, d), RuleScorer())
+    return made.select("product1_id", "product2_id", "relationship", "prediction", F.round("similarity_score", 6).alias("score"))
+
+
+@query(STRUCTURED + """, q AS (SELECT id1, id2, ((id1 * 7 + id2 * 13) % 101) / 100.0::DOUBLE AS p FROM s)
+  SELECT id1 AS product1_id, id2 AS product2_id, round(100 * p, 6) AS score, CASE WHEN p >= 0.6 THEN 'Same Product' ELSE 'Different Product' END AS prediction, (p >= 0.6)::INT AS predicted,
+    concat('Similarity Score: ', printf('%.1f', 100 * p), '%', chr(10), 'Prediction:', chr(10), CASE WHEN p >= 0.6 THEN 'Same Product' ELSE 'Different Product' END) AS said FROM q""")
+def compare_probabilities(spark, d):
+    # probabilities as a model gives them, with a threshold of its own
+    p = ((F.col("product1_id") * 7 + F.col("product2_id") * 13) % 101) / F.lit(100.0)
+    rows = _structured(spark, d).drop("_row", "label").withColumn("probs", F.array(1 - p, p))
+    made = compare(rows, ProbabilityScorer(0.6))
+    return made.select("product1_id", "product2_id", F.round("similarity_score", 6).alias("score"), "prediction", "predicted", "said")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_RUN)
 

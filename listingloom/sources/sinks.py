@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
@@ -31,10 +30,6 @@ def save_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").parquet(path)
 
 
-def to_json_text(value: object) -> str:
-    return json.dumps(value, indent=2)
-
-
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
