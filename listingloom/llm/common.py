@@ -81,6 +81,31 @@ def give_back() -> None:
         trim(0)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Has the driver's JVM return freed native memory (what compiling plans took) to the system.
+
+    Over many rounds of planning it adds up to more than the heap holds. A JVM without that
+    command is left alone.
+    """
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    methods = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()}
+
+    def call(method: str, *values):
+        # by its interface, as the server's own class is closed
+        given = new_array(jvm.java.lang.Object, len(values))
+        for i, v in enumerate(values):
+            given[i] = v
+        return methods[method].invoke(server, given)
+
+    if any(o.getName() == TRIM for o in call("getMBeanInfo", commands).getOperations()):
+        call("invoke", commands, TRIM, None, None)
+
+
+TRIM = "systemTrimNativeHeap"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new name in the folder that the driver and all executors see."""
     return work_folder(spark, label)
@@ -91,6 +116,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     executor costs a re-read instead of the whole lineage."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
