@@ -278,3 +278,17 @@ def test_secrets_against_brute_force(spark, documents):
         mine = sorted(got.get(i, []))
         assert [x[:2] for x in mine] == [x[:2] for x in want], t
         assert all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(mine, want)), t
+
+
+def test_languages_are_scored_in_passes(spark, documents, monkeypatch):
+    model = [(f"l{i}", 10 - i, " ".join(f"w{i}x{k}" for k in range(400)).encode()) for i in range(5)]
+    texts = [f"w{i}x1 w{i}x2 w{i}x3 w{i}x40 w{i}x77" for i in range(5)] + [None, "", "12"]
+    whole = sorted(map(str, language_id.identify(documents(texts), model).collect()))
+    monkeypatch.setattr(language_id, "AT_A_TIME", 2)
+    assert sorted(map(str, language_id.identify(documents(texts), model).collect())) == whole
+
+
+def test_contradicting_labels_are_no_example(spark, documents):
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 1), (2, 0), (3, None)], "doc_id long, toxic int")
+    got = toxicity.sample(documents(["a", "b", "c", "d"]), labels, F.lit(True)).collect()
+    assert sorted((r["doc_id"], r["toxic"]) for r in got) == [(1, 1), (2, 0)]
