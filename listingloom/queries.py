@@ -776,26 +776,46 @@ def _sql_by_digest(words: str, key: str = "w") -> str:
     return f"list_transform(list_sort(list_transform({words}, lambda w: concat(md5({key}), w))), lambda x: x[33:])"
 
 
-_FAMILY_ROWS = "fam AS (SELECT *, row_number() OVER (ORDER BY category, brand, model) - 1 AS n FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in generators.FAMILIES) + ") v(category, brand, model, storages, colors, extras))"
-_SPEC_ROWS = "spec AS (SELECT * FROM (VALUES " + ", ".join(f"({_sql_value(k)}, {_sql_value(v)})" for k, v in generators.SPECS.items()) + ") v(category, words))"
+_FAMILY_ROWS = """fam AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42|', category, '|', brand, '|', model)), category, brand, model) - 1 AS n FROM (
+  SELECT lower(p_type) AS category, p_brand AS brand, concat(split_part(p_name, ' ', 2), ' ', p_size % 2 + 1) AS model,
+    list_sort(list_distinct(list(CASE WHEN p_size > 10 THEN concat(p_size * 8, CASE WHEN p_size % 3 = 0 THEN 'GB SSD' ELSE 'GB' END) END))) AS storages,
+    list_transform(list_sort(list_distinct(list(split_part(p_name, ' ', 1)))), lambda c: [c, concat('deep ', c)]) AS colors,
+    list_sort(list_distinct(list(CASE WHEN p_partkey % 3 = 0 THEN concat('pack of ', p_size % 4 + 1) END))) AS extras,
+    list_sort(list_distinct(list(concat(split_part(p_name, ' ', 1), ' finish')))) AS words FROM part GROUP BY ALL))"""
+
+
+def _families(spark, d) -> DataFrame:
+    """Product families of the parts: a type, a brand, and a model for each kind of part and parity of its size."""
+    size, word = F.col("p_size"), lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    rows = table(spark, d, "part").select(
+        F.lower("p_type").alias("category"), F.col("p_brand").alias("brand"), F.concat(word(2), F.lit(" "), (size % 2 + 1).cast("string")).alias("model"),
+        F.when(size > 10, F.concat((size * 8).cast("string"), F.when(size % 3 == 0, "GB SSD").otherwise("GB"))).alias("storage"),
+        word(1).alias("color"), F.concat(F.lit("deep "), word(1)).alias("other_color"),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("pack of "), (size % 4 + 1).cast("string"))).alias("extra"), F.concat(word(1), F.lit(" finish")).alias("spec"),
+    )
+    return generators.families_of(rows)
+
+
 _PAIR_TITLES = "least(lower(a.title), lower(b.title)), greatest(lower(a.title), lower(b.title))"
 
 
-def _sql_generated(total: int, columns: str) -> str:
-    """Both sides of a pair are rows (kind, k, side) until their texts are made."""
-    sizes = dict(zip(("positive", "hard", "easy"), sampling.mix_sizes(total), strict=True))
-    numbers = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {n} AS quota, concat('{kind}-', i) AS k FROM range({3 * n}) t(i)" for kind, n in sizes.items())
+def _sql_generated(columns: str) -> str:
+    """Both sides of a pair are rows (kind, k, side) until their texts are made. A pair is asked for every four parts."""
+    total = "(SELECT count(*) // 4 FROM part)"
+    positive, hard = (f"floor({total} * {share}::DOUBLE)::BIGINT" for share in (0.40, 0.35))
+    sizes = {"positive": positive, "hard": hard, "easy": f"{total} - {positive} - {hard}"}
+    numbers = " UNION ALL ".join(f"SELECT kind, quota, concat(kind, '-', unnest(range(3 * quota))) AS k FROM (SELECT '{kind}' AS kind, {n} AS quota)" for kind, n in sizes.items())
     seed = lambda what, own: f"CASE WHEN side = 'b' AND {own} THEN '{what}-b' ELSE '{what}-a' END"
     apart, easy = "kind <> 'positive'", "kind = 'easy'"
-    known = f"list_slice({_sql_by_digest('coalesce(words, []::VARCHAR[])', "concat_ws('|', w, CASE WHEN kind = 'positive' THEN k ELSE seed END)")}, 1, 2)"
+    known = f"list_slice({_sql_by_digest('words', "concat_ws('|', w, CASE WHEN kind = 'positive' THEN k ELSE seed END)")}, 1, 2)"
     specs = _sql_by_digest(f"list_filter(list_concat(known, [nullif({_sql_stored('storage', 'spaced')}, ''), nullif(extra, '')]), lambda w: w IS NOT NULL)")
     said = _sql_filled(_sql_pick(_sql_value(generators.DESCRIPTIONS), "'description'", "seed"), brand="brand", model="model", spec=f"CASE WHEN len(specs) = 0 THEN {_sql_value(generators.PLAIN_SPEC)} ELSE array_to_string(specs, ', ') END")
-    return f"""WITH {_FAMILY_ROWS}, {_SPEC_ROWS}, ks AS ({numbers}),
+    return f"""WITH {_FAMILY_ROWS}, ks AS ({numbers}),
   sides AS (SELECT kind, quota, k, side, concat(k, '-', side) AS seed, side = 'b' AND kind = 'positive' AS spaced,
     CASE WHEN side = 'b' AND {easy} THEN {_sql_draw('b', 'k')} ELSE {_sql_draw('a', 'k')} END % (SELECT count(*) FROM fam) AS n FROM ks, (VALUES ('a'), ('b')) s(side)),
-  parts AS (SELECT s.*, category, brand, model, {_sql_pick('storages', seed('storage', apart), 'k')} AS storage, {_sql_pick('extras', seed('extra', easy), 'k')} AS extra,
+  parts AS (SELECT s.*, category, brand, model, words, {_sql_pick('storages', seed('storage', apart), 'k')} AS storage, {_sql_pick('extras', seed('extra', easy), 'k')} AS extra,
     ({_sql_pick('colors', seed('color', apart), 'k')})[CASE WHEN spaced THEN 2 ELSE 1 END] AS color FROM sides s JOIN fam USING (n)),
-  knowing AS (SELECT x.*, {_sql_drawn_number("'title'", 'seed')} AS number, {known} AS known FROM parts x LEFT JOIN spec USING (category)),
+  knowing AS (SELECT x.*, {_sql_drawn_number("'title'", 'seed')} AS number, {known} AS known FROM parts x),
   told AS (SELECT x.*, {_sql_title('x', 'spaced', 'number')} AS title, {specs} AS specs FROM knowing x),
   whole AS (SELECT *, concat('P', upper(substr(md5(seed), 1, 12))) AS id, {said} AS description, CASE WHEN spaced THEN array_to_string(specs, ', ') ELSE array_to_string(specs, ' | ') END AS spec_line FROM told),
   met AS (SELECT a, b, a.kind AS kind, a.k AS k, a.quota AS quota, CASE WHEN a.kind = 'positive' THEN 1 ELSE 0 END AS label FROM whole a JOIN whole b ON a.k = b.k AND a.side = 'a' AND b.side = 'b'
@@ -810,19 +830,19 @@ def _sql_both(**fields: str) -> str:
     return ", ".join(f"{s}.{of} AS product{k}_{name}" for k, s in ((1, "a"), (2, "b")) for name, of in fields.items())
 
 
-@query(_sql_generated(60, "a.title AS product1, b.title AS product2"))
+@query(_sql_generated("a.title AS product1, b.title AS product2"))
 def generated_titles(spark, d):
-    return generators.generate(generators.families(spark), 60, "title_only")
+    return generators.generate(_families(spark, d), table(spark, d, "part").count() // 4, "title_only")
 
 
-@query(_sql_generated(60, _sql_both(id="id", title="title", brand="brand", description="description")))
+@query(_sql_generated(_sql_both(id="id", title="title", brand="brand", description="description")))
 def generated_structured(spark, d):
-    return generators.generate(generators.families(spark), 60, "structured")
+    return generators.generate(_families(spark, d), table(spark, d, "part").count() // 4, "structured")
 
 
-@query(_sql_generated(60, _sql_both(title="title", specs="spec_line")))
+@query(_sql_generated(_sql_both(title="title", specs="spec_line")))
 def generated_specs(spark, d):
-    return generators.generate(generators.families(spark), 60, "with_specs")
+    return generators.generate(_families(spark, d), table(spark, d, "part").count() // 4, "with_specs")
 
 
 def _sql_varied(kind: str, values: str) -> str:
@@ -845,18 +865,17 @@ _NUMBER = _sql_drawn_number("'title'", _sql_drawn_number("'form'", "k"))
   SELECT product1, product2, label, kind FROM told WHERE lower(product1) <> lower(product2)
   QUALIFY row_number() OVER (PARTITION BY least(lower(product1), lower(product2)), greatest(lower(product1), lower(product2)) ORDER BY label DESC, k) = 1""")
 def near_miss_negatives(spark, d):
-    return generators.near_misses(generators.families(spark))
-
-
-def _sql_rows(rows: list[tuple]) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows) + ")"
+    return generators.near_misses(_families(spark, d))
 
 
-@query(f"""WITH m AS (SELECT * FROM {_sql_rows(generators.MISSING_BRANDS)} v(id, brand, title, description)), v AS (SELECT * FROM {_sql_rows(generators.MISSING_VARIANTS)} v(base_id, title, description))
-  SELECT id AS product1_id, m.title AS product1_title, brand AS product1_brand, m.description AS product1_description, concat(id, '-alt') AS product2_id, v.title AS product2_title, brand AS product2_brand, v.description AS product2_description, 1 AS label
-  FROM v JOIN m ON base_id = id UNION ALL SELECT a.id, a.title, a.brand, a.description, b.id, b.title, b.brand, b.description, 0 FROM m a JOIN m b ON a.id < b.id""")
+@query(L + """, m AS (SELECT id::VARCHAR AS id, brand, title, description, split_part(title, ' ', 1) || ' ' || split_part(title, ' ', 2) AS name2, id AS n FROM l WHERE NOT contains(lower(title), lower(brand)))
+  SELECT id AS product1_id, title AS product1_title, brand AS product1_brand, description AS product1_description, concat(id, '-alt') AS product2_id, concat(brand, ': ', title) AS product2_title, brand AS product2_brand, description AS product2_description, 1 AS label
+  FROM m WHERE n % 4 = 1 UNION ALL SELECT a.id, a.title, a.brand, a.description, b.id, b.title, b.brand, b.description, 0 FROM m a JOIN m b ON a.brand = b.brand AND a.name2 = b.name2 AND a.id < b.id""")
 def missing_brand_pairs(spark, d):
-    return generators.missing_brand_pairs(*generators.missing_brands(spark))
+    # listings whose title does not name their brand; another wording of some names it
+    rows = listings(spark, d).where(~F.contains(F.lower("title"), F.lower("brand"))).withColumn("name2", F.substring_index("title", " ", 2))
+    reworded = rows.where("id % 4 = 1").select(F.col("id").alias("base_id"), F.concat("brand", F.lit(": "), "title").alias("title"))
+    return generators.missing_brand_pairs(rows, reworded, ["brand", "name2"])
 
 
 # ---- operators that no other query reaches ---------------------------------------------
