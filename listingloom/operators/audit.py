@@ -1,15 +1,28 @@
-"""How well brands are covered by a table's text cells."""
+"""How well brands are covered by a table's text cells.
+
+A brand list of any length is looked for in one scan: each brand is indexed under one of its
+runs of three characters, one that few brands and few cells hold, a cell asks the index for its
+own runs, and what it is offered is verified. The index is what is broadcast, in parts of a
+checked size; cells are never shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import let
 from ..schemas import SchemaError
 
 STATUS = ["MISSING", "THIN", "OK"]
-#: Brands whose counts share one pass over the cells.
-BRANDS_PER_PASS = 200
+#: Characters of a run that a brand is indexed under; shorter brands are indexed whole.
+GRAM = 3
+#: Bytes of brands that share one scan of the cells.
+INDEX_BYTES = 32 << 20
+#: Cells that tell which runs are frequent; more or fewer change the cost and no count.
+LOOK = 10_000
 
 
 def text_columns(columns: list[str]) -> list[str]:
@@ -20,25 +33,59 @@ def text_columns(columns: list[str]) -> list[str]:
     return found
 
 
-def coverage(df: DataFrame, brands: list[str], thin: int = 10) -> DataFrame:
+def grams(c: Column, n: int = GRAM) -> Column:
+    """The distinct runs of n characters, in time linear in the text."""
+
+    def runs(chars: Column) -> Column:
+        following = lambda i, k: F.get(chars, i + k)
+        return F.array_distinct(F.array_compact(F.transform(chars, lambda x, i: F.concat(x, *[following(i, k) for k in range(1, n)]))))
+
+    return let(F.split(c, ""), runs)
+
+
+def cells_of(df: DataFrame) -> DataFrame:
+    """cell: the lower-cased text cells of a table."""
+    cells = F.array(*[F.lower(F.col(c).cast("string")) for c in text_columns(df.columns)])
+    return df.select(F.explode(cells).alias("cell")).where("cell <> ''")
+
+
+def brand_index(names: DataFrame, cells: DataFrame) -> DataFrame:
+    """low, gram: each lower-cased brand under the run that the fewest sampled cells and brands hold."""
+    size = F.char_length("low")
+    runs = names.select("low", F.explode(F.when(size < GRAM, F.array("low")).otherwise(grams(F.col("low")))).alias("gram"))
+    seen = cells.limit(LOOK).select(F.explode(grams(F.col("cell"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("cells"))
+    held = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("brands"))
+    ranked = runs.join(held, "gram").join(seen, "gram", "left")
+    return ranked.groupBy("low").agg(F.min_by("gram", F.struct(F.coalesce("cells", F.lit(0)) * F.col("brands"), "brands", "gram")).alias("gram"))
+
+
+def mentions(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """low, mentions of the distinct lower-cased brands `low` that a cell holds."""
+    sizes = names.agg(F.sum(F.octet_length("low") + 16), F.min(F.char_length("low"))).first()
+    if sizes[0] is None:
+        return names.select("low", F.lit(0).cast("long").alias("mentions")).limit(0)
+    asked = [grams(F.col("cell"))] + [grams(F.col("cell"), n) for n in range(sizes[1], GRAM)]
+    offered = cells.select("cell", F.explode(F.concat(*asked)).alias("gram"))
+    index, parts = brand_index(names, cells), -(-sizes[0] // INDEX_BYTES)
+    found = []
+    for k in range(parts):
+        some = index if parts == 1 else index.where(F.pmod(F.xxhash64("low"), F.lit(parts)) == k)
+        met = offered.join(F.broadcast(some), "gram").where(F.contains("cell", "low"))
+        found.append(met.groupBy("low").agg(F.count(F.lit(1)).alias("mentions")))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def coverage(df: DataFrame, brands: list[str] | DataFrame, thin: int = 10) -> DataFrame:
     """brand, mentions, status: the cells that hold the brand, in any case.
 
-    One conditional count for each brand in a single scan, instead of a join of all cells
-    with all brands; a partial sum is all that is shuffled.
+    brands: names, or a table with a column `brand`; null, empty and repeated names count once
+    or not at all. A null cell mentions nothing.
     """
-    cells = [F.lower(F.col(c).cast("string")) for c in text_columns(df.columns)]
-    names = list(dict.fromkeys(brands))
-    out = None
-    for at in range(0, len(names), BRANDS_PER_PASS):
-        part = names[at : at + BRANDS_PER_PASS]
-        counts = []
-        for i, b in enumerate(part):
-            total = F.lit(0)
-            for c in cells:
-                total = total + F.when(F.contains(c, F.lit(b.lower())), 1).otherwise(0)
-            counts.append(F.coalesce(F.sum(total), F.lit(0)).cast("long").alias(f"n{i}"))
-        rows = df.agg(*counts).select(F.inline(F.array(*[F.struct(F.lit(b).alias("brand"), F.col(f"n{i}").alias("mentions")) for i, b in enumerate(part)])))
-        out = rows if out is None else out.union(rows)
+    if not isinstance(brands, DataFrame):
+        brands = df.sparkSession.createDataFrame([(b,) for b in brands], "brand string")
+    names = brands.select("brand").where("brand <> ''").distinct().withColumn("low", F.lower("brand"))
+    counted = names.join(mentions(cells_of(df), names.select("low").distinct()), "low", "left")
+    out = counted.select("brand", F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions"))
     status = F.when(F.col("mentions") == 0, "MISSING").when(F.col("mentions") < thin, "THIN").otherwise("OK")
     return out.withColumn("status", status)
 

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_paths, top_category
+from ..sources.sinks import work_folder
+
+
+def stored(*files: DataFrame, key: str = "id", buckets: int | None = None) -> list[DataFrame]:
+    """The files as tables in as many buckets of the key each, sorted by it, in the shared folder.
+
+    Each is shuffled once, when it is written; joins of them on the key exchange and sort
+    nothing after that. As many buckets as the session's shuffles have partitions, unless told.
+    """
+    out = []
+    for df in files:
+        spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.repartition(n, key)
+        dealt.write.bucketBy(n, key).sortBy(key).option("path", work_folder(spark, name)).format("parquet").saveAsTable(name)
+        out.append(spark.table(name))
+    return out
 
 
 def assemble(descriptions: DataFrame, titles: DataFrame, categories: DataFrame, brands: DataFrame) -> DataFrame:

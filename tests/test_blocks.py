@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from listingloom.operators import overlap, pairs, sampling, synth
+from listingloom.operators import catalog, overlap, pairs, sampling, synth
 from listingloom.sources import readers, sinks
 
 
@@ -124,3 +124,17 @@ def test_written_lines_keep_their_order(spark, tmp_path):
     sinks.write_lines(rows, str(tmp_path / "w"))
     assert len(list((tmp_path / "w").glob("part-*"))) == 5
     assert [r.value for r in readers.numbered(readers.lines(spark, str(tmp_path / "w"))).orderBy("line_no").collect()] == [str(i) for i in range(1000)]
+
+
+def test_stored_files_join_without_exchange(spark):
+    ids = spark.range(300).select("id", F.concat(F.lit("v"), "id").alias("value"))
+    paths = spark.range(0, 300, 2).select("id", F.array(F.lit("a, b")).alias("paths"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        d, t, c, b = catalog.stored(ids, ids.where("id % 3 = 0"), paths, ids.where("id % 5 = 0"), buckets=4)
+        rows = catalog.assemble(d, t, c, b)
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.id, r.brand) for r in rows.collect()) == [(i, f"v{i}" if i % 5 == 0 else "") for i in range(0, 300, 6)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -1,5 +1,8 @@
 """Metrics against hand-made values."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from listingloom.operators import audit, benchmarks, generators, metrics
@@ -39,6 +42,30 @@ def test_audit(spark):
     assert rows == [("None", 0, "MISSING"), ("x.y", 1, "THIN"), ("acme", 2, "OK")]
 
 
+@pytest.mark.parametrize("index_bytes", [40, 32 << 20])
+def test_audit_against_all_cells(spark, monkeypatch, index_bytes):
+    monkeypatch.setattr(audit, "INDEX_BYTES", index_bytes)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aAbé\U0001f600 ") for _ in range(r.randint(0, 7)))
+    cells = [(word() if i % 9 else None, word() * r.randint(1, 40)) for i in range(300)] + [("the same hot cell", "")] * 50
+    brands = sorted({word() for _ in range(60)} | {"a", "é", "ab", "\U0001f600", "same", "SAME", "hot cell", "none of these"}) + ["a", None, ""]
+    df = spark.createDataFrame(cells, "title string, description string")
+    got = {x.brand: x.mentions for x in audit.coverage(df, brands).collect()}
+    every = [c.lower() for row in cells for c in row if c]
+    assert got == {b: sum(b.lower() in c for c in every) for b in brands if b}
+    assert audit.coverage(df.limit(0), ["a"]).first()["status"] == "MISSING" and audit.coverage(df, [""]).count() == 0
+
+
+def test_audit_plan_has_one_scan_and_shuffles_no_cell(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("acme phone", "d")] * 9, "title string, description string").write.parquet(path)
+    names = spark.range(500).select(F.concat(F.lit("brand number "), "id").alias("brand")).withColumn("low", F.col("brand"))
+    index = spark.createDataFrame(audit.brand_index(names.select("low"), audit.cells_of(spark.read.parquet(path))).collect())
+    met = audit.cells_of(spark.read.parquet(path)).select("cell", F.explode(audit.grams(F.col("cell"))).alias("gram")).join(F.broadcast(index), "gram")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_benchmark_pairs(spark):
     a = benchmarks.product_fields(spark.createDataFrame([(i, f"tv  {i}", "d", "1") for i in range(30)], "id int, name string, description string, price string"), "abt")
     b = benchmarks.product_fields(spark.createDataFrame([(i, f"set {i}", "d", "m", "1") for i in range(30)], "id int, name string, description string, manufacturer string, price string"), "buy")
