@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import let
 from ..schemas import SchemaError
 
 STATUS = ["MISSING", "THIN", "OK"]
@@ -34,13 +33,8 @@ def text_columns(columns: list[str]) -> list[str]:
 
 
 def grams(c: Column, n: int = GRAM) -> Column:
-    """The distinct runs of n characters, in time linear in the text."""
-
-    def runs(chars: Column) -> Column:
-        following = lambda i, k: F.get(chars, i + k)
-        return F.array_distinct(F.array_compact(F.transform(chars, lambda x, i: F.concat(x, *[following(i, k) for k in range(1, n)]))))
-
-    return let(F.split(c, ""), runs)
+    """The distinct runs of n characters, in time linear in the text: a look ahead from each place."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def cells_of(df: DataFrame) -> DataFrame:

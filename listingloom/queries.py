@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import attributes, encoding, rules, similarity, text
-from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, overlap, pairs, prepare, ranking, sampling, synth
+from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, overlap, pairs, prepare, ranking, sampling, synth, vocabulary
 from .plans import training
 from .plans.compare import compare, spot_check as checked
 from .plans.scoring import ProbabilityScorer, RuleScorer
 from .sources import readers, sinks
+from .streaming import quality
 
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -323,6 +324,19 @@ def merge_dedupe(spark, d):
     return dedupe.merge_datasets([rows.where("label = 1"), rows]).select("product1_id", "product2_id", "label")
 
 
+@query(STRUCTURED + """ SELECT id1 AS product1_id, id2 AS product2_id, label FROM s WHERE lower(trim(t1)) <> lower(trim(t2))
+  QUALIFY row_number() OVER (PARTITION BY least(lower(trim(t1)), lower(trim(t2))), greatest(lower(trim(t1)), lower(trim(t2))) ORDER BY rn) = 1""")
+def stream_first(spark, d):
+    # the pairs' files as a stream, a file at a time and in no order; earlier winners are corrected
+    folder, out = sinks.work_folder(spark, "pair-files"), sinks.work_folder(spark, "stream-first")
+    rows = _structured(spark, d).select("product1_id", "product1_title", "product2_id", "product2_title", "label", F.col("_row").alias("row")).withColumn("ts", F.timestamp_seconds(F.col("row") % 3000 + 1_700_000_000))
+    rows.repartition(4, "row").write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    changes = quality.first_by_order(stream, "product1_title", "product2_title", ["row"], "ts")
+    changes.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return quality.latest(spark.read.parquet(f"{out}/rows")).select("product1_id", "product2_id", "label")
+
+
 @query("SELECT lang, source, text, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY lang, source, text HAVING count(*) > 1")
 def ordered_dedupe(spark, d):
     rows = table(spark, d, "documents").groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
@@ -1131,33 +1145,65 @@ def _sql_ids(words: str, n: str) -> str:
     return f"list_transform({words}[1:{n}], lambda w: (CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) % {most} + {first})::INT)"
 
 
-def _sql_encoded(length: int) -> str:
-    """Pairs of listings as ids; of the words, `x` of the first text and `y` of the second have room."""
+def _sql_laid_out(length: int, ids) -> str:
+    """t (product1_id, product2_id, u, v) as sequences; of the items, `x` of u and `y` of v have room."""
     room = length - 3
-    told = "replace({s}.title || ' ' || {s}.description, 'GB', ' GB')"
-    return f""", t AS (SELECT a.id AS product1_id, b.id AS product2_id, {_sql_pieces(told.format(s='a'))} AS u, {_sql_pieces(told.format(s='b'))} AS v FROM l a JOIN l b
-    ON split_part(a.title, ' ', 1) || ' ' || split_part(a.title, ' ', 2) = split_part(b.title, ' ', 1) || ' ' || split_part(b.title, ' ', 2) AND a.category = b.category AND a.id < b.id),
-  n AS (SELECT *, CASE WHEN len(u) + len(v) <= {room} THEN len(u) ELSE least(len(u), greatest({room} - len(v), {(room + 1) // 2})) END AS x FROM t), m AS (SELECT *, least(len(v), {room} - x) AS y FROM n)
-  SELECT product1_id, product2_id, array_to_string(list_concat([{encoding.START}], list_concat({_sql_ids('u', 'x')}, list_concat([{encoding.END}], list_concat({_sql_ids('v', 'y')}, [{encoding.END}])))), ' ') || repeat(' {encoding.PAD}', ({room} - x - y)::INT) AS ids,
+    return f"""n AS (SELECT *, CASE WHEN len(u) + len(v) <= {room} THEN len(u) ELSE least(len(u), greatest({room} - len(v), {(room + 1) // 2})) END AS x FROM t), m AS (SELECT *, least(len(v), {room} - x) AS y FROM n)
+  SELECT product1_id, product2_id, array_to_string(list_concat([{encoding.START}], list_concat({ids('u', 'x')}, list_concat([{encoding.END}], list_concat({ids('v', 'y')}, [{encoding.END}])))), ' ') || repeat(' {encoding.PAD}', ({room} - x - y)::INT) AS ids,
     repeat('0', (x + 2)::INT) || repeat('1', (y + 1)::INT) || repeat('0', ({room} - x - y)::INT) AS types, repeat('1', (x + y + 3)::INT) || repeat('0', ({room} - x - y)::INT) AS mask FROM m"""
 
 
-def _encoded(spark, d, length):
-    told = lambda k: F.replace(F.concat_ws(" ", f"product{k}_title", f"product{k}_description"), F.lit("GB"), F.lit(" GB"))
-    rows = _structured(spark, d).select("product1_id", "product2_id", encoding.encode_pair(told(1), told(2), length).alias("x"))
-    said = lambda c, by: F.array_join(F.col(f"x.{c}").cast("array<string>"), by)
+_SAME_NAME = "split_part(a.title, ' ', 1) || ' ' || split_part(a.title, ' ', 2) = split_part(b.title, ' ', 1) || ' ' || split_part(b.title, ' ', 2) AND a.category = b.category AND a.id < b.id"
+
+
+def _sql_encoded(length: int) -> str:
+    told = "replace({s}.title || ' ' || {s}.description, 'GB', ' GB')"
+    return f", t AS (SELECT a.id AS product1_id, b.id AS product2_id, {_sql_pieces(told.format(s='a'))} AS u, {_sql_pieces(told.format(s='b'))} AS v FROM l a JOIN l b ON {_SAME_NAME}), " + _sql_laid_out(length, _sql_ids)
+
+
+def _sequences(rows: DataFrame, x: str = "x") -> DataFrame:
+    said = lambda c, by: F.array_join(F.col(f"{x}.{c}").cast("array<string>"), by)
     return rows.select("product1_id", "product2_id", said("input_ids", " ").alias("ids"), said("token_type_ids", "").alias("types"), said("attention_mask", "").alias("mask"))
 
 
-@query(L + _sql_encoded(256))
+def _told() -> Column:
+    """What is encoded of a listing."""
+    return F.replace(F.concat_ws(" ", "title", "description"), F.lit("GB"), F.lit(" GB"))
+
+
+#: Words of the listings' vocabulary; rarer ones are unknown.
+_VOCABULARY = 64
+_SQL_WORDS = f""", pc AS (SELECT id, unnest(w) AS piece, unnest(range(len(w))) AS place FROM (SELECT id, {_sql_pieces("replace(title || ' ' || description, 'GB', ' GB')")} AS w FROM l)),
+  pn AS (SELECT piece, count(*) AS count FROM pc GROUP BY piece), voc AS (SELECT piece, count, (row_number() OVER (ORDER BY count DESC, piece) + {encoding.FIRST_ID - 1})::INT AS id FROM pn QUALIFY id < {_VOCABULARY})"""
+
+
+@query(L + _SQL_WORDS + f""", ids AS (SELECT pc.id, list(coalesce(voc.id, {encoding.UNKNOWN}) ORDER BY place) AS ids FROM pc LEFT JOIN voc USING (piece) GROUP BY pc.id),
+  t AS (SELECT a.id AS product1_id, b.id AS product2_id, x.ids AS u, y.ids AS v FROM l a JOIN l b ON {_SAME_NAME} JOIN ids x ON x.id = a.id JOIN ids y ON y.id = b.id), """ + _sql_laid_out(256, lambda c, n: f"{c}[1:{n}]"))
 def encoded_pairs(spark, d):
-    return _encoded(spark, d, 256)
+    # a listing is looked up once, however many pairs it is in
+    rows = listings(spark, d)
+    words = vocabulary.learn(rows, _told(), _VOCABULARY)
+    coded = rows.select("id", "category", F.substring_index("title", " ", 2).alias("_name")).join(vocabulary.encode(rows, "id", _told(), words), "id")
+    met = pairs.blocked_pairs(coded, ["_name", "category"])
+    return _sequences(met.select(F.col("a.id").alias("product1_id"), F.col("b.id").alias("product2_id"), encoding.join_pair(F.col("a.ids"), F.col("b.ids")).alias("x")))
+
+
+@query(L + _SQL_WORDS + " SELECT piece, count, id FROM voc")
+def vocabulary_pieces(spark, d):
+    return vocabulary.learn(listings(spark, d), _told(), _VOCABULARY)
+
+
+@query(L + _SQL_WORDS + " SELECT count(*) AS words, count(v.id) AS kept, sum(pn.count)::BIGINT AS pieces, (sum(pn.count) FILTER (v.id IS NOT NULL))::BIGINT AS known FROM pn LEFT JOIN voc v USING (piece)")
+def vocabulary_coverage(spark, d):
+    rows = listings(spark, d)
+    return vocabulary.covered(rows, _told(), vocabulary.learn(rows, _told(), _VOCABULARY))
 
 
 @query(L + _sql_encoded(20))
 def encoded_short_pairs(spark, d):
-    # most pairs do not fit
-    return _encoded(spark, d, 20)
+    # md5 ids; most pairs do not fit
+    told = lambda k: F.replace(F.concat_ws(" ", f"product{k}_title", f"product{k}_description"), F.lit("GB"), F.lit(" GB"))
+    return _sequences(_structured(spark, d).select("product1_id", "product2_id", encoding.encode_pair(told(1), told(2), 20).alias("x")))
 
 
 @query(f"SELECT doc_id, (r - 1) // 16 AS batch, ((r - 1) % 16)::INT AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY {_sql_order('42', 'doc_id')}, doc_id) AS r FROM labels)")

@@ -1,13 +1,17 @@
 """Quality rules and duplicate removal on streams of listings.
 
 Rules and labels are row-wise Column algebra, so they run on a stream as they are;
-unordered duplicates are dropped within a watermark, which bounds the state.
+unordered duplicates are dropped within a watermark, which bounds the state: the first to
+arrive stays, or, with `first_by_order`, the first in the rows' own order, whenever it arrives.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import quality_report
 from ..functions.text import unordered_key
@@ -29,6 +33,59 @@ def dedupe_stream(pairs: DataFrame, a: str, b: str, event_time: str, delay: str
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_a", "_b"]).drop("_a", "_b")
 
 
+#: What `first_by_order` adds.
+_VERSION, _KEY = "version", ["_a", "_b"]
+
+
+def first_by_order(pairs: DataFrame, a: str, b: str, order: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
+    """The first of each unordered pair by the columns `order`, whatever order the rows arrive in.
+
+    Equal sides go, and rows with a null in `order`. A key's state is its first row's order. When a
+    row that comes earlier arrives, it is put out with the next version; `latest` keeps each key's
+    last version. A key is forgotten `delay` after the latest event time that its rows have, so
+    state is bounded by the keys of that time; rows later than the delay are dropped. Columns: those of pairs, _a and _b (the key), version.
+    """
+    key = unordered_key(a, b)
+    rows = pairs.where(key["a"] != key["b"]).dropna(subset=[*order, event_time]).withColumn("_a", key["a"]).withColumn("_b", key["b"])
+    types = {f.name: f.dataType for f in rows.schema}
+    held = T.StructType([T.StructField(c, types[c]) for c in order] + [T.StructField("_version", T.IntegerType()), T.StructField("_until", T.LongType())])
+    out = T.StructType([*rows.schema.fields, T.StructField(_VERSION, T.IntegerType())])
+    wait = _milliseconds(delay)
+
+    def keep(_: tuple, frames: Iterator, state) -> Iterator:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *best, version, until = state.get if state.exists else (*[None] * len(order), 0, 0)
+        best, found = tuple(best) if version else None, None
+        for frame in frames:
+            until = max(until, int(frame[event_time].max().timestamp() * 1000) + wait)
+            first = frame.sort_values(order, kind="stable").head(1)
+            at = tuple(x.item() if hasattr(x, "item") else x for x in (first[c].iloc[0] for c in order))
+            if best is None or at < best:
+                best, found = at, first
+        if found is not None:
+            version += 1
+            yield found.assign(**{_VERSION: version})
+        state.update((*best, version, until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+
+    grouped = rows.withWatermark(event_time, delay).groupBy(*_KEY)
+    return grouped.applyInPandasWithState(keep, out, held, "append", "EventTimeTimeout")
+
+
+def latest(changes: DataFrame) -> DataFrame:
+    """Each key's last version of what `first_by_order` has put out, without its own columns."""
+    names = [c for c in changes.columns if c not in (*_KEY, _VERSION)]
+    kept = changes.groupBy(*_KEY).agg(F.max_by(F.struct(*names), _VERSION).alias("_row"))
+    return kept.select("_row.*")
+
+
+def _milliseconds(interval: str) -> int:
+    n, unit = interval.split()
+    return int(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+
+
 def severity_counts(listings: DataFrame, event_time: str, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Listings by severity in tumbling windows."""
     from ..functions.rules import issues, rank

@@ -20,3 +20,26 @@ def test_quality_and_dedupe_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("dedupe_out").count() == 1
+
+
+def test_first_by_order_corrects_earlier_winners(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    batches = [
+        [("x", "y", 5, at(0)), ("p", "q", 1, at(0)), ("same", "SAME ", 0, at(0))],
+        [("Y", "x", 3, at(1)), ("q", "p", 2, at(1)), ("r", "s", None, at(1))],
+        [("x", "Y ", 4, at(2)), ("y", "x", 1, at(2)), ("r", "s", 9, at(2)), ("s", "r", 8, at(2))],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "a string, b string, n int, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"k={k}"))
+    schema = "a string, b string, n int, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    changes = quality.first_by_order(stream, "a", "b", ["n"], "ts", "1 hour")
+    run = changes.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    kept = quality.latest(out)
+    assert kept.columns == ["a", "b", "n", "ts"]
+    assert sorted((r.a, r.b, r.n) for r in kept.collect()) == [("p", "q", 1), ("s", "r", 8), ("y", "x", 1)]
+    assert out.where("_a = 'x'").agg(F.max("version")).first()[0] >= 2  # corrected on the way, whatever file came first

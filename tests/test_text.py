@@ -100,3 +100,32 @@ def test_encode_pair(spark):
         rows = spark.createDataFrame(texts, "a string, b string").select("a", "b", encode_pair("a", "b", length).alias("x")).collect()
         for r in rows:
             assert (list(r.x.input_ids), list(r.x.token_type_ids), list(r.x.attention_mask)) == plain(r.a, r.b, length)
+
+
+def test_vocabulary_against_a_count(spark):
+    from collections import Counter
+
+    from listingloom.operators import vocabulary
+
+    texts = [(1, "b a a, c"), (2, None), (3, ""), (4, "A b! d"), (5, "a " * 500)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    split = {i: vocabulary_words(t) for i, t in texts}
+    counts = Counter(w for words in split.values() for w in words)
+    best = sorted(counts, key=lambda w: (-counts[w], w))
+    for size in (5, 6, 100):
+        words = vocabulary.learn(df, "t", size)
+        ids = {w: k + 4 for k, w in enumerate(best[: size - 4])}
+        assert {r.piece: (r.id, r["count"]) for r in words.collect()} == {w: (k, counts[w]) for w, k in ids.items()}
+        assert {r.id: list(r.ids) for r in vocabulary.encode(df, "id", "t", words).collect()} == {i: [ids.get(w, 3) for w in ws] for i, ws in split.items()}
+        assert tuple(vocabulary.covered(df, "t", words).first()) == (len(counts), len(ids), sum(counts.values()), sum(counts[w] for w in ids))
+    assert vocabulary.learn(df, "t", 100, least=2).count() == 2
+    empty = vocabulary.learn(df.limit(0), "t")
+    assert empty.count() == 0 and tuple(vocabulary.covered(df.limit(0), "t", empty).first()) == (0, 0, 0, 0)
+    with pytest.raises(ValueError):
+        vocabulary.learn(df, "t", 4)
+
+
+def vocabulary_words(t):
+    import re
+
+    return re.findall(r"[a-z0-9]+|[^a-z0-9\s]", (t or "").lower())
