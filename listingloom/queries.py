@@ -343,13 +343,13 @@ def ordered_dedupe(spark, d):
     return rows.where("copies > 1")
 
 
-_MAPPING = "m AS (SELECT DISTINCT l_partkey AS a_id, l_suppkey AS b_id FROM lineitem WHERE l_linenumber = 1)"
+_MAPPING = "m AS (SELECT DISTINCT l_partkey AS a_id, l_suppkey AS b_id FROM lineitem)"
 
 
 def _sources(spark, d):
     a = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("description"))
     b = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title"), F.lit("").alias("brand"), F.lit("").alias("description"))
-    m = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("a_id"), F.col("l_suppkey").alias("b_id")).distinct()
+    m = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a_id"), F.col("l_suppkey").alias("b_id")).distinct()
     return a, b, m
 
 
@@ -653,27 +653,28 @@ def brand_coverage(spark, d):
 
 
 def _files(spark, d):
-    """Id-keyed files made of customers: names, segments, and region / nation paths."""
+    """Id-keyed files of customers: names of those in credit, segments but one, balances of those with orders, region / nation paths."""
     c = table(spark, d, "customer")
     paths = c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     paths = paths.select(F.col("c_custkey").alias("id"), F.array(F.concat("r_name", F.lit(", "), "n_name", F.lit(", "), "c_mktsegment"), F.lit("All")).alias("paths"))
-    titles = c.where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value"))
-    brands = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value"))
-    descriptions = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("string").alias("value"))
+    titles = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value"))
+    brands = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value"))
+    ordering = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    descriptions = c.join(ordering, "c_custkey", "left_semi").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("string").alias("value"))
     return titles, paths, brands, descriptions
 
 
 FILES = "WITH f AS (SELECT c_custkey AS id, c_name AS title, c_mktsegment AS seg, c_acctbal, r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
-@query(FILES + " SELECT id, title, CASE WHEN id % 3 = 0 THEN seg ELSE '' END AS brand, r_name AS category FROM f WHERE id % 10 <> 0 AND id % 7 <> 0")
+@query(FILES + " SELECT id, title, CASE WHEN seg <> 'BUILDING' THEN seg ELSE '' END AS brand, r_name AS category FROM f WHERE c_acctbal > 0 AND id IN (SELECT o_custkey FROM orders)")
 def catalog_join(spark, d):
     # stored by id: the joins exchange nothing
     titles, paths, brands, descriptions = catalog.stored(*_files(spark, d))
     return catalog.assemble(descriptions, titles, paths, brands).select("id", "title", "brand", "category")
 
 
-@query(FILES + " SELECT id, title, CASE WHEN id % 3 = 0 THEN seg ELSE '' END AS brand, concat(r_name, ', ', n_name, ', ', seg, ' | All') AS category FROM f WHERE id % 10 <> 0 AND contains(lower(concat(r_name, ', ', n_name, ', ', seg, ' | All')), 'asia')")
+@query(FILES + " SELECT id, title, CASE WHEN seg <> 'BUILDING' THEN seg ELSE '' END AS brand, concat(r_name, ', ', n_name, ', ', seg, ' | All') AS category FROM f WHERE c_acctbal > 0 AND contains(lower(concat(r_name, ', ', n_name, ', ', seg, ' | All')), 'asia')")
 def category_filter(spark, d):
     titles, paths, brands, descriptions = _files(spark, d)
     return catalog.filter_dataset(titles, paths, brands, descriptions, ["Asia"]).select("id", "title", "brand", "category")
