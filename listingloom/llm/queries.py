@@ -54,7 +54,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(spark, language=secrets.language_of(docs)))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,39 @@
 """Secret scanning with a random forest that removes false positives.
 
-Patterns find candidates; each is described by its length, character shares and class
-transitions, dictionary coverage, path likeness and neighbouring words; a forest grown
-from labelled findings decides. The forest becomes nested CASE expressions, so scanning
-is one projection of built-in functions over each text: no shuffle, no Python.
+Patterns find candidates; each is described by its length, character shares, class
+transitions and how likely its letters follow each other, dictionary coverage, path likeness
+and neighbouring words; a forest grown from labelled findings decides. What a word is and which
+letter follows which is counted over the whole corpus (`language_of`). The forest becomes nested
+CASE expressions, so scanning is one projection of built-in functions over each text: no
+shuffle, no Python.
 
 Defined results: a null or empty text has no findings; findings of a text do not
 overlap and stand in order; repeated rows are scanned row by row; whole texts of any
-length are searched. Redaction keeps all columns and rows and replaces only the text.
+length are searched. Redaction keeps all columns and rows and replaces only the text. An empty
+table, or one without words, has no findings and no words; letter pairs are then all alike.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
+
 #: Score from which a candidate is a secret, and what stands in its place.
 CUT, MASK = 0.5, "[SECRET]"
 #: Characters on either side that count as neighbourhood.
 NEAR = 48
 TREES, DEPTH, LABELLED = 25, 6, 1600
+#: Words of the corpus that its dictionary holds (the most frequent), labelled findings of a table that are learned.
+WORDS, MOST_LABELLED = 4000, 50_000
 
 _KEY = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|private|auth|signing)[_-]?key)"
 #: From the start of a word to its end: one that holds a key name, up to the value. The name is
@@ -56,10 +65,75 @@ _BENIGN_NEAR = r"(?i)\b(?:example(?!\.(?:com|org|net))|sample|dummy|placeholder|
 _SECRET_NEAR = r"(?i)(?:pass(?:word|wd)?|secret|token|credential|auth|(?:api|access|private)[_ -]?key|login|bearer)"
 
 FEATURES = ["n", "digits", "upper", "lower", "other", "distinct", "transitions", "pairs", "dictionary", "vowels", "hex", "uuid",
-            "slashes", "extension", "assigned", "provider", "near_secret", "near_benign"]
+            "slashes", "extension", "assigned", "provider", "near_secret", "near_benign", "familiar", "likelihood"]
+#: Log2 of the chance of a letter after another where nothing is known, in thousandths: sums of
+#: whole numbers are the same in any order, so no split lies between roundings.
+UNKNOWN = round(1000 * math.log2(1 / 26))
+#: Pieces of a value that may be words.
+_PARTS = "[A-Z]?[a-z]{2,}|[A-Z]{3,}"
+
+
+class Language(NamedTuple):
+    """Words of a corpus, lower-case, and log2 chances of a letter after another in thousandths, 26 rows of 26."""
+
+    words: list[str]
+    chances: list[int]
+
+
+class Forest(list):
+    """Trees, and the language that their features are told by."""
+
+    def __init__(self, trees: list, language: Language):
+        super().__init__(trees)
+        self.language = language
+
+
+def _language(words: list[str], pairs: dict[str, int]) -> Language:
+    letters = [chr(97 + i) for i in range(26)]
+    total = {a: sum(pairs.get(a + b, 0) for b in letters) for a in letters}
+    return Language(words, [round(1000 * math.log2((pairs.get(a + b, 0) + 1) / (total[a] + 26))) for a in letters for b in letters])
+
+
+def language_of(docs: DataFrame, text: str = "text", words: int = WORDS) -> Language:
+    """The most frequent words and the letter pairs of all texts.
+
+    A word is three to 24 letters between white space, with punctuation after it at most, so
+    parts of keys and paths are none. All words are counted, combined in each task before they are
+    shuffled; the driver gets `words` of them and at most 676 pairs.
+    """
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\S)\p{L}{3,24}(?=[.,;:!?]*+(?!\S))"), F.lit(0))
+    counted = materialize(docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    top = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair")
+    pairs = counted.select(pair, "n").where(F.col("pair").rlike("^[a-z]{2}$")).groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    discard(counted)
+    return _language(sorted(top), {r["pair"]: r["n"] for r in pairs})
+
+
+def _familiar(v: Column, n: Column, words: list[str]) -> Column:
+    """Share of a value's characters in words of the corpus."""
+    parts = F.transform(F.regexp_extract_all(v, F.lit(_PARTS), F.lit(0)), F.lower)
+    known = F.filter(parts, lambda w: w.isin(words)) if words else F.array().cast("array<string>")
+    return F.aggregate(known, F.lit(0), lambda s, w: s + F.length(w)) / n
+
+
+def _likelihood(low: Column, chances: list[int]) -> Column:
+    """Mean log2 chance of the letters of a value that follow a letter."""
+    table = F.split(F.lit(",".join(map(str, chances))), ",").cast("array<long>")
+    letter = lambda c: (c >= 0) & (c < 26)
+
+    def mean(codes: Column) -> Column:
+        n = F.size(codes) - 1
+        steps = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.when(letter(a) & letter(b), F.get(table, a * 26 + b)))
+        none = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
+        added = lambda t, x: F.struct((t["s"] + F.coalesce(x, F.lit(0))).alias("s"), (t["n"] + x.isNotNull().cast("int")).alias("n"))
+        return F.aggregate(steps, none, added, lambda t: F.when(t["n"] > 0, t["s"] / t["n"]).otherwise(F.lit(float(UNKNOWN))))
+
+    # one element, so that its codes are made once
+    return F.element_at(F.transform(F.array(F.transform(F.split(low, ""), lambda c: F.ascii(c) - 97)), mean), 1)
 
 
-def _features(v: Column, raw: Column, before: Column, after: Column) -> Column:
+def _features(v: Column, raw: Column, before: Column, after: Column, language: Language) -> Column:
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
     low = F.lower(v)
     count = lambda c, p: F.regexp_count(c, F.lit(p)).cast("double")
@@ -79,17 +153,19 @@ def _features(v: Column, raw: Column, before: Column, after: Column) -> Column:
         count(v, "/").alias("slashes"), flag(v.rlike(r"(?i)\.(?:py|js|ts|json|ya?ml|xml|html?|txt|md|png|jpe?g|svg|css|java|c|h|go|rs)$|^\w+://")).alias("extension"),
         flag(raw.rlike(_ASSIGNED)).alias("assigned"), flag(v.rlike(_PROVIDER)).alias("provider"),
         flag(near.rlike(_SECRET_NEAR)).alias("near_secret"), flag(near.rlike(_BENIGN_NEAR)).alias("near_benign"),
+        _familiar(v, n, language.words).alias("familiar"), _likelihood(low, language.chances).alias("likelihood"),
     )
 
 
-def labelled_findings(seed: int = 11) -> list[tuple[str, str, str, int]]:
-    """(before, match, after, label): findings of known kinds, half of them secrets."""
+def labelled_findings(seed: int = 11, words: list[str] | None = None) -> list[tuple[str, str, str, int]]:
+    """(before, match, after, label): findings of known kinds, half of them secrets. Half of the words
+    in harmless ones are of `words`."""
     r = random.Random(seed)
     of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
     hexa, upper, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     digits, keys = "0123456789", ["password", "token", "secret", "api_key", "access_key", "auth_key", "pwd"]
     plain = ["the report was read by", "we then went on and", "see below for more", "und dann kam der", "la casa de la", "it is not that"]
-    word = lambda: r.choice(DICTIONARY)
+    word = lambda: r.choice(words) if words and r.random() < 0.5 else r.choice(DICTIONARY)
     joiner = lambda: r.choice(["=", " = ", ": ", '="', ' = "'])
 
     def real() -> tuple[str, str]:
@@ -162,11 +238,18 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int):
     return f, cut, _grow(x[low], y[low], rng, depth - 1), _grow(x[~low], y[~low], rng, depth - 1)
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None, seed: int = 5) -> list:
-    """The trees of a forest grown from labelled findings (a bounded list)."""
-    rows = findings if findings is not None else labelled_findings()
-    df = spark.createDataFrame(rows, "before string, raw string, after string, label int")
-    df = df.select("label", _features(_value("raw"), F.col("raw"), F.col("before"), F.col("after")).alias("f")).select("label", "f.*")
+def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | DataFrame | None = None, seed: int = 5, language: Language | None = None) -> Forest:
+    """A forest grown from labelled findings: a list, or a table (before, raw, after, label) of which
+    at most MOST_LABELLED rows are learned, by md5. Without any they are made (`labelled_findings`),
+    without a language it is that of the built-in words."""
+    language = language or _language(sorted(DICTIONARY), {})
+    if isinstance(findings, DataFrame):
+        key = F.md5(F.concat_ws("|", "before", "raw", "after"))
+        df = findings.where("raw is not null and label is not null").select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("before", "raw", "after")], F.col("label").cast("int")).orderBy(key, "label").limit(MOST_LABELLED)
+    else:
+        rows = findings if findings is not None else labelled_findings(words=[w for w in language.words if w not in DICTIONARY])
+        df = spark.createDataFrame(rows, "before string, raw string, after string, label int")
+    df = df.select("label", _features(_value("raw"), F.col("raw"), F.col("before"), F.col("after"), language).alias("f")).select("label", "f.*")
     got = df.collect()
     x = np.array([[r[f] for f in FEATURES] for r in got], float)
     y = np.array([r["label"] for r in got], float)
@@ -174,7 +257,7 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None
     for _ in range(TREES):
         pick = rng.integers(0, len(y), len(y))
         trees.append(_grow(x[pick], y[pick], rng, DEPTH))
-    return trees
+    return Forest(trees, language)
 
 
 def _sql(tree, of: str) -> str:
@@ -196,7 +279,7 @@ def possible(text: Column) -> Column:
     return reduce(or_, begins, text.contains("=") | text.contains(":") | text.rlike("[0-9]"))
 
 
-def _with_findings(docs: DataFrame, trees: list, text: str) -> DataFrame:
+def _with_findings(docs: DataFrame, trees: Forest, text: str) -> DataFrame:
     """Adds _pieces (texts between matches), _raw (matches) and _found (findings)."""
     none = F.array().cast("array<string>")
     out = docs.withColumn("_raw", F.when(possible(F.col(text)), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none))
@@ -219,7 +302,7 @@ def _with_findings(docs: DataFrame, trees: list, text: str) -> DataFrame:
     value = lambda x: F.regexp_replace(x["raw"], _ASSIGNED, "")
     out = out.withColumn("_found", F.transform("_found", lambda x: F.struct(
         x["at"].alias("at"), x["raw"].alias("raw"), value(x).alias("value"), kind(x["raw"]).alias("kind"),
-        _features(value(x), x["raw"], x["before"], x["after"]).alias("f"),
+        _features(value(x), x["raw"], x["before"], x["after"], trees.language).alias("f"),
     )))
     votes = " + ".join(_sql(t, "x.f") for t in trees)
     return out.withColumn("_found", F.expr(
@@ -227,7 +310,7 @@ def _with_findings(docs: DataFrame, trees: list, text: str) -> DataFrame:
     ))
 
 
-def scan(docs: DataFrame, trees: list, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, trees: Forest, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start and n_chars of the value in characters, kind, score, is_secret: a row for each candidate."""
     found = _with_findings(docs.where(possible(F.col(text))).select(key, text), trees, text)
     rows = found.where(F.size("_raw") > 0).select(key, F.explode("_found").alias("x"))
@@ -238,7 +321,7 @@ def scan(docs: DataFrame, trees: list, key: str = "doc_id", text: str = "text")
     )
 
 
-def redact(docs: DataFrame, trees: list, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, trees: Forest, text: str = "text") -> DataFrame:
     """docs with each secret's value replaced by MASK; other columns and rows as they are."""
     names = docs.columns
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").alias("_text"))
