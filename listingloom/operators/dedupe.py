@@ -46,12 +46,13 @@ def unique_products(pairs: DataFrame, order: str) -> DataFrame:
 
 def merge_datasets(files: list[DataFrame], order: str | None = None) -> DataFrame:
     """Structured pair files stacked, incomplete rows dropped, unordered duplicates resolved to
-    the earliest file and row. Each frame needs a row-number column `order`."""
+    the earliest file and row. Each frame needs a column `order` that orders its rows; a column
+    `source` that all frames have tells of each row that stays where it comes from."""
     from ..schemas import STRUCTURED, require
 
     if len(files) < 2:
         raise ValueError("merging takes two inputs or more")
-    names = STRUCTURED.fieldNames()
+    names = STRUCTURED.fieldNames() + (["source"] if all("source" in f.columns for f in files) else [])
     for i, f in enumerate(files):
         require(f.columns, names, f"input {i}")
     at = order or "_row"

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from .functions import attributes, encoding, rules, similarity, text
 from .operators import audit, benchmarks, catalog, dedupe, generators, metrics, overlap, pairs, prepare, ranking, sampling, synth, vocabulary
 from .plans import training
@@ -324,6 +325,21 @@ def merge_dedupe(spark, d):
     return dedupe.merge_datasets([rows.where("label = 1"), rows]).select("product1_id", "product2_id", "label")
 
 
+@query(STRUCTURED + """, f AS (SELECT *, 'positives' AS source, 0 AS file FROM s WHERE label = 1 UNION ALL SELECT *, 'all', 1 FROM s)
+  SELECT id1 AS product1_id, id2 AS product2_id, label, source FROM f WHERE lower(trim(t1)) <> lower(trim(t2)) AND t1 <> '' AND t2 <> ''
+  QUALIFY row_number() OVER (PARTITION BY least(lower(trim(t1)), lower(trim(t2))), greatest(lower(trim(t1)), lower(trim(t2))) ORDER BY file, rn) = 1""")
+def merged_files(spark, d):
+    # two folders of pairs, several files each: the first row of the first folder stays and says which it was
+    rows = _structured(spark, d)
+    names = schemas.STRUCTURED.fieldNames()
+    files = []
+    for name, part in (("positives", rows.where("label = 1")), ("all", rows)):
+        folder = sinks.work_folder(spark, name)
+        sinks.write_csv(part.repartitionByRange(4, "_row").sortWithinPartitions("_row").select(*names), folder)
+        files.append(readers.read_sourced(spark, folder, schemas.STRUCTURED, name))
+    return dedupe.merge_datasets(files).select(*[F.col(c).cast("long").alias(c) for c in ("product1_id", "product2_id")], "label", "source")
+
+
 @query(STRUCTURED + """ SELECT id1 AS product1_id, id2 AS product2_id, label FROM s WHERE lower(trim(t1)) <> lower(trim(t2))
   QUALIFY row_number() OVER (PARTITION BY least(lower(trim(t1)), lower(trim(t2))), greatest(lower(trim(t1)), lower(trim(t2))) ORDER BY rn) = 1""")
 def stream_first(spark, d):
@@ -1015,6 +1031,14 @@ def gated_relationships(spark, d):
     return pairs.generate_relationships(_structured(spark, d).drop("_row")).select("product1_id", "product2_id", "relationship_label")
 
 
+@query(ISSUES + f""", s AS (SELECT a.id AS product1_id, b.id AS product2_id, {_sql_relationship('(a.id % 2)')} AS relationship_label FROM p a JOIN p b ON a.name2 = b.name2 AND a.category = b.category AND a.id < b.id),
+  t AS (SELECT * FROM s ORDER BY {_sql_order('42', 'product1_id', 'product2_id')}, product1_id, product2_id LIMIT 400)
+  SELECT t.* FROM t JOIN q x ON x.id = product1_id JOIN q y ON y.id = product2_id WHERE x.max_severity <> 'high' AND y.max_severity <> 'high'""")
+def sampled_relationships(spark, d):
+    # a sample of the pairs is drawn first; then those that contradict themselves go
+    return pairs.generate_relationships(_structured(spark, d).drop("_row"), sample_rows=400).select("product1_id", "product2_id", "relationship_label")
+
+
 # ---- files: written and read back ------------------------------------------------------
 
 _CELLS = "id, nullif(title, '') AS title, nullif(brand, '') AS brand, nullif(description, '') AS description"
