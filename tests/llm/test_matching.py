@@ -87,6 +87,16 @@ def test_large_cluster_is_cut_into_blocks(spark, documents, monkeypatch):
     assert joined(documents(rows)) == brute(rows)
 
 
+def test_chains_of_phrases_bring_no_whole_sets_together(spark, documents):
+    # each text shares a phrase with the next one: all are chained, next to none are near
+    phrase = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(41)]
+    apart = [f"{phrase[k]} {phrase[k + 1]} " + " ".join(f"w{k}x{i}" for i in range(70)) for k in range(40)]
+    rows = list(enumerate(apart + near_copies(5, 150, 6, 2)))
+    described, nodes = shingle_join.named(shingle_join.materialize(shingle_join.describe(documents(rows), 11), "described"))
+    wide = shingle_join.clusters(shingle_join.candidates(described)).count()
+    assert wide >= 30 and shingle_join.near_clusters(described, nodes).count() <= 16
+
+
 def test_rows_without_ids_carry_links(spark, documents):
     base = [f"w{i}" for i in range(120)]
     bridge = [*base[:60], "a", "b", *base[62:]]
