@@ -60,7 +60,7 @@ def first_by_order(pairs: DataFrame, a: str, b: str, order: list[str], event_tim
         best, found = tuple(best) if version else None, None
         for frame in frames:
             until = max(until, int(frame[event_time].max().timestamp() * 1000) + wait)
-            first = frame.sort_values(order, kind="stable").head(1)
+            first = frame if len(frame) == 1 else frame.sort_values(order, kind="stable").head(1)
             at = tuple(x.item() if hasattr(x, "item") else x for x in (first[c].iloc[0] for c in order))
             if best is None or at < best:
                 best, found = at, first
