@@ -138,3 +138,20 @@ def test_stored_files_join_without_exchange(spark):
         assert sorted((r.id, r.brand) for r in rows.collect()) == [(i, f"v{i}" if i % 5 == 0 else "") for i in range(0, 300, 6)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_overlaps_are_counted_where_products_meet(spark):
+    from pyspark.sql import functions as F
+
+    from listingloom.operators import overlap
+
+    rows = spark.range(40).select("id", F.concat(F.lit("b"), F.col("id") % 3).alias("brand"), F.lit("c").alias("cat"), F.transform(F.sequence(F.col("id") % 5, F.col("id") % 5 + 6), lambda t: t.cast("long")).alias("_tokens"))
+    made = overlap.band_join(rows, "cat", 0.5, 0.9)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # no pair is joined to its products again, and the counts of tokens are not broadcast
+    assert not [x for x in plan.splitlines() if "Join" in x and ("_i#" in x or "_j#" in x)]
+    assert "rightHint=(strategy=merge)" in plan
+    sets = {r.id: (r.brand, set(r._tokens)) for r in rows.collect()}
+    share = lambda i, j: len(sets[i][1] & sets[j][1]) / len(sets[i][1] | sets[j][1])
+    want = [(i, j, share(i, j)) for i in sets for j in sets if i < j and sets[i][0] != sets[j][0] and 0.5 <= share(i, j) < 0.9]
+    assert sorted(map(tuple, made.collect())) == sorted(want)
