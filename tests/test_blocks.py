@@ -155,3 +155,11 @@ def test_overlaps_are_counted_where_products_meet(spark):
     share = lambda i, j: len(sets[i][1] & sets[j][1]) / len(sets[i][1] | sets[j][1])
     want = [(i, j, share(i, j)) for i in sets for j in sets if i < j and sets[i][0] != sets[j][0] and 0.5 <= share(i, j) < 0.9]
     assert sorted(map(tuple, made.collect())) == sorted(want)
+
+
+def test_sample_of_many_is_the_sample(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 7).alias("x"))
+    want = sorted(map(tuple, sampling.sample(df, 50, 42, "id", "x").collect()))
+    # the count may be far off; a bound that keeps too few is not believed
+    for count in (0, 200, 20_000, 40_000, 10_000_000, 10**15):
+        assert sorted(map(tuple, sampling.sample_of_many(df, 50, count, 42, "id", "x").collect())) == want
