@@ -152,6 +152,42 @@ def test_components(spark):
     assert connected_components(df.limit(0), "t").count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks_and_rounds(spark, monkeypatch):
+    from listingloom.llm import common
+
+    written, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: written.append(write(df, label)) or written[-1])
+    monkeypatch.setattr(common, "discard", lambda df: None)
+    order = random.Random(5).sample(range(3000), 3000)
+    df = spark.createDataFrame(list(zip(order[:-1], order[1:])), "a long, b long").repartition(5)
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert {(r["node"], r["component"]) for r in connected_components(df, "t").collect()} == {(i, 0) for i in range(3000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written) <= 4 and all(len(w.inputFiles()) == 1 for w in written[1:])
+
+
+def test_contracted_edges_keep_components(spark, monkeypatch):
+    from listingloom.llm import common
+
+    draw = random.Random(3)
+    edges = [(draw.randrange(900), draw.randrange(900)) for _ in range(500)]
+    monkeypatch.setattr(common, "ROWS_OF_A_TASK", 60)
+    monkeypatch.setattr(common, "EDGES_AT_ONCE", 25)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    least = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert {r["node"]: r["component"] for r in connected_components(df, "t").collect()} == least
+
+
 def brute_leaks(docs, items):
     split = {i: decontaminate.words_of(t) for i, t in items}
     bags = {i: Counter(tuple(w[j : j + min(5, len(w))]) for j in range(len(w) - min(5, len(w)) + 1)) for i, w in split.items() if w}
