@@ -70,6 +70,11 @@ class Pool:
         return self.data[np.repeat(begin - ends + lengths, lengths) + np.arange(whole)], lengths
 
 
+def texts_of(names: pa.Array) -> list[str]:
+    """The strings of an array without nulls; by way of numpy no Arrow scalar is made for each."""
+    return names.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk between ASCII white space, each distinct one once.
 
@@ -111,7 +116,7 @@ class ChunkEncoder:
         del coded
         run, pool, get, fresh_at = np.zeros(len(names), np.int64), self.pool, self.known.get, []
         for at in range(0, len(names), CHUNKS_AT_ONCE):
-            block = names.slice(at, CHUNKS_AT_ONCE).to_pylist()
+            block = texts_of(names.slice(at, CHUNKS_AT_ONCE))
             found = np.array([get(c, -1) for c in block])
             fresh = np.flatnonzero(found < 0)
             if len(fresh):
@@ -130,7 +135,7 @@ class ChunkEncoder:
         else:
             kept = np.concatenate(fresh_at) if fresh_at else np.zeros(0, np.int64)
             kept = kept[again[kept]]
-        self.known |= {c: r for c, r in zip(names.take(pa.array(kept)).to_pylist(), run[kept].tolist(), strict=True) if len(c) <= LONGEST}
+        self.known |= {c: r for c, r in zip(texts_of(names.take(pa.array(kept))), run[kept].tolist(), strict=True) if len(c) <= LONGEST}
         self.pool = Pool()
         self.pool.add(*pool.take(np.fromiter(self.known.values(), np.int64, len(self.known))))
         self.known = dict(zip(self.known, range(len(self.known)), strict=True))

@@ -20,6 +20,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -156,14 +157,15 @@ class LibraryEncoder(ChunkEncoder):
         self.library.no_padding()
 
     def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        groups = [chunks[at : at + LINES] for at in range(0, len(chunks), LINES)]
-        ids, counts = [], []
-        for lines, found in zip(groups, self.library.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids.append(np.array(found.ids, np.uint32))
-            stops = np.cumsum([len(x) + 1 for x in lines])
-            begins = np.fromiter((begin for begin, _ in found.offsets), np.int64, len(ids[-1]))
-            counts.append(np.bincount(np.searchsorted(stops, begins, "right"), minlength=len(lines)))
-        return np.concatenate(ids), np.concatenate(counts)
+        found = self.library.encode_batch(["\n".join(chunks[at : at + LINES]) for at in range(0, len(chunks), LINES)], add_special_tokens=False)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        whole = int(sizes.sum())
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32, whole)
+        # begins and ends by turns; a text's places go on where those of the text before it end
+        begins = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets for x in found)), np.int64, 2 * whole)[::2]
+        stops = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        begins = begins + np.repeat(np.append(0, stops[LINES - 1 : -1 : LINES])[: len(found)], sizes)
+        return ids, np.bincount(np.searchsorted(stops, begins, "right"), minlength=len(chunks))
 
 
 _encoders: dict[int, LibraryEncoder] = {}

@@ -96,3 +96,18 @@ def test_random_access(high):
         assert got[0] == doc and (got[2] == ids).all()
     with pytest.raises(IndexError):
         f.token(len(flat))
+
+
+def test_a_token_costs_the_library_encoder_no_python_call():
+    import cProfile
+    import pstats
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        enc = token_files.LibraryEncoder(f.read())
+    chunks = [f"{'Straße' * (i % 9)}{i * i}<|endoftext|>é{chr(0x4E00 + i)}" if i % 3 else "x" * (i % 70 + 1) for i in range(3 * token_files.LINES)]
+    for n in (1, token_files.LINES, token_files.LINES + 1, len(chunks)):
+        seen = cProfile.Profile()
+        ids, counts = seen.runcall(enc.learn, chunks[:n])
+        each = [enc.library.encode(c, add_special_tokens=False).ids for c in chunks[:n]]
+        assert ids.tolist() == sum(each, []) and counts.tolist() == [len(x) for x in each]
+    assert pstats.Stats(seen).total_calls < len(ids) // 2
