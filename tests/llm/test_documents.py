@@ -116,6 +116,24 @@ def test_threshold_is_in_the_gap():
     assert 0.1 < toxicity.threshold(odd, np.concatenate([np.ones(101), np.zeros(300)])) < 0.9
 
 
+def test_toxicity_takes_every_labelled_row(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity.examples(docs, labels, F.lit(True)).count() == 4000
+    # several parts: each has words of its own, and the model knows those of all parts
+    monkeypatch.setattr(toxicity, "ROWS_OF_A_PART", 500)
+    rows = spark.createDataFrame([(i, y, t) for i, (t, y) in enumerate(toxic_rows(1600))], "doc_id long, toxic int, text string")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))
+    rows = rows.withColumn("text", F.concat("text", F.lit(" part"), part))
+    assert rows.count() == 1600
+    model = toxicity.train(rows)
+    for k in range(4):
+        assert model.table[toxicity.buckets_of(f"part{k}".encode())[0]].any()
+    got = toxicity.score(rows.select("doc_id", "text"), model).join(rows, "doc_id").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0]
+    assert got > 0.95
+    assert toxicity.train(rows.where("toxic = 1")) is None
+
+
 def brute_toxicity(model, text):
     """One text's score, word by word and place by place."""
     words = toxicity.words_of(text)
