@@ -237,7 +237,8 @@ def missing_brand_pairs(products: DataFrame, variants: DataFrame, by: list[str]
     base = products.select(whole.alias("a"))
     said = F.col("description") if "description" in variants.columns else F.lit(None).cast("string")
     v = variants.select("base_id", F.col("title").alias("alt"), said.alias("alt_description"))
-    positives = v.join(base, F.col("base_id").cast("string") == F.col("a.id")).select(
+    # variants grow with the products: they are not broadcast, however small their bytes on disk look
+    positives = v.hint("merge").join(base, F.col("base_id").cast("string") == F.col("a.id")).select(
         *sides("a", [F.concat("a.id", F.lit("-alt")).alias("product2_id"), F.col("alt").alias("product2_title"), F.col("a.brand").alias("product2_brand"), F.coalesce("alt_description", "a.description").alias("product2_description")]), F.lit(1).alias("label")
     )
     negatives = triangular(products.select("id", "title", "brand", "description", *[c for c in by or [] if c not in ("id", "title", "brand", "description")]), "id", by).select(
