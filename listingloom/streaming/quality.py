@@ -7,6 +7,7 @@ arrive stays, or, with `first_by_order`, the first in the rows' own order, whene
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -35,43 +36,58 @@ def dedupe_stream(pairs: DataFrame, a: str, b: str, event_time: str, delay: str
 
 #: What `first_by_order` adds.
 _VERSION, _KEY = "version", ["_a", "_b"]
+#: Groups that the keys of `first_by_order` are dealt to.
+BUCKETS = 512
 
 
-def first_by_order(pairs: DataFrame, a: str, b: str, order: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
+def first_by_order(pairs: DataFrame, a: str, b: str, order: list[str], event_time: str, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """The first of each unordered pair by the columns `order`, whatever order the rows arrive in.
 
     Equal sides go, and rows with a null in `order`. A key's state is its first row's order. When a
     row that comes earlier arrives, it is put out with the next version; `latest` keeps each key's
     last version. A key is forgotten `delay` after the latest event time that its rows have, so
-    state is bounded by the keys of that time; rows later than the delay are dropped. Columns: those of pairs, _a and _b (the key), version.
+    state is bounded by the keys of that time; rows later than the delay are dropped. Keys are dealt to
+    `buckets` by hash, and those of a bucket share a state and a call. Columns: those of pairs, _a and _b (the key), version.
     """
     key = unordered_key(a, b)
     rows = pairs.where(key["a"] != key["b"]).dropna(subset=[*order, event_time]).withColumn("_a", key["a"]).withColumn("_b", key["b"])
-    types = {f.name: f.dataType for f in rows.schema}
-    held = T.StructType([T.StructField(c, types[c]) for c in order] + [T.StructField("_version", T.IntegerType()), T.StructField("_until", T.LongType())])
-    out = T.StructType([*rows.schema.fields, T.StructField(_VERSION, T.IntegerType())])
-    wait = _milliseconds(delay)
+    names, out = rows.columns, T.StructType([*rows.schema.fields, T.StructField(_VERSION, T.IntegerType())])
+    held = T.StructType([T.StructField("_known", T.BinaryType())])
+    until = F.unix_millis(F.col(event_time)) + _milliseconds(delay)
+    rows = rows.withWatermark(event_time, delay).withColumn("_until", until).withColumn("_bucket", F.pmod(F.xxhash64(*_KEY), F.lit(buckets)))
 
     def keep(_: tuple, frames: Iterator, state) -> Iterator:
-        if state.hasTimedOut:
+        # key -> its first row's order, version, until
+        known, found, parts = pickle.loads(state.get[0]) if state.exists else {}, {}, []
+        for n, frame in enumerate(frames):
+            for i, (at, k, end) in enumerate(zip(*[zip(*[frame[c].tolist() for c in cs], strict=True) for cs in (order, _KEY)], frame["_until"].tolist(), strict=True)):
+                best = known.get(k)
+                if best is None:
+                    known[k], found[k] = [at, 0, end], (n, i)
+                    continue
+                best[2] = max(best[2], end)
+                if at < best[0]:
+                    best[0], found[k] = at, (n, i)
+            # of each frame only what may be put out is held
+            places = {i: k for k, (m, i) in found.items() if m == n}
+            parts.append((list(places.values()), frame[names].iloc[list(places)]))
+        for n, (keys, part) in enumerate(parts):
+            still = [found[k][0] == n for k in keys]
+            versions = []
+            for k in (k for k, s in zip(keys, still, strict=True) if s):
+                known[k][1] += 1
+                versions.append(known[k][1])
+            if versions:
+                yield part[still].assign(**{_VERSION: versions})
+        now = state.getCurrentWatermarkMs()
+        known = {k: best for k, best in known.items() if best[2] >= now}
+        if known:
+            state.update((pickle.dumps(known, pickle.HIGHEST_PROTOCOL),))
+            state.setTimeoutTimestamp(max(min(best[2] for best in known.values()), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        *best, version, until = state.get if state.exists else (*[None] * len(order), 0, 0)
-        best, found = tuple(best) if version else None, None
-        for frame in frames:
-            until = max(until, int(frame[event_time].max().timestamp() * 1000) + wait)
-            first = frame if len(frame) == 1 else frame.sort_values(order, kind="stable").head(1)
-            at = tuple(x.item() if hasattr(x, "item") else x for x in (first[c].iloc[0] for c in order))
-            if best is None or at < best:
-                best, found = at, first
-        if found is not None:
-            version += 1
-            yield found.assign(**{_VERSION: version})
-        state.update((*best, version, until))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-
-    grouped = rows.withWatermark(event_time, delay).groupBy(*_KEY)
-    return grouped.applyInPandasWithState(keep, out, held, "append", "EventTimeTimeout")
+
+    return rows.groupBy("_bucket").applyInPandasWithState(keep, out, held, "append", "EventTimeTimeout")
 
 
 def latest(changes: DataFrame) -> DataFrame:
