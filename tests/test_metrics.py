@@ -84,3 +84,21 @@ def test_generators(spark):
     products = spark.range(12).select(F.col("id"), F.concat(F.lit("t"), "id").alias("title"), F.lit("b").alias("brand"), F.lit("d").alias("description"))
     made = generators.missing_brand_pairs(products, products.where("id < 3").select(F.col("id").alias("base_id"), F.upper("title").alias("title")))
     assert made.where("label = 1").count() == 3 and made.where("label = 0").count() == 66
+
+
+def test_first_gold_pairs_meet_by_titles(spark):
+    from listingloom.operators import dedupe
+
+    side = lambda n, word: spark.createDataFrame([(str(i), f"{word if i % 3 else 'T'}{i % 5}" if i % 7 else "", "b", "long description") for i in range(n)], "id string, title string, brand string, description string")
+    a, b = side(60, "t"), side(30, "S")
+    m = spark.createDataFrame([((i * 7) % 61, (i * 5) % 31) for i in range(400)] * 2, "x int, y int")
+    key = ["product1_id", "product2_id"]
+    want = dedupe.unordered_first(benchmarks._titled(benchmarks.gold_pairs(a, b, m.distinct(), "x", "y")), "product1_title", "product2_title", key, trim=False)
+    for most in (0, 100):
+        benchmarks.MOST_BROADCAST, before = most, benchmarks.MOST_BROADCAST
+        try:
+            assert sorted(map(tuple, benchmarks.first_gold_pairs(a, b, m, "x", "y").collect())) == sorted(map(tuple, want.collect()))
+            made = sorted(map(tuple, benchmarks.generate_pairs(a, b, m, "x", "y").collect()))
+            assert len(made) == len(set(made)) > 0 and made == sorted(map(tuple, benchmarks.generate_pairs(a, b, m.distinct(), "x", "y").collect()))
+        finally:
+            benchmarks.MOST_BROADCAST = before
